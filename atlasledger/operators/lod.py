@@ -51,11 +51,16 @@ def _with_rows(grouped: DataFrame) -> DataFrame:
     )
     tail = F.repeat(F.lit(ABSENT_HEX), GRID * GRID - 1 - F.element_at("_cells", -1)["i"])
     grid = F.unhex(F.concat(F.array_join(filled, ""), tail))
+    # the one-element array binds the grid, so that it is built once and not
+    # once per row it is cut into
     rows = F.transform(
-        F.sequence(F.lit(0), F.lit(GRID - 1)),
-        lambda y: F.substring(F.col("_grid"), y * GRID_ROW_BYTES + 1, F.lit(GRID_ROW_BYTES)),
+        F.array(grid),
+        lambda g: F.transform(
+            F.sequence(F.lit(0), F.lit(GRID - 1)),
+            lambda y: F.substring(g, y * GRID_ROW_BYTES + 1, F.lit(GRID_ROW_BYTES)),
+        ),
     )
-    return grouped.withColumn("_grid", grid).withColumn("_rows", rows)
+    return grouped.withColumn("_rows", F.get(rows, 0))
 
 
 def _occupied(level: int) -> Column:
