@@ -13,6 +13,7 @@ from atlasledger.checks.derive import (
     file_index,
     layer_tiles,
     layers,
+    part_years,
     products,
     scans,
     sql,
@@ -132,10 +133,9 @@ def path_list_pages(spark, sf):
     "file_id_fallback",
     sql(PATHS_SQL + """
 , map_rows AS (
-  SELECT b.build_id, p_partkey AS map_id, split_part(p_name, ' ', 1) AS directory,
+  SELECT (yr - 1990)::BIGINT << 52 AS build_id, part AS map_id, split_part(p_name, ' ', 1) AS directory,
          CASE WHEN p_type = 'PROMO' THEN 0 ELSE p_partkey + 1 END AS own
-  FROM part JOIN (SELECT max(build_id) AS build_id FROM builds
-                  UNION SELECT min(build_id) FROM builds) b ON true
+  FROM part_years JOIN part ON p_partkey = part
 )
 SELECT m.build_id, m.map_id, m.directory,
        coalesce(CASE WHEN m.build_id >= 40532400941335738 THEN nullif(own, 0) END, p.fdid) AS wdt_fdid
@@ -143,15 +143,16 @@ FROM map_rows m
 LEFT JOIN paths p ON p.path = 'world/maps/' || lower(directory) || '/' || lower(directory) || '.wdt'"""),
 )
 def file_id_fallback(spark, sf):
-    ends = builds(spark, sf).agg(F.max("build_id").alias("a"), F.min("build_id").alias("b"))
-    ends = ends.select(F.explode(F.array("a", "b")).alias("build_id"))
-    rows = table(spark, sf, "part").select(
+    shipped = part_years(spark, sf).select(
+        F.shiftleft((F.col("yr") - 1990).cast("bigint"), 52).alias("build_id"),
+        F.col("part").alias("p_partkey"),
+    )
+    rows = table(spark, sf, "part").join(shipped, "p_partkey").select(
+        "build_id",
         F.col("p_partkey").alias("map_id"),
         F.element_at(F.split("p_name", " "), 1).alias("directory"),
         F.when(F.col("p_type") == "PROMO", 0).otherwise(F.col("p_partkey") + 1).alias("wdt_fdid"),
     )
-    # two build rows, so the pairing has a constant factor
-    rows = rows.join(F.broadcast(ends), F.lit(True))
     return resolve.wdt_file_ids(rows, feeds.parse_path_list(path_lines(spark, sf)))
 
 
@@ -232,13 +233,7 @@ def extractions(spark, sf):
 
 
 EXTRACTIONS_SQL = """
-, bytes AS (
-  SELECT part, t.byte, coalesce(bit_or(CASE WHEN c.impass THEN 1 << (c.idx % 8)::INT END), 0) AS v
-  FROM (SELECT DISTINCT part FROM chunks) p CROSS JOIN range(32) t(byte)
-  LEFT JOIN chunks c USING (part)
-  WHERE c.idx // 8 = t.byte OR true GROUP BY 1, 2
-),
-grid AS (
+, grid AS (
   SELECT p.part, t.idx, coalesce(c.area_id, 0) AS area_id, coalesce(c.impass, false) AS impass
   FROM (SELECT DISTINCT part FROM chunks) p CROSS JOIN range(256) t(idx)
   LEFT JOIN chunks c ON c.part = p.part AND c.idx = t.idx
@@ -254,8 +249,6 @@ extractions AS (
   UNION ALL SELECT md5('adt-' || part), 4, md5(ids), ids FROM ids
 )
 """
-# the first CTE is not used: keep the statement to what is
-EXTRACTIONS_SQL = "\n, grid AS (" + EXTRACTIONS_SQL.split("grid AS (", 1)[1]
 
 
 @check(
@@ -279,10 +272,9 @@ def extractions_with_blobs(spark, sf):
 
 DATA_LAYER_SQL = """
 , data_layers AS (
-  SELECT DISTINCT c.build_id, c.map_id, 3 AS layer_type, 'x' AS data_hash
-  FROM cells c JOIN chunks k ON k.part = c.part AND k.impass AND k.area_id = 0
+  SELECT DISTINCT build_id, map_id, 3 AS layer_type FROM cells WHERE NOT present AND root_adt = 0
   UNION ALL
-  SELECT DISTINCT build_id, map_id, 4, 'x' FROM cells WHERE root_adt = part + 1 AND NOT present
+  SELECT DISTINCT build_id, map_id, 4 FROM cells WHERE NOT present AND map_texture <> 0
 )
 """
 
@@ -297,9 +289,9 @@ GROUP BY 1, 2 HAVING count(d.layer_type) < 2"""),
 )
 def maps_lacking_data_layers(spark, sf):
     c = cells(spark, sf)
-    flagged = chunks(spark, sf).where(F.col("impass") & (F.col("area_id") == 0)).select("part")
-    three = c.join(flagged, "part", "left_semi").select("build_id", "map_id", F.lit(3).alias("layer_type"))
-    four = c.where((F.col("root_adt") == F.col("part") + 1) & ~F.col("present")).select(
+    gone = c.where(~F.col("present"))
+    three = gone.where(F.col("root_adt") == 0).select("build_id", "map_id", F.lit(3).alias("layer_type"))
+    four = gone.where(F.col("map_texture") != 0).select(
         "build_id", "map_id", F.lit(4).alias("layer_type")
     )
     held = three.unionByName(four).distinct().withColumn("data_hash", F.lit("x"))
@@ -385,9 +377,8 @@ def composition_diff(spark, sf):
     t = tiles(spark, sf)
     order = builds(spark, sf).select("b", "build_id")
     before = order.select((F.col("b") + 1).alias("b"), F.col("build_id").alias("before"))
-    last = order.agg(F.max("build_id").alias("last"))
-    # one single-row aggregate joins to drop the build that has no successor
-    old = t.join(F.broadcast(last), F.col("build_id") != F.col("last")).drop("last")
+    followed = order.select((F.col("b") - 1).alias("b"))
+    old = t.join(followed, "b", "left_semi")
     new = t.join(before, "b").drop("build_id").withColumnRenamed("before", "build_id")
     return diff.composition_diff(old, new, KEYS)
 
