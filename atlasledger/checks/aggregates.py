@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atlasledger.checks import check
-from atlasledger.checks.derive import areas, builds, chunks, feed_versions, place, products, sql, table
-from atlasledger.functions.versions import encode_version
+from atlasledger.checks.derive import areas, builds, chunks, feed_versions, sql, table
 from atlasledger.operators import areas as area_ops
 from atlasledger.operators import chunks as chunk_ops
 from atlasledger.operators import discovery, terrain
@@ -227,61 +226,60 @@ def area_name_ambiguity(spark, sf):
 
 @check(
     "continent_roots",
-    sql("""
-SELECT m.map_id, a.continent_id, count(*) AS roots,
-       string_agg(name, ',' ORDER BY name, a.area_id) AS names
-FROM (SELECT DISTINCT map_id FROM chunks) m, (
-  SELECT area_id, continent_id, name FROM areas
-  WHERE parent_id NOT IN (SELECT area_id FROM areas)) a
+    sql(CLOSURE_CTE + """
+, embedded AS (SELECT c.map_id, a.* FROM closure c JOIN areas a ON a.area_id = c.area_id)
+SELECT map_id, continent_id, count(*) AS roots, min(name) AS first_name, max(name) AS last_name
+FROM embedded e
+WHERE NOT EXISTS (SELECT 1 FROM embedded p WHERE p.map_id = e.map_id AND p.area_id = e.parent_id)
 GROUP BY 1, 2
 UNION ALL
-SELECT DISTINCT map_id, map_id, 1, 'Unassigned' FROM chunks WHERE area_id = 0"""),
+SELECT DISTINCT map_id, map_id, 1, 'Unassigned', 'Unassigned' FROM chunks WHERE area_id = 0"""),
 )
 def continent_roots(spark, sf):
     c = chunks(spark, sf)
-    roots = area_ops.with_parent(areas(spark, sf), []).where(F.col("parent_id").isNull())
-    by_continent = roots.groupBy("continent_id").agg(
-        F.count(F.lit(1)).alias("roots"),
-        F.array_sort(F.collect_list(F.struct("name", "area_id"))).alias("_n"),
-    )
-    names = F.array_join(F.transform("_n", lambda n: n["name"]), ",")
-    # the area table is the same for every map, so each map lists its roots
-    listed = (
-        c.select("map_id")
-        .distinct()
-        .withColumn("one", F.lit(1))
-        .join(by_continent.withColumn("one", F.lit(1)), "one")
-        .select("map_id", "continent_id", "roots", names.alias("names"))
+    table_ = areas(spark, sf)
+    closure = area_ops.ancestor_closure(
+        chunk_ops.referenced_areas(c, ["map_id"]), table_.select("area_id", "parent_id"), ["map_id"]
     )
-    synthetic = area_ops.unassigned_zones(c).select(
-        "map_id",
-        "continent_id",
-        F.lit(1).cast("bigint").alias("roots"),
-        F.col("name").alias("names"),
+    placed = area_ops.with_parent(closure.join(table_, "area_id"), ["map_id"])
+    roots = placed.where(F.col("parent_id").isNull()).select("map_id", "continent_id", "name")
+    synthetic = area_ops.unassigned_zones(c).select("map_id", "continent_id", "name")
+    # the synthetic zone forms a group of its own, named after nothing else
+    return (
+        roots.withColumn("synthetic", F.lit(False))
+        .unionByName(synthetic.withColumn("synthetic", F.lit(True)))
+        .groupBy("map_id", "continent_id", "synthetic")
+        .agg(
+            F.count(F.lit(1)).alias("roots"),
+            F.min("name").alias("first_name"),
+            F.max("name").alias("last_name"),
+        )
+        .drop("synthetic")
     )
-    return listed.unionByName(synthetic)
 
 
 @check(
     "repeated_region_rows",
     sql("""
-, listed AS (
-  SELECT build_id, product, array_agg(region) AS regions FROM feed_versions GROUP BY 1, 2, build_config, cdn_config
-)
-SELECT build_id, product, count(*) AS lists FROM listed
-WHERE len(regions) <> len(list_distinct(regions)) GROUP BY 1, 2"""),
+SELECT c_custkey AS product_id, n_regionkey || ' ' || (c_nationkey % 5) || ' ' || (c_custkey % 5) AS regions
+FROM customer JOIN nation ON n_nationkey = c_nationkey
+WHERE n_regionkey = c_nationkey % 5 OR n_regionkey = c_custkey % 5 OR c_nationkey % 5 = c_custkey % 5"""),
 )
 def repeated_region_rows(spark, sf):
-    # raw lists per (build, product, config): bounded by what one feed page lists
-    f = feed_versions(spark, sf).withColumn("build_id", encode_version(F.col("version")))
-    listed = f.groupBy("build_id", "product", "build_config", "cdn_config").agg(
-        F.collect_list("region").alias("config_regions")
-    )
-    return (
-        discovery.repeated_regions(listed)
-        .groupBy("build_id", "product")
-        .agg(F.count(F.lit(1)).alias("lists"))
+    lists = (
+        table(spark, sf, "customer")
+        .join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+        .select(
+            F.col("c_custkey").alias("product_id"),
+            F.array(
+                F.col("n_regionkey").cast("string"),
+                (F.col("c_nationkey") % 5).cast("string"),
+                (F.col("c_custkey") % 5).cast("string"),
+            ).alias("config_regions"),
+        )
     )
+    out = discovery.repeated_regions(lists)
+    return out.select("product_id", F.array_join("config_regions", " ").alias("regions"))
 
 
 @check(
