@@ -261,9 +261,9 @@ def continent_roots(spark, sf):
 @check(
     "repeated_region_rows",
     sql("""
-SELECT c_custkey AS product_id, n_regionkey || ' ' || (c_nationkey % 5) || ' ' || (c_custkey % 5) AS regions
+SELECT c_custkey AS product_id, n_regionkey || ' ' || (c_nationkey % 7) || ' ' || (c_custkey % 5) AS regions
 FROM customer JOIN nation ON n_nationkey = c_nationkey
-WHERE n_regionkey = c_nationkey % 5 OR n_regionkey = c_custkey % 5 OR c_nationkey % 5 = c_custkey % 5"""),
+WHERE n_regionkey = c_nationkey % 7 OR n_regionkey = c_custkey % 5 OR c_nationkey % 7 = c_custkey % 5"""),
 )
 def repeated_region_rows(spark, sf):
     lists = (
@@ -273,7 +273,7 @@ def repeated_region_rows(spark, sf):
             F.col("c_custkey").alias("product_id"),
             F.array(
                 F.col("n_regionkey").cast("string"),
-                (F.col("c_nationkey") % 5).cast("string"),
+                (F.col("c_nationkey") % 7).cast("string"),
                 (F.col("c_custkey") % 5).cast("string"),
             ).alias("config_regions"),
         )

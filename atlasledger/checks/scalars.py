@@ -195,7 +195,7 @@ def chunk_index(spark, sf):
 @check(
     "world_coordinates",
     sql("""
-, w AS (SELECT event_id, value * 100 - 17000 AS wx, user_id * 100.5 - 9000 AS wy FROM events)
+, w AS (SELECT event_id, value * 100 - 17000 AS wx, (user_id * 100.5 - 9000)::DOUBLE AS wy FROM events)
 SELECT event_id, round((1 - (wy + 17066.6666666667) / 34133.3333333333) * 64, 4) AS grid_x,
        round((1 - (wx + 17066.6666666667) / 34133.3333333333) * 64, 4) AS grid_y,
        round(wx, 3) AS world_x, round(wy, 3) AS world_y,

@@ -37,10 +37,14 @@ def latest_wins(
     ``order`` ranks several incoming rows of a key; without it they must agree.
     """
     rest = [c for c in current.columns if c not in keys]
-    rank = F.struct(F.lit(1), F.col(order)) if order else F.struct(F.lit(1), F.lit(0))
-    base = F.struct(F.lit(0), F.lit(None).cast(dict(incoming.dtypes)[order]) if order else F.lit(0))
-    both = current.select(*keys, *rest, base.alias("_o")).unionByName(
-        incoming.select(*keys, *rest, rank.alias("_o"))
+    rank = F.col(order) if order else F.lit(0)
+    none = F.lit(None).cast(dict(incoming.dtypes)[order] if order else "int")
+    both = current.select(
+        *keys, *rest, F.struct(F.lit(0).alias("side"), none.alias("rank")).alias("_o")
+    ).unionByName(
+        incoming.select(
+            *keys, *rest, F.struct(F.lit(1).alias("side"), rank.alias("rank")).alias("_o")
+        )
     )
     return (
         both.groupBy(*keys)
@@ -73,9 +77,11 @@ def merge_products(current: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def merge_sources(current: DataFrame, incoming: DataFrame) -> DataFrame:
+def merge_sources(
+    current: DataFrame, incoming: DataFrame, product_key: list[str] | None = None
+) -> DataFrame:
     """Product sources: incoming regions replace, the first sighting stays."""
-    keys = ["product_id", "config_build", "config_cdn", "config_product"]
+    keys = [*(product_key or ["product_id"]), "config_build", "config_cdn", "config_product"]
     old = current.select(
         *keys, F.col("config_regions").alias("_oldr"), F.col("first_seen").alias("_oldf")
     )
@@ -89,13 +95,16 @@ def merge_sources(current: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def queue_scans(scans: DataFrame, processed: DataFrame) -> DataFrame:
+def queue_scans(
+    scans: DataFrame, processed: DataFrame, product_key: list[str] | None = None
+) -> DataFrame:
     """Pending scan rows for processed products that have none yet."""
+    keys = product_key or ["product_id"]
     return (
-        processed.select("product_id")
+        processed.select(*keys)
         .distinct()
-        .join(scans.select("product_id"), "product_id", "left_anti")
-        .select("product_id", F.lit("pending").alias("state"))
+        .join(scans.select(*keys), keys, "left_anti")
+        .select(*keys, F.lit("pending").alias("state"))
     )
 
 
