@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atlasledger.checks import check
-from atlasledger.checks.derive import LAYER_KEYS, layer_tiles, layers, sql, tile_sizes, tiles
+from atlasledger.checks.derive import LAYER_KEYS, build_count, layer_tiles, sql, tile_sizes, tiles
 from atlasledger.operators import compose, lod
 from atlasledger.operators.history import group_ranges, version_groups
 from atlasledger.sources import documents
@@ -267,7 +267,8 @@ FROM marked"""),
 )
 def version_groups_query(spark, sf):
     comps = compose.compositions(tiles(spark, sf), KEYS).select(*KEYS, "composition_hash")
-    return version_groups(comps, ["map_id"], "composition_hash").select(
+    bound = build_count(spark, sf)
+    return version_groups(comps, ["map_id"], "composition_hash", bound).select(
         "map_id", "build_id", "composition_hash", "group_no", "first_of_group"
     )
 
@@ -289,4 +290,5 @@ FROM grouped GROUP BY 1, 2"""),
 )
 def version_group_ranges(spark, sf):
     comps = compose.compositions(tiles(spark, sf), KEYS).select(*KEYS, "composition_hash")
-    return group_ranges(version_groups(comps, ["map_id"], "composition_hash"), ["map_id"])
+    grouped = version_groups(comps, ["map_id"], "composition_hash", build_count(spark, sf))
+    return group_ranges(grouped, ["map_id"])

@@ -56,6 +56,11 @@ def builds(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def build_count(spark: SparkSession, sf: str) -> int:
+    """How many builds there are: no map has more versions than that."""
+    return builds(spark, sf).count()
+
+
 def part_years(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "lineitem")

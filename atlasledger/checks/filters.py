@@ -24,25 +24,34 @@ from atlasledger.operators import discovery, merge, resolve
 from atlasledger.sources.tables import layer_dimension
 
 # Fixed values of the checks: what a service would have configured.
-INCLUDE = ["auto*", "m?chinery", "BUILD*"]
-EXCLUDE = ["building"]
+INCLUDE = ["auto*", "m?chinery-*", "BUILD*"]
+EXCLUDE = ["building-2", "building-4", "automobile-8"]
 
 
 def summary(spark, sf):
-    """Feed summary lines: one per customer, so flags and products repeat."""
-    return table(spark, sf, "customer").select(
-        F.lower("c_mktsegment").alias("name"),
-        F.col("c_custkey").alias("product_seqn"),
-        F.when(F.col("c_acctbal") < 0, "cdn").when(F.col("c_acctbal") > 8000, "bgdl").otherwise("")
-        .alias("flags"),
-    )
+    """Feed summary lines: one product per customer, its sequence the order count."""
+    counts = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return (
+        table(spark, sf, "customer")
+        .join(counts, "c_custkey", "left")
+        .select(
+            F.concat_ws("-", F.lower("c_mktsegment"), "c_custkey").alias("name"),
+            F.coalesce("n", F.lit(0)).alias("product_seqn"),
+            F.when(F.col("c_acctbal") < 0, "cdn")
+            .when(F.col("c_acctbal") > 8000, "bgdl")
+            .otherwise("")
+            .alias("flags"),
+        )
+    )
 
 
 SUMMARY_SQL = """
 , summary AS (
-  SELECT lower(c_mktsegment) AS name, c_custkey AS product_seqn,
+  SELECT lower(c_mktsegment) || '-' || c_custkey AS name, coalesce(n, 0) AS product_seqn,
          CASE WHEN c_acctbal < 0 THEN 'cdn' WHEN c_acctbal > 8000 THEN 'bgdl' ELSE '' END AS flags
-  FROM customer
+  FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey
 )
 """
 
@@ -51,8 +60,8 @@ SUMMARY_SQL = """
     "feed_product_filter",
     sql(SUMMARY_SQL + """
 SELECT name, product_seqn, flags, flags = '' AS queried FROM summary
-WHERE flags <> 'cdn' AND name NOT IN ('building')
-  AND (name LIKE 'auto%' OR name LIKE 'm_chinery' OR name LIKE 'build%')"""),
+WHERE flags <> 'cdn' AND name NOT IN ('building-2', 'building-4', 'automobile-8')
+  AND (name LIKE 'auto%' OR name LIKE 'm_chinery-%' OR name LIKE 'build%')"""),
 )
 def feed_product_filter(spark, sf):
     wanted = discovery.wanted_products(summary(spark, sf), INCLUDE)

@@ -126,21 +126,18 @@ changes AS (
     SELECT *, lag(name) OVER (PARTITION BY map_id ORDER BY build_id) AS before FROM f)
   WHERE before IS NULL OR before <> name
 ),
-histories AS (
-  SELECT map_id, string_agg(build_id || ':' || name, ',' ORDER BY build_id) AS name_history
-  FROM changes GROUP BY 1
-)
+histories AS (SELECT map_id, count(*) AS names, min(build_id) AS named_since FROM changes GROUP BY 1)
 SELECT f.map_id, arg_max(json, build_id) AS json, arg_max(directory, build_id) AS directory,
-       arg_max(name, build_id) AS name, min(build_id) AS first_seen, max(build_id) AS last_seen,
-       any_value(h.name_history) AS name_history
+       arg_max(f.name, build_id) AS name, min(build_id) AS first_seen, max(build_id) AS last_seen,
+       any_value(h.names) AS names, any_value(h.named_since) AS named_since
 FROM f JOIN histories h ON h.map_id = f.map_id GROUP BY 1"""),
 )
 def merge_maps(spark, sf):
-    out = merge.merge_maps(map_facts(spark, sf))
-    entries = F.transform(
-        F.map_entries("name_history"), lambda e: F.concat_ws(":", e["key"], e["value"])
+    maps, changes = merge.merge_maps(map_facts(spark, sf))
+    histories = changes.groupBy("map_id").agg(
+        F.count(F.lit(1)).alias("names"), F.min("build_id").alias("named_since")
     )
-    return out.withColumn("name_history", F.array_join(entries, ","))
+    return maps.join(histories, "map_id")
 
 
 def map_facts(spark, sf):

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from atlasledger.checks import check
 from atlasledger.checks.derive import (
+    build_count,
     builds,
-    chunks,
     feed_versions,
     layers,
     name_facts,
@@ -53,6 +53,36 @@ def alias_ranges(spark, sf):
     return history.alias_ranges(history.name_changes(facts), present)
 
 
+@check(
+    "name_history_documents",
+    sql("""
+, f AS (SELECT o_custkey AS map_id, build_id, max(o_orderpriority) AS name
+        FROM orders JOIN feed_versions ON order_no = o_orderkey GROUP BY 1, 2),
+changes AS (
+  SELECT map_id, build_id, name FROM (
+    SELECT *, lag(name) OVER (PARTITION BY map_id ORDER BY build_id) AS before FROM f)
+  WHERE before IS NULL OR before <> name
+)
+SELECT map_id, '{' || string_agg('"' || build_id || '":"' || name || '"', ',' ORDER BY build_id) || '}'
+         AS name_history
+FROM changes GROUP BY 1"""),
+)
+def name_history_documents(spark, sf):
+    """One name per map and build, so a history is as long as the build list at most."""
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("product_id"), "o_custkey", "o_orderpriority"
+    )
+    facts = (
+        products(spark, sf)
+        .join(orders, "product_id")
+        .groupBy(F.col("o_custkey").alias("map_id"), "build_id")
+        .agg(F.max("o_orderpriority").alias("name"))
+    )
+    bound = products(spark, sf).select("build_id").distinct().count()
+    out = history.name_histories(history.name_changes(facts, bound))
+    return out.withColumn("name_history", F.to_json("name_history"))
+
+
 @check(
     "first_of_version_group",
     sql("""
@@ -64,7 +94,9 @@ SELECT map_id, build_id, composition_hash FROM marked WHERE before IS DISTINCT F
 )
 def first_of_version_group(spark, sf):
     rows = layers(spark, sf).where(F.col("layer_type") == 1)
-    grouped = history.version_groups(rows, ["map_id"], "composition_hash")
+    grouped = history.version_groups(
+        rows, ["map_id"], "composition_hash", build_count(spark, sf)
+    )
     return grouped.where("first_of_group").select("map_id", "build_id", "composition_hash")
 
 
@@ -76,7 +108,7 @@ FROM (SELECT DISTINCT map_id, build_id FROM layers) WINDOW w AS (PARTITION BY ma
 )
 def build_neighbours(spark, sf):
     rows = layers(spark, sf).select("map_id", "build_id").distinct()
-    return history.neighbours(rows, ["map_id"], "build_id")
+    return history.neighbours(rows, ["map_id"], "build_id", build_count(spark, sf))
 
 
 @check(

@@ -49,9 +49,11 @@ def non_empty(bitsets: DataFrame) -> DataFrame:
 def chunks_of_bitsets(bitsets: DataFrame, keys: list[str]) -> DataFrame:
     """One row per set bit: ``keys, idx``."""
     every = F.sequence(F.lit(0), F.lit(CHUNKS_PER_TILE - 1))
-    return bitsets.select(
-        *keys, F.explode(F.filter(every, lambda i: bitset_bit(F.col("bits"), i))).alias("idx")
+    # the one-element array binds the bitset, so that a computed one is made once
+    held = F.transform(
+        F.array("bits"), lambda bits: F.filter(every, lambda i: bitset_bit(bits, i))
     )
+    return bitsets.select(*keys, F.explode(F.get(held, 0)).alias("idx"))
 
 
 def area_grids(chunks: DataFrame, keys: list[str]) -> DataFrame:

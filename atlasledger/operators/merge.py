@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atlasledger import schema
-from atlasledger.operators.history import name_changes, name_histories
+from atlasledger.operators.history import name_changes
 
 
 def new_rows(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -108,22 +108,21 @@ def queue_scans(
     )
 
 
-def merge_maps(facts: DataFrame, bound: int | None = None) -> DataFrame:
-    """Maps out of all per-build map rows, old and new alike.
+def merge_maps(facts: DataFrame, bound: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Maps and their name changes out of all per-build map rows, old and new alike.
 
     The newest build gives json, directory and name; the seen range only
     widens; the name history is the change points over all builds, whatever
-    order the builds arrived in. ``facts`` is
+    order the builds arrived in, and stays one row per change
+    (``history.name_histories`` makes the documents). ``facts`` is
     ``build_id, map_id, json, directory, name``.
     """
     newest = F.max_by(F.struct("json", "directory", "name"), "build_id").alias("_n")
     rows = facts.groupBy("map_id").agg(
         newest, F.min("build_id").alias("first_seen"), F.max("build_id").alias("last_seen")
     )
-    histories = name_histories(name_changes(facts, bound))
-    return rows.join(histories, "map_id", "left").select(
-        "map_id", "_n.*", "first_seen", "last_seen", "name_history"
-    )
+    maps = rows.select("map_id", "_n.*", "first_seen", "last_seen")
+    return maps, name_changes(facts, bound)
 
 
 def merge_tile_sizes(current: DataFrame, incoming: DataFrame) -> DataFrame:

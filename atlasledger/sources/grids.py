@@ -29,11 +29,15 @@ def unpack_grid(grids: DataFrame, payload: str) -> DataFrame:
     row carries more than one grid row of bytes.
     """
     kept = [c for c in grids.columns if c != payload]
+    # the one-element array binds the payload, so that a computed one is made once
     grid_rows = F.transform(
-        F.sequence(F.lit(0), F.lit(63)),
-        lambda y: F.substring(F.col(payload), y * ROW_BYTES + 1, F.lit(ROW_BYTES)),
+        F.array(F.col(payload)),
+        lambda grid: F.transform(
+            F.sequence(F.lit(0), F.lit(63)),
+            lambda y: F.substring(grid, y * ROW_BYTES + 1, F.lit(ROW_BYTES)),
+        ),
     )
-    by_row = grids.select(*kept, F.posexplode(grid_rows).alias("y", "_row"))
+    by_row = grids.select(*kept, F.posexplode(F.get(grid_rows, 0)).alias("y", "_row"))
     cells = F.transform(
         F.sequence(F.lit(0), F.lit(63)),
         lambda x: F.substring(F.col("_row"), x * CELL_BYTES + 1, F.lit(CELL_BYTES)),
