@@ -158,7 +158,7 @@ def version_search(spark, sf):
     listed = (
         products(spark, sf)
         .groupBy("build_id")
-        .agg(F.array_join(F.array_sort(F.collect_set("product")), " ").alias("products"))
+        .agg(F.array_join(F.sort_array(F.collect_set("product")), " ").alias("products"))
         .withColumn("version", decode_version(F.col("build_id")))
     )
     return listed.where(labels.search_text(".3.0.", F.col("version"), F.col("products")))

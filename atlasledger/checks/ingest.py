@@ -71,7 +71,7 @@ def feed_pages(spark, sf):
             "\n",
             F.lit(header),
             F.concat(F.lit("## seqn = "), F.element_at(F.split("version", r"\."), 4)),
-            F.array_join(F.array_sort(F.collect_list(line)), "\n"),
+            F.array_join(F.sort_array(F.collect_list(line)), "\n"),
         ).alias("document")
     )
 

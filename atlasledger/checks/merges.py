@@ -95,7 +95,7 @@ def merge_sources(spark, sf):
     keys = ["product_id", "config_build", "config_cdn", "config_product"]
 
     def grouped(df, seen):
-        regions = F.array_sort(F.collect_set("region")).alias("config_regions")
+        regions = F.sort_array(F.collect_set("region")).alias("config_regions")
         return df.groupBy(*keys).agg(regions, seen.alias("first_seen"))
 
     held = grouped(p.where(F.col("o_totalprice") > 400000), F.min("first_seen"))

@@ -10,18 +10,17 @@ from atlasledger.checks.derive import (
     areas,
     cells,
     chunks,
-    file_index,
     layers,
     products,
     sql,
     table,
-    tile_sizes,
     tiles,
 )
 from atlasledger.checks.joins import overrides
 from atlasledger.operators import chunks as chunk_ops
 from atlasledger.operators import resolve
 from atlasledger.plans import scan, serve
+from atlasledger.session import checkpointed
 
 
 def all_layers(spark, sf):
@@ -38,7 +37,8 @@ def all_layers(spark, sf):
         )
 
     blobs = data(three, 3).unionByName(data(four, 4))
-    build_maps = rows.select("build_id", "map_id").distinct()
+    # a build map has a layer row when one of its tiles resolves
+    build_maps = cells(spark, sf).where("present").select("build_id", "map_id").distinct()
     return rows.drop("b").unionByName(build_maps.join(blobs, "map_id"), allowMissingColumns=True)
 
 
@@ -300,17 +300,24 @@ def adt(part):
 
 
 def scan_facts(spark, sf) -> scan.ScanFacts:
-    c = cells(spark, sf)
+    """Scan facts as landed tables: derived once, read by every step."""
+    c = checkpointed(cells(spark, sf))
     ch = chunks(spark, sf)
+    held = c.where("present")
+    hashes = held.select(F.col("ckey").alias("hash"), "cdn_missing").distinct()
+    first = F.substring("hash", 1, 1)
     return scan.ScanFacts(
         cells=c.select("build_id", "map_id", "x", "y", "minimap_texture", "map_texture", "root_adt"),
-        file_index=file_index(spark, sf),
-        adt_index=c.where(F.col("present") & (F.col("root_adt") != 0)).select(
+        file_index=held.select(
+            "build_id",
+            F.expr("stack(2, minimap_texture, ckey, part * 2 + 2, texture_ckey) AS (fdid, ckey)"),
+        ),
+        adt_index=held.where(F.col("root_adt") != 0).select(
             "build_id", F.col("root_adt").alias("fdid"), adt(F.col("part")).alias("adt_hash")
         ),
         overrides=overrides(spark, sf),
-        cdn_missing=tiles(spark, sf).where("cdn_missing").select("hash").distinct(),
-        sizes=tile_sizes(spark, sf)
+        cdn_missing=hashes.where("cdn_missing").select("hash"),
+        sizes=hashes.select("hash", F.when(first < "6", 256).otherwise(512).alias("tile_size"))
         .unionByName(
             c.select(F.col("texture_ckey").alias("hash")).distinct().withColumn("tile_size", F.lit(512))
         ),

@@ -64,7 +64,7 @@ def discovery_stream_query(spark, sf):
         .join(tables["product_scans"], ["build_id", "product"])
         .select(
             "build_id", "version", "product",
-            F.array_join(F.array_sort("config_regions"), " ").alias("regions"), "sources", "state",
+            F.array_join(F.sort_array("config_regions"), " ").alias("regions"), "sources", "state",
         )
     )
 

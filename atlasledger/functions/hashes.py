@@ -51,10 +51,28 @@ def hash_sort_key(hash_text: Column) -> Column:
     return F.concat(*turned)
 
 
+def _swapped(number: Column) -> Column:
+    """A 32-bit integer with its bytes turned round, as a non-negative long."""
+    wide = number.cast("bigint")
+
+    def byte(at: int) -> Column:
+        return F.shiftright(wide, 8 * at).bitwiseAND(F.lit(0xFF).cast("bigint"))
+
+    out = F.shiftleft(byte(0), 24)
+    for at in (1, 2, 3):
+        out = out.bitwiseOR(F.shiftleft(byte(at), 24 - 8 * at))
+    return out
+
+
 def le32_hex(number: Column) -> Column:
     """Hex of a 32-bit integer's four bytes, lowest byte first."""
-    wide = F.lpad(F.hex(number.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
-    return F.lower(F.concat(*[F.substring(wide, at, 2) for at in (7, 5, 3, 1)]))
+    return F.lower(F.lpad(F.hex(_swapped(number)), 8, "0"))
+
+
+def le32_pair_hex(first: Column, second: Column) -> Column:
+    """Hex of two 32-bit integers, each lowest byte first, in one conversion."""
+    both = F.shiftleft(_swapped(first), 32).bitwiseOR(_swapped(second))
+    return F.lpad(F.hex(both), 16, "0")
 
 
 def le32_number(hex_text: Column, at: int | Column) -> Column:

@@ -19,34 +19,31 @@ PARTS = {
 VERSION_PATTERN = r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"
 
 
-def _checked_parts(text: Column) -> tuple[Column, list[Column]]:
-    pieces = F.split(text, r"\.")
-    numbers = [F.try_element_at(pieces, F.lit(i + 1)).try_cast("bigint") for i in range(4)]
-    valid = text.rlike(VERSION_PATTERN)
-    for number, (_, largest) in zip(numbers, PARTS.values()):
-        valid = valid & number.isNotNull() & (number <= largest)
-    return F.coalesce(valid, F.lit(False)), numbers
+def try_encode_version(text: Column) -> Column:
+    """The version's number, or null when it is malformed."""
 
+    def packed(pieces: Column) -> Column:
+        valid, code = F.lit(True), F.lit(0).cast("bigint")
+        for i, (shift, largest) in enumerate(PARTS.values()):
+            number = F.get(pieces, F.lit(i)).try_cast("bigint")
+            valid = valid & number.isNotNull() & (number <= largest)
+            code = code.bitwiseOR(F.shiftleft(number, shift))
+        return F.when(valid, code)
 
-def is_version(text: Column) -> Column:
-    """True when ``text`` is four in-range parts of plain digits."""
-    return _checked_parts(text)[0]
+    # the one-element array binds the split pieces, so the text is split once
+    code = F.get(F.transform(F.array(F.split(text, r"\.")), packed), F.lit(0))
+    return F.when(text.rlike(VERSION_PATTERN), code)
 
 
-def try_encode_version(text: Column) -> Column:
-    """The version's number, or null when it is malformed."""
-    valid, numbers = _checked_parts(text)
-    packed = F.lit(0).cast("bigint")
-    for number, (shift, _) in zip(numbers, PARTS.values()):
-        packed = packed.bitwiseOR(F.shiftleft(number, shift))
-    return F.when(valid, packed)
+def is_version(text: Column) -> Column:
+    """True when ``text`` is four in-range parts of plain digits."""
+    return try_encode_version(text).isNotNull()
 
 
 def encode_version(text: Column) -> Column:
     """The version's number; a malformed version is an error."""
-    return F.when(is_version(text), try_encode_version(text)).otherwise(
-        F.raise_error(F.concat(F.lit("not a build version: "), F.coalesce(text, F.lit("null"))))
-    )
+    problem = F.concat(F.lit("not a build version: "), F.coalesce(text, F.lit("null")))
+    return F.coalesce(try_encode_version(text), F.raise_error(problem))
 
 
 def version_part(code: Column, part: str) -> Column:

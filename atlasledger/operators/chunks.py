@@ -66,7 +66,7 @@ def area_grids(chunks: DataFrame, keys: list[str]) -> DataFrame:
     grouped = (
         chunks.where(F.col("idx").between(0, CHUNKS_PER_TILE - 1))
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(entry)).alias("_c"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("_c"))
     )
     zero = F.lit(0).cast("bigint")
 
@@ -80,6 +80,11 @@ def area_grids(chunks: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def extractions(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """Bitset and area grid of each key out of one pass over its chunks."""
+    return impass_bitsets(chunks, keys).join(area_grids(chunks, keys), keys, "left")
+
+
 def impass_documents(bitsets: DataFrame, keys: list[str]) -> DataFrame:
     """Impassable-chunk document of each map; tiles without a set bit are left out.
 
@@ -93,7 +98,7 @@ def impass_documents(bitsets: DataFrame, keys: list[str]) -> DataFrame:
     return (
         non_empty(bitsets)
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(entry)).alias("_t"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("_t"))
         .select(*keys, F.to_json(F.struct(F.map_from_entries("_t").alias("tiles"))).alias("document"))
         .withColumn("data_hash", F.md5(F.col("document").cast("binary")))
     )
@@ -111,7 +116,7 @@ def area_documents(
         coord_text(F.col("x"), F.col("y")).alias("key"), F.col("area_ids").alias("value")
     )
     tiles = grids.groupBy(*keys).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(tile))).alias("tiles")
+        F.map_from_entries(F.sort_array(F.collect_list(tile))).alias("tiles")
     )
     fields = [c for c in area_table.columns if c != "area_id"]
     area = F.struct(
@@ -120,7 +125,7 @@ def area_documents(
     areas = (
         closure.join(area_table, "area_id")
         .groupBy(*keys)
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(area))).alias("areas"))
+        .agg(F.map_from_entries(F.sort_array(F.collect_list(area))).alias("areas"))
     )
     return (
         tiles.join(areas, keys, "left")

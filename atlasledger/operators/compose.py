@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atlasledger.functions.hashes import is_hash, le32_hex
+from atlasledger.functions.hashes import is_hash, le32_pair_hex
 
 # Tile size when no tile tells one, and the least pyramid tile.
 DEFAULT_TILE_SIZE = 512
@@ -30,15 +30,23 @@ def compositions(tiles: DataFrame, keys: list[str], cdn: bool = False) -> DataFr
     lowest byte first. One shuffle on the keys. With ``cdn`` the sorted distinct
     CDN-missing hashes come along, null when there are none.
     """
-    entry = F.struct("x", "y", "hash")
     held = F.col("hash").isNotNull()
+    at = le32_pair_hex(F.col("x"), F.col("y"))
+    # tiles before missing coordinates, each in signed x, y order
+    place = F.shiftleft(F.col("x").cast("bigint"), 32) + (F.col("y").cast("bigint") + 2**31)
+    entry = F.struct(
+        (~held).alias("missing"), place.alias("at"), F.concat(at, F.coalesce("hash", F.lit(""))).alias("p")
+    )
     extra = []
     if cdn:
         lost = F.collect_set(F.when(F.col("cdn_missing"), F.col("hash")))
-        extra = [F.array_sort(lost).alias("_cdn")]
-    grouped = tiles.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(held, entry))).alias("_tiles"),
-        F.array_sort(F.collect_list(F.when(~held, F.struct("x", "y")))).alias("_missing"),
+        extra = [F.sort_array(lost).alias("_cdn")]
+    # gathering does not shrink the rows, so they are placed first and the
+    # whole aggregation runs behind that one shuffle
+    columns = [*keys, "x", "y", "hash", *(["cdn_missing"] if cdn else [])]
+    placed = tiles.select(*columns).repartition(*[F.col(k) for k in keys])
+    grouped = placed.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(entry)).alias("_entries"),
         F.count("hash").cast("int").alias("tiles"),
         F.count_if(~held).cast("int").alias("missing"),
         F.min("x").alias("x0"),
@@ -47,14 +55,9 @@ def compositions(tiles: DataFrame, keys: list[str], cdn: bool = False) -> DataFr
         F.max("y").alias("y1"),
         *extra,
     )
-    placed = F.transform(
-        "_tiles", lambda t: F.concat(le32_hex(t["x"]), le32_hex(t["y"]), t["hash"])
-    )
-    holes = F.transform("_missing", lambda t: F.concat(le32_hex(t["x"]), le32_hex(t["y"])))
-    payload = F.concat(F.array_join(placed, ""), F.array_join(holes, ""))
     return grouped.select(
         *keys,
-        F.md5(F.unhex(payload)).alias("composition_hash"),
+        F.md5(F.unhex(F.array_join("_entries.p", ""))).alias("composition_hash"),
         "tiles",
         "missing",
         "x0",
@@ -110,7 +113,7 @@ def composition_tile_sizes(tiles: DataFrame, sizes: DataFrame, keys: list[str])
     counts = tile_size_counts(tiles, sizes, keys)
     known = F.col("tile_size").isNotNull()
     # only a handful of sizes exist, so the report's list is short
-    report = F.array_sort(F.collect_list(F.when(known, F.struct("tile_size", "n"))))
+    report = F.sort_array(F.collect_list(F.when(known, F.struct("tile_size", "n"))))
     text = F.array_join(
         F.transform("_counts", lambda c: F.concat(c["tile_size"], F.lit("px="), c["n"])), ", "
     )
@@ -189,7 +192,7 @@ def cdn_missing_hashes(tiles: DataFrame, keys: list[str]) -> DataFrame:
 
     The list is part of the layer row; it holds at most one entry per grid cell.
     """
-    hashes = F.array_sort(F.collect_set(F.when(F.col("cdn_missing"), F.col("hash"))))
+    hashes = F.sort_array(F.collect_set(F.when(F.col("cdn_missing"), F.col("hash"))))
     return (
         tiles.groupBy(*keys)
         .agg(hashes.alias("_h"))

@@ -42,7 +42,7 @@ def product_sightings(versions: DataFrame) -> DataFrame:
     return (
         versions.withColumn("build_id", encode_version(F.col("version")))
         .groupBy("build_id", "product")
-        .agg(F.array_sort(F.collect_set("region")).alias("config_regions"))
+        .agg(F.sort_array(F.collect_set("region")).alias("config_regions"))
     )
 
 
@@ -51,7 +51,7 @@ def source_sightings(versions: DataFrame) -> DataFrame:
     return (
         versions.withColumn("build_id", encode_version(F.col("version")))
         .groupBy("build_id", "product", "build_config", "cdn_config", "product_config")
-        .agg(F.array_sort(F.collect_set("region")).alias("config_regions"))
+        .agg(F.sort_array(F.collect_set("region")).alias("config_regions"))
     )
 
 
@@ -137,7 +137,7 @@ def consolidated_regions(products: DataFrame) -> DataFrame:
     regions = (
         products.select(*TWIN, F.explode("config_regions").alias("_r"))
         .groupBy(*TWIN)
-        .agg(F.array_sort(F.collect_set("_r")).alias("config_regions"))
+        .agg(F.sort_array(F.collect_set("_r")).alias("config_regions"))
     )
     return kept.join(regions, TWIN)
 

@@ -28,7 +28,7 @@ def name_changes(facts: DataFrame, bound: int | None = None) -> DataFrame:
 
 def name_histories(changes: DataFrame) -> DataFrame:
     """Change points of each map as one ``map<build, name>`` in build order."""
-    entries = F.array_sort(F.collect_list(F.struct("build_id", "name")))
+    entries = F.sort_array(F.collect_list(F.struct("build_id", "name")))
     return changes.groupBy("map_id").agg(F.map_from_entries(entries).alias("name_history"))
 
 

@@ -64,7 +64,7 @@ def merge_products(current: DataFrame, incoming: DataFrame) -> DataFrame:
     old = current.select(*keys, F.col("config_regions").alias("_old"))
     new = incoming.select(*keys, F.col("config_regions").alias("_new"))
     none = F.array().cast("array<string>")
-    added = F.array_sort(F.array_except(F.coalesce("_new", none), F.coalesce("_old", none)))
+    added = F.sort_array(F.array_except(F.coalesce("_new", none), F.coalesce("_old", none)))
     return (
         old.join(new, keys, "full_outer")
         .withColumn("_added", added)
@@ -259,7 +259,7 @@ def sweep(layers: DataFrame, arrived: DataFrame) -> DataFrame:
         named.join(here, "hash", "left")
         .groupBy(*LAYER_KEY)
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(F.when(F.col("_here").isNull(), F.col("hash")))
             ).alias("_left"),
             F.bool_or(F.col("_here").isNotNull()).alias("_hit"),

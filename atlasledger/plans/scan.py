@@ -99,13 +99,19 @@ def data_layers(facts: ScanFacts) -> DataFrame:
         "set_hash", "x", "y", F.col("hash").alias("adt_hash")
     )
     key = ["set_hash"]
-    bits = chunk_ops.impass_bitsets(facts.chunks, ["adt_hash"])
-    impass = chunk_ops.impass_documents(members.join(bits, "adt_hash"), key)
-
-    owned = facts.chunks.where(F.col("area_id") != 0).select("adt_hash", "area_id").distinct()
-    referenced = members.join(owned, "adt_hash").select("set_hash", "area_id")
+    # the extraction table: one row per terrain file, read three times below
+    packed = checkpointed(chunk_ops.extractions(facts.chunks, ["adt_hash"]))
+    impass = chunk_ops.impass_documents(
+        members.join(packed.select("adt_hash", "bits"), "adt_hash"), key
+    )
+    owned = packed.select("adt_hash", F.explode(F.array_distinct("area_ids")).alias("area_id"))
+    referenced = members.join(owned.where(F.col("area_id") != 0), "adt_hash").select(
+        "set_hash", "area_id"
+    )
     closure = area_ops.ancestor_closure(referenced, facts.areas.select("area_id", "parent_id"), key)
-    grids = members.join(chunk_ops.area_grids(facts.chunks, ["adt_hash"]), "adt_hash")
+    grids = members.join(
+        packed.where(F.col("area_ids").isNotNull()).select("adt_hash", "area_ids"), "adt_hash"
+    )
     embedded = facts.areas.select(
         "area_id", *[c for c in facts.areas.columns if c not in ("area_id", "parent_id")]
     )

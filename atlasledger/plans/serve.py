@@ -23,7 +23,7 @@ def products_per_build(products: DataFrame) -> DataFrame:
     the product catalogue at most.
     """
     seen = products.groupBy("build_id", "product").agg(F.min("first_seen").alias("first_seen"))
-    entries = F.array_sort(F.collect_list(F.struct("first_seen", "product")))
+    entries = F.sort_array(F.collect_list(F.struct("first_seen", "product")))
     return seen.groupBy("build_id").agg(
         F.transform(entries, lambda e: e["product"]).alias("products")
     )

@@ -49,14 +49,14 @@ def composition_documents(tiles: DataFrame, keys: list[str]) -> DataFrame:
     at = F.struct("x", "y")
     placed = tiles.repartition(*[F.col(k) for k in keys])
     by_hash = placed.groupBy(*keys, "hash").agg(
-        F.array_sort(F.collect_list(at)).alias("_at"), F.max("tile_size").alias("_size")
+        F.sort_array(F.collect_list(at)).alias("_at"), F.max("tile_size").alias("_size")
     )
     coords = F.transform(F.col("_at"), lambda c: coord_text(c["x"], c["y"]))
     entry = F.struct(
         hash_sort_key(F.col("hash")).alias("k"), F.col("hash").alias("h"), coords.alias("c")
     )
     grouped = by_hash.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(F.col("hash").isNotNull(), entry))).alias("_tiles"),
+        F.sort_array(F.collect_list(F.when(F.col("hash").isNotNull(), entry))).alias("_tiles"),
         F.max(F.when(F.col("hash").isNull(), coords)).alias("missing"),
         F.max("_size").alias("tileSize"),
     )

@@ -55,7 +55,7 @@ def pack_grid(cells: DataFrame, keys: list[str]) -> DataFrame:
     grouped = (
         cells.where(F.col("x").between(0, 63) & F.col("y").between(0, 63))
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(entry)).alias("_cells"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("_cells"))
     )
     filled = F.transform(
         F.col("_cells"),
