@@ -166,6 +166,7 @@ def area_document(spark, sf):
         areas(spark, sf).select("area_id", "parent_id"),
         ["map_id"],
     )
+    grids = grids.withColumn("area_text", F.to_json("area_ids"))
     docs = chunk_ops.area_documents(grids, closure, embedded(spark, sf), ["map_id"])
     return docs.select("map_id", F.length("document").alias("chars"), "data_hash")
 

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from atlasledger.checks import check
-from atlasledger.checks.derive import cells, feed_versions, layers, sql, table, tile_sizes
+from atlasledger.checks.derive import cells, feed_versions, layers, sql, table
 from atlasledger.session import shared_folder
 from atlasledger.sources import feeds, grids, store, tables
 

@@ -11,7 +11,6 @@ from atlasledger.checks.derive import (
     cells,
     chunks,
     file_index,
-    layer_tiles,
     layers,
     part_years,
     products,
@@ -204,12 +203,12 @@ def tile_existence_split(spark, sf):
     "extraction_work_list",
     sql("""
 SELECT DISTINCT md5('adt-' || part) AS adt_hash FROM chunks
-WHERE md5('adt-' || part) NOT IN (SELECT md5('adt-' || part) FROM chunks WHERE impass AND idx < 64)"""),
+WHERE md5('adt-' || part) NOT IN (SELECT md5('adt-' || part) FROM chunks WHERE impass)"""),
 )
 def extraction_work_list(spark, sf):
     adt = F.md5(F.concat(F.lit("adt-"), F.col("part")).cast("binary")).alias("hash")
     c = chunks(spark, sf)
-    done = c.where(F.col("impass") & (F.col("idx") < 64)).select(adt).distinct()
+    done = c.where("impass").select(adt).distinct()
     work = resolve.unknown(c.select(adt).distinct(), done)
     return work.withColumnRenamed("hash", "adt_hash")
 
@@ -385,7 +384,7 @@ def composition_diff(spark, sf):
 
 REQUESTS_SQL = """
 , versions AS (SELECT DISTINCT map_id, build_id FROM name_facts),
-requests AS (SELECT user_id AS map_id, (event_id * 7919 + user_id) % 10007 AS requested FROM events)
+requests AS (SELECT user_id AS map_id, event_id + user_id AS requested FROM events)
 """
 
 
@@ -414,7 +413,7 @@ def nearest_version(spark, sf):
     ).distinct()
     requests = events.select(
         F.col("user_id").alias("map_id"),
-        ((F.col("event_id") * 7919 + F.col("user_id")) % 10007).alias("requested"),
+        (F.col("event_id") + F.col("user_id")).alias("requested"),
     )
     return nearest_build(requests, versions)
 

@@ -8,10 +8,8 @@ from atlasledger.checks import check
 from atlasledger.checks.derive import (
     builds,
     cells,
-    chunks,
     feed_versions,
     layers,
-    name_facts,
     products,
     scans,
     sql,
@@ -264,7 +262,7 @@ def merge_blobs(spark, sf):
     "merge_layer_masks",
     sql("""
 , held AS (SELECT DISTINCT p_partkey // 256 AS map_id, 16 AS layer_mask FROM part),
-seen AS (SELECT map_id, bit_or(1 << layer_type) AS m FROM layers WHERE composition_hash[1] < '3' GROUP BY 1)
+seen AS (SELECT map_id, bit_or(1 << layer_type) AS m FROM layers GROUP BY 1)
 SELECT h.map_id, h.layer_mask | coalesce(m, 0) AS layer_mask FROM held h LEFT JOIN seen s ON s.map_id = h.map_id"""),
 )
 def merge_layer_masks(spark, sf):
@@ -274,8 +272,7 @@ def merge_layer_masks(spark, sf):
         .distinct()
         .withColumn("layer_mask", F.lit(16))
     )
-    seen = layers(spark, sf).where(F.substring("composition_hash", 1, 1) < "3")
-    return merge.merge_masks(held, seen)
+    return merge.merge_masks(held, layers(spark, sf))
 
 
 def scan_rows(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atlasledger.checks import check
-from atlasledger.checks.derive import areas, builds, chunks, feed_versions, sql, table, tiles
+from atlasledger.checks.derive import builds, chunks, feed_versions, sql, table, tiles
 from atlasledger.functions import coords, hashes, labels, versions
 from atlasledger.operators import areas as area_ops
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atlasledger.checks import check
-from atlasledger.checks.derive import feed_versions, layers, products, scans, sql, table, tiles
+from atlasledger.checks.derive import layers, products, scans, sql, table, tiles
 from atlasledger.checks.filters import SUMMARY_SQL, summary
 from atlasledger.checks.ingest import feed_pages, scratch
 from atlasledger.checks.served import SCAN_SQL, scan_facts

@@ -8,7 +8,6 @@ from atlasledger.checks import check
 from atlasledger.checks.derive import (
     build_count,
     builds,
-    feed_versions,
     layers,
     name_facts,
     place,
@@ -19,8 +18,6 @@ from atlasledger.checks.derive import (
     tile_sizes,
     tiles,
 )
-from atlasledger.checks.joins import sources
-from atlasledger.functions import coords
 from atlasledger.operators import history, lod, viewport
 from atlasledger.operators import scans as scan_ops
 

@@ -81,8 +81,9 @@ def area_grids(chunks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def extractions(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """Bitset and area grid of each key out of one pass over its chunks."""
-    return impass_bitsets(chunks, keys).join(area_grids(chunks, keys), keys, "left")
+    """Bitset, area grid and the grid's text of each key."""
+    grids = area_grids(chunks, keys).withColumn("area_text", F.to_json("area_ids"))
+    return impass_bitsets(chunks, keys).join(grids, keys, "left")
 
 
 def impass_documents(bitsets: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,14 +110,20 @@ def area_documents(
 ) -> DataFrame:
     """Area document of each map: tiles' area ids plus every area they rely on.
 
-    ``closure`` is ``keys, area_id`` (referenced areas and their ancestors);
-    ``area_table`` is ``area_id`` and the columns to embed.
+    ``grids`` is ``keys, x, y, area_text``, the grid already as JSON text, so
+    that a tile many maps list is rendered once. ``closure`` is ``keys,
+    area_id`` (referenced areas and their ancestors); ``area_table`` is
+    ``area_id`` and the columns to embed.
     """
-    tile = F.struct(
-        coord_text(F.col("x"), F.col("y")).alias("key"), F.col("area_ids").alias("value")
+    tile = F.struct(coord_text(F.col("x"), F.col("y")).alias("key"), "area_text")
+    listed = F.transform(
+        F.sort_array(F.collect_list(tile)),
+        lambda t: F.concat(F.lit('"'), t["key"], F.lit('":'), t["area_text"]),
     )
-    tiles = grids.groupBy(*keys).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(tile))).alias("tiles")
+    tiles = (
+        grids.repartition(*[F.col(k) for k in keys])
+        .groupBy(*keys)
+        .agg(F.array_join(listed, ",").alias("tiles"))
     )
     fields = [c for c in area_table.columns if c != "area_id"]
     area = F.struct(
@@ -125,13 +132,15 @@ def area_documents(
     areas = (
         closure.join(area_table, "area_id")
         .groupBy(*keys)
-        .agg(F.map_from_entries(F.sort_array(F.collect_list(area))).alias("areas"))
+        .agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(area)))).alias("areas"))
+    )
+    document = F.concat(
+        F.lit('{"tiles":{'), "tiles", F.lit('},"areas":'), F.coalesce("areas", F.lit("{}")), F.lit("}")
     )
     return (
         tiles.join(areas, keys, "left")
-        .withColumn("document", F.to_json(F.struct("tiles", "areas")))
+        .select(*keys, document.alias("document"))
         .withColumn("data_hash", F.md5(F.col("document").cast("binary")))
-        .select(*keys, "document", "data_hash")
     )
 
 

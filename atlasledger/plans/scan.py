@@ -109,9 +109,8 @@ def data_layers(facts: ScanFacts) -> DataFrame:
         "set_hash", "area_id"
     )
     closure = area_ops.ancestor_closure(referenced, facts.areas.select("area_id", "parent_id"), key)
-    grids = members.join(
-        packed.where(F.col("area_ids").isNotNull()).select("adt_hash", "area_ids"), "adt_hash"
-    )
+    text = packed.where(F.col("area_text").isNotNull()).select("adt_hash", "area_text")
+    grids = members.join(text, "adt_hash")
     embedded = facts.areas.select(
         "area_id", *[c for c in facts.areas.columns if c not in ("area_id", "parent_id")]
     )
@@ -124,7 +123,8 @@ def data_layers(facts: ScanFacts) -> DataFrame:
 
 def scan_builds(facts: ScanFacts) -> dict[str, DataFrame]:
     """All catalogue rows a scan of the builds in ``facts`` produces."""
-    tiles = layer_tiles(facts)
+    # four results below read the resolved tiles, so the joins run once
+    tiles = checkpointed(layer_tiles(facts))
     composed = composition_layers(tiles, facts.sizes)
     data = data_layers(facts)
     rows = composed.select(
