@@ -36,19 +36,42 @@ def _hops(parents: DataFrame) -> list[DataFrame]:
     return hops
 
 
+def _climb(reached: DataFrame, hops: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Add all ancestors to ``keys, area_id`` rows, doubling the steps each join."""
+    for hop in hops:
+        both = F.explode(F.array_compact(F.array("area_id", "up"))).alias("area_id")
+        reached = reached.join(hop, "area_id", "left").select(*keys, both).distinct()
+    return reached
+
+
+# hierarchies of fewer than 2^6 levels have at most 63 ancestors per area
+SHALLOW_HOPS = 6
+
+
 def ancestor_closure(referenced: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
     """Referenced areas plus all their ancestors, per key.
 
     ``parents`` is ``area_id, parent_id`` with 0 for none. A parent without a
     row of its own stays in the set and ends the chain; cycles end by
-    themselves. The doubling runs on the area table alone, so the referenced
-    side, however large, goes through about log2(depth) joins in one job.
+    themselves. The doubling runs on the area table. In a shallow hierarchy
+    every area's ancestors are listed once and the referenced side, however
+    large, takes one join and one distinct; in a deep one, where such a list
+    could grow with the square of the depth, it climbs by about log2(depth)
+    joins in one job.
     """
-    reached = referenced.select(*keys, "area_id").distinct()
-    for hop in _hops(parents):
-        both = F.explode(F.array_compact(F.array("area_id", "up"))).alias("area_id")
-        reached = reached.join(hop, "area_id", "left").select(*keys, both).distinct()
-    return reached
+    hops = _hops(parents)
+    start = referenced.select(*keys, "area_id").distinct()
+    if len(hops) > SHALLOW_HOPS:
+        return _climb(start, hops, keys)
+    own = parents.select(F.col("area_id").alias("_from"), "area_id").distinct()
+    line = _climb(own, hops, ["_from"]).select(
+        F.col("_from").alias("area_id"), F.col("area_id").alias("_up")
+    )
+    return (
+        start.join(checkpointed(line), "area_id", "left")
+        .select(*keys, F.coalesce("_up", "area_id").alias("area_id"))
+        .distinct()
+    )
 
 
 def with_parent(areas: DataFrame, keys: list[str]) -> DataFrame:

@@ -106,6 +106,16 @@ def test_closure_with_cycles_and_unknown_parents(spark):
     assert got == {"a": {1, 2, 3}, "b": {10, 11, 99}, "c": {20}, "d": set(range(100, 181)), "e": {55}}
 
 
+def test_closure_of_a_shallow_table(spark):
+    parents = [(1, 2), (2, 3), (3, 1), (10, 11), (11, 99), (20, 0), (30, 20), (31, 30)]
+    table = spark.createDataFrame(parents, "area_id bigint, parent_id bigint")
+    asked = spark.createDataFrame([(1,), (10,), (31,), (55,)], "area_id bigint")
+    got = {r["area_id"] for r in areas.ancestor_closure(asked, table, []).collect()}
+    assert got == {1, 2, 3, 10, 11, 99, 20, 30, 31, 55}
+    nothing = spark.createDataFrame([(20, 0)], "area_id bigint, parent_id bigint")
+    assert {r["area_id"] for r in areas.ancestor_closure(asked, nothing, []).collect()} == {1, 10, 31, 55}
+
+
 def test_zone_tree(spark):
     rows = [(1, 0, "B"), (2, 1, "C"), (3, 1, "A"), (4, 3, "X"), (5, 0, "A"), (6, 7, "L"), (7, 6, "M"), (8, 99, "Z")]
     table = spark.createDataFrame(rows, "area_id bigint, parent_id bigint, name string")
@@ -215,10 +225,10 @@ def test_terrain_layout(spark):
 
 def test_feed_errors(spark):
     head = feeds.FEEDS["summary"][0]
-    good = f"{head}\n## seqn = 42\nwow|41|\nwow|40|cdn\nagent|7\n"
+    good = f"{head}\n## seqn = 42\ngame|41|\ngame|40|cdn\nagent|7\n"
     rows = feeds.parse_feed(spark.createDataFrame([(good,)], "document string"), "summary").collect()
     assert [(r["seqn"], r["name"], r["product_seqn"], r["flags"]) for r in rows] == [
-        (42, "wow", 41, ""), (42, "wow", 40, "cdn"), (42, "agent", 7, ""),
+        (42, "game", 41, ""), (42, "game", 40, "cdn"), (42, "agent", 7, ""),
     ]
     bad = {
         "unexpected feed header": f"x{head}\n## seqn = 1\na|1|",

@@ -45,21 +45,21 @@ def test_discovery_ticks(spark, tmp_path):
 
     def tick():
         pages = discovery.landed_pages(spark, str(landed))
-        stream = discovery.discovery_stream(pages, snaps, ["wow*"], ["wow_skip"])
+        stream = discovery.discovery_stream(pages, snaps, ["game*"], ["game_skip"])
         run(stream.option("checkpointLocation", str(tmp_path / "cp")))
 
     def products():
         rows = snaps.read("products", discovery.TABLES["products"]).collect()
         return {r["product"]: sorted(r["config_regions"]) for r in rows}
 
-    land(landed, "wow", "1.txt", page("11.0.7.58046", [("us", "b1", "c1", "p"), ("eu", "b1", "c1", "p")]))
-    land(landed, "wow_skip", "1.txt", page("11.0.7.58046", [("us", "b1", "c1", "p")]))
+    land(landed, "game", "1.txt", page("11.0.7.58046", [("us", "b1", "c1", "p"), ("eu", "b1", "c1", "p")]))
+    land(landed, "game_skip", "1.txt", page("11.0.7.58046", [("us", "b1", "c1", "p")]))
     land(landed, "agent", "1.txt", page("1.0.0.1", [("us", "b1", "c1", "p")]))
     tick()
-    assert products() == {"wow": ["eu", "us"]}
-    land(landed, "wow", "2.txt", page("11.0.7.58046", [("kr", "b1", "c1", "p"), ("us", "b2", "c1", "p")]))
+    assert products() == {"game": ["eu", "us"]}
+    land(landed, "game", "2.txt", page("11.0.7.58046", [("kr", "b1", "c1", "p"), ("us", "b2", "c1", "p")]))
     tick()
-    assert products() == {"wow": ["eu", "kr", "us"]}
+    assert products() == {"game": ["eu", "kr", "us"]}
     sources = snaps.read("product_sources", discovery.TABLES["product_sources"]).collect()
     assert {r["config_build"]: sorted(r["config_regions"]) for r in sources} == {"b1": ["kr"], "b2": ["us"]}
     assert {r["first_seen"] for r in sources} == {"batch-0", "batch-1"}
