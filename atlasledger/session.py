@@ -47,7 +47,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix="atlasledger-")
 
@@ -59,7 +60,44 @@ def checkpointed(df: DataFrame) -> DataFrame:
     outlives any executor. Like checkpoint files, it stays until the shared
     folder is cleared.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/atlasledger-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).save(df)
+
+
+class Scratch:
+    """Tables of one job in a folder of their own below the shared folder.
+
+    As a context manager it deletes them at the end; use it so where nothing
+    that reads them is handed out. ``drop`` deletes one table early.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.root = f"{shared_folder(spark)}/atlasledger-{uuid.uuid4().hex}"
+        self._paths: dict[int, str] = {}
+        self._kept: list[DataFrame] = []  # so that ids stay unique
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def save(self, df: DataFrame) -> DataFrame:
+        """``df`` written and read back; a later reader depends on no executor."""
+        path = self.path(f"t{len(self._paths)}")
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = path
+        self._kept.append(out)
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        _delete(self.spark, self._paths[id(df)])
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _delete(self.spark, self.root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
