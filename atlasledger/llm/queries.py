@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlasledger.llm.near_duplicates import near_duplicates
+from atlasledger.llm.quality_rules import quality_rules
 from atlasledger.llm.substrings import repeated_runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    judged = quality_rules(table(spark, sf_dir, "documents"), trusted)
+    return judged.select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "score",
+    )
+
+
 @query
 def op6_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = repeated_runs(table(spark, sf_dir, "documents"))
