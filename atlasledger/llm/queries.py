@@ -7,13 +7,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlasledger.llm.near_duplicates import near_duplicates
+from atlasledger.llm.packing import Limits, pack_documents
 from atlasledger.llm.quality_rules import quality_rules
 from atlasledger.llm.substrings import repeated_runs
+from atlasledger.llm.token_files import read_token_files, write_token_files
+from atlasledger.llm.warc import read_records, write_archives
+from atlasledger.session import Scratch
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+VOCABULARY = 50_257
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -37,6 +44,26 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = write_archives(table(spark, sf_dir, "pages"), Scratch(spark))
+    return read_records(index, folder, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
+    )
+
+
+@query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    manifest, folder = write_token_files(docs, Scratch(spark), TOKENIZER, 2, VOCABULARY)
+    return read_token_files(manifest, folder, with_ids=False)
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, 0, Limits(tokens=1024))
+
+
 @query
 def op6_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = repeated_runs(table(spark, sf_dir, "documents"))
