@@ -100,7 +100,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     """
     trust = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
     text = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    text = text.join(trust.withColumn("_good", F.lit(1)), "_id", "left")
+    # sorted and merged at every size: the trusted ids grow with the labels
+    text = text.join(trust.withColumn("_good", F.lit(1)).hint("merge"), "_id", "left")
     grams = hashed(text, F.col("_text")).select(
         F.col("_good"), F.explode(F.concat("_one", "_two")).alias("_gram")
     )
