@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atlasledger.llm.language import identify, learn
 from atlasledger.llm.near_duplicates import near_duplicates
 from atlasledger.llm.packing import Limits, pack_documents
 from atlasledger.llm.quality_rules import quality_rules
@@ -20,6 +21,7 @@ from atlasledger.llm.warc import read_records, write_archives
 from atlasledger.session import Scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 VOCABULARY = 50_257
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,6 +74,16 @@ def op6_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    with Scratch(spark) as scratch:
+        model = learn(docs.where(~held_out), PIECES, scratch)
+    told = identify(docs, model).select("row.doc_id", "lang_pred", "score")
+    return told.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
 @query
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)

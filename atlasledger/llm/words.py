@@ -18,6 +18,9 @@ SLICE_BYTES = 4 << 20
 LONG_WORD = 4096
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: between runs of letters: ASCII other than letters; longer characters count as letters
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
@@ -70,14 +73,14 @@ def slices(bounds: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, i
         at = to
 
 
-def split(data: np.ndarray, bounds: np.ndarray) -> Words:
-    """The words of consecutive rows."""
+def split(data: np.ndarray, bounds: np.ndarray, apart: np.ndarray = _SPACE) -> Words:
+    """The words of consecutive rows; ``apart`` says for each byte if it stands between words."""
     n = len(data)
     rows = len(bounds) - 1
     if not n:
         none = np.zeros(0, np.int64)
         return Words(data, none, none, none, np.zeros(rows + 1, np.int64))
-    inside = ~_SPACE[data]
+    inside = ~apart[data]
     cut = np.zeros(n + 1, bool)
     cut[bounds] = True
     cut[0] = cut[n] = True
@@ -91,14 +94,19 @@ def split(data: np.ndarray, bounds: np.ndarray) -> Words:
     return Words(data, start, np.flatnonzero(ends) + 1, row, first)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one little-endian integer; zeros follow the last."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(padded) - 7,), "<u8", padded.tobytes(), strides=(1,))
+
+
 def hashes(words: Words, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each word's bytes (``lower``: A-Z as a-z)."""
     out = np.zeros(len(words.start), np.uint64)
     if not len(out):
         return out
     data = _LOWER[words.data] if lower else words.data
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(padded) - 7,), "<u8", padded.tobytes(), strides=(1,))
+    eight = eights(data)
     size = words.end - words.start
     out += mixed(size.astype(np.uint64) * _ODD)
     left = np.flatnonzero(size <= LONG_WORD)
