@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atlasledger.llm import toxicity
 from atlasledger.llm.language import identify, learn
 from atlasledger.llm.near_duplicates import near_duplicates
 from atlasledger.llm.packing import Limits, pack_documents
@@ -66,6 +67,17 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, 0, Limits(tokens=1024))
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    with Scratch(spark) as scratch:
+        model = toxicity.learn(docs, labels.where(~held_out), scratch)
+    told = toxicity.score(docs, model).select("row.doc_id", "score")
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return told.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 @query
 def op6_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = repeated_runs(table(spark, sf_dir, "documents"))
