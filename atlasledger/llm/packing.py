@@ -89,24 +89,24 @@ class Packer:
     def _packed(self, keep: int) -> Iterator[list[Piece]]:
         """Sequences from the pool until ``keep`` pieces or fewer are left."""
         pool = self._pool
-        size = np.array([(p.end - p.start, 1, p.loss_of(p.start, p.end)) for p in pool], np.int64).reshape(-1, 3)
+        size = np.array([(p.end - p.start, 1, p.loss_of(p.start, p.end)) for p in pool], float).reshape(-1, 3).T.copy()
         here = np.ones(len(pool), bool)
         weight = 1.0 / np.array(self.limits, float) ** 2
         while (count := int(here.sum())) > keep:
-            left = np.array(self.limits, np.int64)
+            left = np.array(self.limits, float)
             bin_: list[Piece] = []
             while left[0] and left[1]:
-                fits = here & (size <= left).all(axis=1)
-                k = int(np.argmax(np.where(fits, size @ (weight * left), -1.0)))
+                fits = here & (size[0] <= left[0]) & (size[1] <= left[1]) & (size[2] <= left[2])
+                k = int(np.argmax(np.where(fits, (weight * left) @ size, -1.0)))
                 if fits[k]:
                     bin_.append(pool[k])
-                    left -= size[k]
+                    left -= size[:, k]
                     here[k] = False
                     continue
                 if not self.cut or not here.any():
                     break
                 # the largest piece is cut: what is left of it stays easy to place
-                k = int(np.argmax(np.where(here, size[:, 0], -1)))
+                k = int(np.argmax(np.where(here, size[0], -1)))
                 take = pool[k].most(int(left[0]), int(left[2]))
                 if not take:
                     break
@@ -114,7 +114,7 @@ class Packer:
                 bin_.append(head)
                 pool[k] = pool[k]._replace(start=head.end)
                 used = head.loss_of(head.start, head.end)
-                size[k] -= (take, 0, used)
+                size[:, k] -= (take, 0, used)
                 left -= (take, 1, used)
             if left[0] and self.cut and not here.any():
                 yield from self._powers(bin_)

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable
 
-import numpy as np
-
-#: Words a worker remembers at most (some 100 MB); beyond that it starts afresh.
-REMEMBERED = 400_000
+#: Words and as many chunks a worker remembers at most (some 150 MB each); beyond that it starts afresh.
+REMEMBERED = 800_000
 # fixed values: the vocabulary's split pattern, its letter and number classes up to U+024F
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -41,29 +40,49 @@ def encoder(path: str) -> Callable[[Iterable[str | None]], list[bytes]]:
 
 
 def _remembering(library) -> Callable[[Iterable[str | None]], list[bytes]]:
-    known: dict[str, bytes] = {}
+    words: dict[str, bytes] = {}
+    chunks: dict[str, bytes] = {}  # what stands between two spaces, with the first of them
 
     def packed(texts: list[str]) -> list[bytes]:
         found = library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def of_words(split: list[str]) -> bytes:
+        try:
+            return b"".join([words[w] for w in split])
+        except KeyError:
+            new = [w for w in dict.fromkeys(split) if w not in words]
+            words.update(zip(new, packed(new), strict=True))
+            return b"".join([words[w] for w in split])
+
+    def of_chunks(split: list[str]) -> bytes:
+        try:
+            return b"".join([chunks[c] for c in split])
+        except KeyError:
+            new = {c: _SPLIT.findall(" " + c) for c in split if c not in chunks}
+            unknown = list({w for found in new.values() for w in found if w not in words})
+            if unknown:
+                words.update(zip(unknown, packed(unknown), strict=True))
+            for c, found in new.items():
+                chunks[c] = b"".join([words[w] for w in found])
+            return b"".join([chunks[c] for c in split])
 
     def encode(texts: Iterable[str | None]) -> list[bytes]:
         out = []
         for text in texts:
+            if len(words) > REMEMBERED:
+                words.clear()
+            if len(chunks) > REMEMBERED:
+                chunks.clear()
             if not text:
                 out.append(b"")
             elif _OTHER.search(text):
                 out.append(packed([text])[0])
-            else:
-                split = _SPLIT.findall(text)
-                try:
-                    out.append(b"".join([known[w] for w in split]))
-                except KeyError:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    new = [w for w in dict.fromkeys(split) if w not in known]
-                    known.update(zip(new, packed(new), strict=True))
-                    out.append(b"".join([known[w] for w in split]))
+            elif "  " in text:  # a run of spaces is a word of its own
+                out.append(of_words(_SPLIT.findall(text)))
+            else:  # no word goes on behind a single space
+                first, *rest = text.split(" ")
+                out.append(of_words(_SPLIT.findall(first)) + of_chunks(rest))
         return out
 
     return encode
