@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from atlasledger.llm import toxicity
 from atlasledger.llm.language import identify, learn
+from atlasledger.llm.main_text import extract
 from atlasledger.llm.near_duplicates import near_duplicates
 from atlasledger.llm.packing import Limits, pack_documents
 from atlasledger.llm.quality_rules import quality_rules
@@ -99,3 +100,9 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(table(spark, sf_dir, "pages"))
+    return found.select("row.page_id", "row.url", "text", "n_chars")
