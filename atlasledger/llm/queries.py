@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlasledger.llm import toxicity
+from atlasledger.llm.decontamination import contaminated
 from atlasledger.llm.language import identify, learn
 from atlasledger.llm.main_text import extract
 from atlasledger.llm.near_duplicates import near_duplicates
@@ -106,3 +107,8 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract(table(spark, sf_dir, "pages"))
     return found.select("row.page_id", "row.url", "text", "n_chars")
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
