@@ -248,13 +248,42 @@ def contaminated(
     block, while the plan is built.
     """
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
+    out = None
+    for listed in _blocks(benchmark, item_col, passage_col):
+        found = rows.mapInArrow(lambda it, listed=listed: _searched(it, listed, error), _FOUND)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _blocks(benchmark: DataFrame, item_col: str, passage_col: str) -> Iterator[list[tuple[int | None, str | None]]]:
+    """The passages in blocks of about ``BLOCK_CHARS`` characters; one empty block if there are none."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(passage_col).alias("passage"))
     size = items.agg(F.sum(F.length("passage"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_CHARS))
-    out = None
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == block).collect()
-        listed = sorted(((r.item_id, r.passage) for r in own), key=str)
-        found = rows.mapInArrow(lambda it, listed=listed: _searched(it, listed, error), _FOUND)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield sorted(((r.item_id, r.passage) for r in own), key=str)
+
+
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, error: float = ERROR, text_col: str = "text", item_col: str = "item_id", passage_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` in whose text no passage of ``benchmark`` stands, with all their columns.
+
+    As in ``contaminated``, but rows go at once instead of being joined with what was found. Null and
+    empty texts stay.
+    """
+    columns = docs.columns
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    for listed in _blocks(benchmark, item_col, passage_col):
+
+        def run(batches: Iterator[pa.RecordBatch], listed=listed) -> Iterator[pa.RecordBatch]:
+            items = prepared(listed, error)
+            for batch in batches:
+                rows = batch.column(0)
+                texts = pa.StructArray.field(rows, rows.type.get_field_index(text_col))
+                keep = [not (t and items.codes and in_text(t, items)) for t in (x.as_py() for x in texts)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        out = out.mapInArrow(run, out.schema)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in columns])

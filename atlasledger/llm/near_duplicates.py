@@ -33,7 +33,7 @@ BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 BLOCK = 256
 #: Bins of two sketches that agree at least, else a pair is not looked at: 100 of 160 when links take
-#: 0.8 or more, where a link has fewer with probability below 2e-7 (0.85: 4e-11).
+#: 0.8 or more, where a link has fewer with probability below 3e-6 (0.85: 4e-11).
 SURE = 100
 _FREE = np.uint64((1 << 64) - 1)
 
@@ -98,7 +98,7 @@ def _banded(found: np.ndarray) -> np.ndarray:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        ids, texts, prints = batch.columns
         for at, bounds, hashed in shingles(texts):
             rows = len(bounds) - 1
             size = np.diff(bounds)
@@ -118,13 +118,14 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(
                 [
                     ids[at : at + rows],
+                    prints[at : at + rows],
                     pa.array(size.astype(np.int64)),
                     pa.array(total[0].view(np.int64)),
                     pa.array(total[1].view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends), flat),
                     pa.array([m.tobytes() for m in marks], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "h1", "h2", "bands", "marks"],
+                ["doc_id", "text_hash", "n_shingles", "h1", "h2", "bands", "marks"],
             )
 
 
@@ -244,7 +245,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
+    """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept`` and ``text_hash``, Spark's
+    ``xxhash64`` of the text, which tells rows with equal ids apart.
 
     Two texts are linked if their sets of ``SHINGLE``-word shingles (A-Z lower-cased) have a Jaccard
     similarity of at least ``percent`` / 100; ``component_id`` is the smallest id reachable by links
@@ -258,7 +260,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = scratch.save(
-        docs.mapInArrow(_sketched, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, marks binary")
+        docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+            _sketched, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>, marks binary"
+        )
     )
     sets = scratch.save(
         rows.where("n_shingles > 0")
@@ -299,7 +303,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     linked = rows.where("n_shingles > 0").join(least, ["h1", "h2"], "left")
     alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     return (
-        linked.select("doc_id", "n_shingles", "component_id")
-        .unionByName(alone.select("doc_id", "n_shingles", "component_id"))
+        linked.select("doc_id", "n_shingles", "component_id", "text_hash")
+        .unionByName(alone.select("doc_id", "n_shingles", "component_id", "text_hash"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
