@@ -12,6 +12,7 @@ stay where they are: the benchmark goes to the tasks, in blocks of bounded size.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -32,6 +33,8 @@ LEAST_CHARS = 12
 BLOCK_CHARS = 2_000_000
 #: Characters of documents worked on at once; a longer text is cut into overlapping parts.
 PART_CHARS = 1 << 15
+#: Hits worked on at once.
+MOST_HITS = 1 << 20
 _STEP = np.uint64(0xD1342543DE82EF95)
 # fixed values: code points of white space
 _SPACES = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
@@ -52,11 +55,9 @@ def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
         space[far] = np.isin(codes[far], _SPACES)
     keep = ~space
     keep[1:] |= ~space[:-1]
-    if len(codes) and space[-1] and keep[-1]:
-        keep[-1] = False
-    if len(codes) and space[0]:
-        keep[0] = False
     place = np.flatnonzero(keep)
+    if len(place) and space[place[-1]]:
+        place = place[:-1]
     return np.where(space[place], np.uint32(32), codes[place]), place
 
 
@@ -147,44 +148,57 @@ def prepared(rows: list[tuple[int | None, str | None]], error: float) -> Items:
     return Items(ids, codes, budget, size + 1 - q * (budget + 1), indexes, overlap)
 
 
-def regions(codes: np.ndarray, items: Items) -> Iterator[tuple[int, int]]:
-    """``(item, band)`` with enough hits in one text; band ``j`` of an item holds the diagonals from
-    ``j`` times its stride on, two strides of them."""
-    for index in items.indexes:
-        hashed = grams(codes, index.q)
-        at = np.flatnonzero(index.filter[(hashed >> np.uint64(44)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(index.gram, hashed[at]), len(index.gram) - 1)
-        hit = index.gram[k] == hashed[at]
-        at, k = at[hit], k[hit]
-        count = index.first[k + 1] - index.first[k]
-        total = int(count.sum())
-        if not total:
-            continue
-        entry = np.repeat(index.first[k] - np.cumsum(count) + count, count) + np.arange(total)
-        item = index.item[entry]
-        place = index.place[entry]
-        band = (np.repeat(at, count) - place) // (2 * items.budget[item] + 1)
-        low = int(band.min()) - 1
-        span = int(band.max()) - low + 1
-        # every hit counts in its own band and in the one that begins a stride earlier, there once
-        # for each place of the passage
-        key = item * span + (band - low)
-        key, place = np.concatenate([key, key - 1]), np.concatenate([place, place])
-        named, hits = np.unique(key, return_counts=True)
-        some = hits >= items.needed[named // span]
-        if not some.any():
-            continue
-        mine = np.isin(key, named[some])
-        pair = np.unique(np.stack([key[mine], place[mine]]), axis=1)[0]
-        named, hits = np.unique(pair, return_counts=True)
-        for one in named[hits >= items.needed[named // span]].tolist():
-            yield one // span, one % span + low
-
-
-def matches(codes: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
-    """``(item, edits, first, end)`` of passages in one text, least edits first kept where they overlap."""
+def _hits(codes: np.ndarray, index: _Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where a text has q-grams of passages, which ones, and how many places those have there."""
+    hashed = grams(codes, index.q)
+    at = np.flatnonzero(index.filter[(hashed >> np.uint64(44)).astype(np.int64)])
+    k = np.minimum(np.searchsorted(index.gram, hashed[at]), len(index.gram) - 1)
+    hit = index.gram[k] == hashed[at]
+    at, k = at[hit], k[hit]
+    return at, k, index.first[k + 1] - index.first[k]
+
+
+def _regions(index: _Index, items: Items, at: np.ndarray, k: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int]]:
+    """``(item, band)`` with enough hits; band ``j`` of an item holds the diagonals from ``j`` times
+    its stride on, two strides of them."""
+    total = int(count.sum())
+    if not total:
+        return
+    entry = np.repeat(index.first[k] - np.cumsum(count) + count, count) + np.arange(total)
+    item, place = index.item[entry], index.place[entry]
+    band = (np.repeat(at, count) - place) // (2 * items.budget[item] + 1)
+    low = int(band.min()) - 1
+    span = int(band.max()) - low + 1
+    # every hit counts in its own band and in the one that begins a stride earlier, there once for
+    # each place of the passage
+    key = item * span + (band - low)
+    key, place = np.concatenate([key, key - 1]), np.concatenate([place, place])
+    named, hits = np.unique(key, return_counts=True)
+    some = hits >= items.needed[named // span]
+    if not some.any():
+        return
+    mine = np.isin(key, named[some])
+    far = int(place.max()) + 1
+    named, hits = np.unique(np.unique(key[mine] * far + place[mine]) // far, return_counts=True)
+    for one in named[hits >= items.needed[named // span]].tolist():
+        yield one // span, one % span + low
+
+
+def matches(codes: np.ndarray, items: Items) -> dict[int, list[tuple[int, int, int]]]:
+    """By item, the places ``(edits, first, end)`` that its regions show; they may overlap.
+
+    A text with very many hits, as of one repeated word, is worked on in halves that overlap.
+    """
     found: dict[int, list[tuple[int, int, int]]] = {}
-    for item, band in regions(codes, items):
+    hits = [_hits(codes, index) for index in items.indexes]
+    if sum(int(count.sum()) for *_, count in hits) > MOST_HITS and len(codes) > 4 * items.overlap:
+        half = len(codes) // 2
+        found = matches(codes[: half + items.overlap], items)
+        for item, spans in matches(codes[half:], items).items():
+            found.setdefault(item, []).extend((least, a + half, b + half) for least, a, b in spans)
+        return found
+    regions = (r for index, own in zip(items.indexes, hits, strict=True) for r in _regions(index, items, *own))
+    for item, band in regions:
         passage, budget = items.codes[item], int(items.budget[item])
         stride = 2 * budget + 1
         first = band * stride
@@ -200,26 +214,26 @@ def matches(codes: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
             back, length = edits(passage[::-1], region[:end][::-1], -budget, 2 * budget + 1, budget)
             start = end - length if back == least else max(0, end - len(passage))
             found.setdefault(item, []).append((least, begin + start, begin + end))
-    out = []
-    for item, spans in found.items():
-        kept: list[tuple[int, int, int]] = []
-        for span in sorted(set(spans)):
-            if all(span[2] <= other[1] or span[1] >= other[2] for other in kept):
-                kept.append(span)
-        out += [(item, *span) for span in kept]
-    return sorted(out)
+    return found
 
 
 def in_text(text: str, items: Items) -> list[tuple[int, int, int, int]]:
-    """``matches`` of a whole text; places are those of the text as it is."""
+    """``(item, edits, first, end)`` of passages in a whole text; places are those of the text as it
+    is. Where places of one passage overlap, the one with the fewest edits is told."""
     codes, place = normalised(text)
-    found = {}
+    found: dict[int, set[tuple[int, int, int]]] = {}
     for at in range(0, max(1, len(codes)), PART_CHARS):
-        for item, least, first, end in matches(codes[at : at + PART_CHARS + items.overlap], items):
-            known = [s for s in found.get(item, []) if s[1] < at + end and s[2] > at + first]
-            if not known:  # else the overlap has shown it already
-                found.setdefault(item, []).append((least, at + first, at + end))
-    return sorted((item, least, int(place[a]), int(place[b - 1]) + 1) for item, spans in found.items() for least, a, b in spans)
+        for item, spans in matches(codes[at : at + PART_CHARS + items.overlap], items).items():
+            found.setdefault(item, set()).update((least, at + a, at + b) for least, a, b in spans)
+    out = []
+    for item, spans in found.items():
+        kept: list[tuple[int, int]] = []  # in order
+        for least, a, b in sorted(spans):
+            k = bisect.bisect_left(kept, (a, b))
+            if (k == 0 or kept[k - 1][1] <= a) and (k == len(kept) or kept[k][0] >= b):
+                kept.insert(k, (a, b))
+                out.append((item, least, int(place[a]), int(place[b - 1]) + 1))
+    return sorted(out)
 
 
 def _searched(batches: Iterator[pa.RecordBatch], rows: list[tuple[int | None, str | None]], error: float) -> Iterator[pa.RecordBatch]:

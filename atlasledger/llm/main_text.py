@@ -172,14 +172,13 @@ def classified(found: list[Block]) -> list[str | None]:
 def settled(labels: list[str | None], found: list[Block]) -> list[bool]:
     """Pass 2: each open block takes its nearest decided neighbour's label, a good one's at a tie.
 
-    Neighbours in the same part (in or out of the article) come first. With no decided block at
-    all, all are kept: then nothing speaks against them.
+    Neighbours in the same part (in or out of the article) come first. An article with no decided
+    block is kept, and so is a page with none: then nothing speaks against them.
     """
     out = [label == GOOD for label in labels]
 
     def fill(own: list[int]) -> bool:
-        decided = [k for k in own if labels[k] is not None]
-        if not decided:
+        if all(labels[k] is None for k in own):
             return False
         before, last = {}, None
         for k in own:
@@ -197,9 +196,11 @@ def settled(labels: list[str | None], found: list[Block]) -> list[bool]:
     every = list(range(len(labels)))
     inside = [k for k in every if found[k].article]
     outside = [k for k in every if not found[k].article]
-    for own in (inside, outside):
-        if not fill(own) and not fill(every):
-            return [True] * len(labels)
+    if not fill(inside):  # the page calls it its article, and nothing speaks against that
+        for k in inside:
+            out[k] = True
+    if not fill(outside) and not fill(every):
+        return [True] * len(labels)
     return out
 
 
