@@ -35,6 +35,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
+def small_batches(df: DataFrame, size: str = "4m") -> DataFrame:
+    """``df`` as it is; its session hands at most about ``size`` at once to Python.
+
+    The setting holds for the session from now on, as it is read when a query runs. By default a
+    batch has up to 10,000 rows or 64 MB, of which a JVM and a Python worker hold several copies.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder for checkpoints and handed-over tables.
 
