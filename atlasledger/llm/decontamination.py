@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlasledger.llm.words import mixed
+from atlasledger.session import small_batches
 
 #: Edits allowed, as a share of the passage's characters.
 ERROR = 0.1
@@ -261,7 +262,7 @@ def contaminated(
     characters takes one pass over the documents per block. The driver reads the benchmark, block by
     block, while the plan is built.
     """
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
+    rows = small_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col))
     out = None
     for listed in _blocks(benchmark, item_col, passage_col):
         found = rows.mapInArrow(lambda it, listed=listed: _searched(it, listed, error), _FOUND)
@@ -288,7 +289,7 @@ def decontaminated(
     empty texts stay.
     """
     columns = docs.columns
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    out = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     for listed in _blocks(benchmark, item_col, passage_col):
 
         def run(batches: Iterator[pa.RecordBatch], listed=listed) -> Iterator[pa.RecordBatch]:

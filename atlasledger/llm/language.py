@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from atlasledger.llm import words as W
-from atlasledger.session import Scratch
+from atlasledger.session import Scratch, small_batches
 
 PIECE_BYTES = 8
 #: Longer words are cut into parts of so many bytes.
@@ -178,7 +178,7 @@ def learn(docs: DataFrame, path: str, scratch: Scratch, lang_col: str = "lang",
     At most about ``LEARN_FROM`` documents per language are read, chosen by a hash of the id; the
     driver holds languages x pieces numbers. With no such row, the model knows no language.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = small_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     size = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(size)
@@ -243,6 +243,6 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     A text that is null or has no letter is ``und`` with score 0, as is every text if no language
     was learned. Ties go to the language first in the alphabet.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = StructType(list(rows.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
     return rows.mapInArrow(lambda it: _scored(it, model, text_col), schema)

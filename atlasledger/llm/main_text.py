@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
+from atlasledger.session import small_batches
+
 #: Characters under which a block is too short to judge, and words of which it has any stop word.
 SHORT, LONG = 70, 200
 #: Share of link characters from which a block is navigation.
@@ -221,7 +223,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     come out repeatedly. Each page is read whole, in one pass, without a shuffle.
     """
     rest = [F.col(f"`{c}`") for c in pages.columns if c != html_col]
-    rows = pages.select(F.struct(*rest).alias("row"), F.col(f"`{html_col}`").cast("string").alias("page"))
+    rows = small_batches(pages).select(F.struct(*rest).alias("row"), F.col(f"`{html_col}`").cast("string").alias("page"))
     schema = StructType([rows.schema["row"]]).add("text", StringType()).add("n_chars", LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

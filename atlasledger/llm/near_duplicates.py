@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from atlasledger.llm import words as W
 from atlasledger.llm.components import components
-from atlasledger.session import Scratch
+from atlasledger.session import Scratch, small_batches
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     Jobs run while the plan is built; tables stay in the shared folder until that is cleared.
     """
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = scratch.save(
         docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
             _sketched, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>, marks binary"

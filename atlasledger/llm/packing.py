@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlasledger.llm.tokens import encoder
+from atlasledger.session import small_batches
 
 POOL = 2048
 _PIECES = (
@@ -198,7 +199,7 @@ def pack_documents(
             ids = np.frombuffer(encode([text.as_py()])[0] + end, "<u4")
             yield Piece(doc_id, ids, None, 0, len(ids))
 
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
+    rows = small_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col))
     return rows.mapInArrow(lambda it: _pack(it, examples, limits, True, with_ids), _PIECES + ", ids array<int>" * with_ids)
 
 
@@ -221,5 +222,5 @@ def pack_examples(
                 raise ValueError(f"example {doc_id}: {len(ids)} ids and {len(mask)} marks")
             yield Piece(doc_id, ids, np.concatenate([[0], np.cumsum(mask)]), 0, len(ids))
 
-    rows = examples.select(F.col(id_col).cast("long"), F.col(ids_col), F.col(loss_col))
+    rows = small_batches(examples).select(F.col(id_col).cast("long"), F.col(ids_col), F.col(loss_col))
     return rows.mapInArrow(lambda it: _pack(it, read, limits, cut, with_ids), _PIECES + ", ids array<int>" * with_ids)

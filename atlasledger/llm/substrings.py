@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from atlasledger.llm import words as W
+from atlasledger.session import small_batches
 
 WIDTH = 35
 GROUP_BYTES = 8 << 20
@@ -229,7 +230,7 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", t
     # a group's hash sets are about as large as its text, so as many buckets as groups
     probes = runs = max(16, parts)
     part = F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)).cast("long")
-    dealt = docs.select(part.alias("part"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    dealt = small_batches(docs).select(part.alias("part"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     sets = dealt.groupBy("part").applyInArrow(lambda t: _probe_sets(t, text_col, block, probes), _PACKED)
     hits = sets.groupBy("bucket").applyInArrow(lambda t: _shared(t, _from_five, True), _PACKED)
     runs_of = dealt.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(

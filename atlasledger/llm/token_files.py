@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from atlasledger.llm.elias_fano import EliasFano, encoded
 from atlasledger.llm.files import opened, written
 from atlasledger.llm.tokens import encoder
-from atlasledger.session import Scratch
+from atlasledger.session import Scratch, small_batches
 
 FILE_BYTES = 32 << 20
 READ_BYTES = 8 << 20
@@ -81,7 +81,7 @@ def write_token_files(
     folder = scratch.path("ids")
     width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     # the tie splits an id that very many rows share
     near = rows.repartitionByRange(max(1, math.ceil(size / FILE_BYTES)), "doc_id", "tie")

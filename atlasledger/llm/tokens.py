@@ -12,8 +12,8 @@ import re
 from array import array
 from collections.abc import Callable, Iterable
 
-#: Words and as many chunks a worker remembers at most (some 150 MB each); beyond that it starts afresh.
-REMEMBERED = 800_000
+#: Strings of either kind (words, chunks) that a worker remembers at most, in all some 100 MB.
+OFTEN, ONCE = 250_000, 100_000
 # fixed values: the vocabulary's split pattern, its letter and number classes up to U+024F
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -39,50 +39,63 @@ def encoder(path: str) -> Callable[[Iterable[str | None]], list[bytes]]:
     return _READY[path]
 
 
-def _remembering(library) -> Callable[[Iterable[str | None]], list[bytes]]:
-    words: dict[str, bytes] = {}
-    chunks: dict[str, bytes] = {}  # what stands between two spaces, with the first of them
+class _Memory:
+    """What ``make`` gives for strings, remembered. Strings are known for good once they have come
+    twice; those seen once are forgotten first, as most are never seen again."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]]) -> None:
+        self._make = make
+        self._often: dict[str, bytes] = {}
+        self._once: dict[str, bytes] = {}
+
+    def __call__(self, keys: list[str]) -> list[bytes]:
+        often, once = self._often, self._once
+        out = list(map(often.get, keys))
+        if None not in out:
+            return out
+        at = [k for k, v in enumerate(out) if v is None]
+        new = list(dict.fromkeys(keys[k] for k in at if keys[k] not in once))
+        made = dict(zip(new, self._make(new), strict=True)) if new else {}
+        for k in at:
+            value = made.get(keys[k])
+            if value is None:
+                value = often[keys[k]] = once[keys[k]]
+            out[k] = value
+        once.update(made)
+        if len(once) > ONCE:
+            once.clear()
+        if len(often) > OFTEN:
+            often.clear()
+        return out
 
+
+def _remembering(library) -> Callable[[Iterable[str | None]], list[bytes]]:
     def packed(texts: list[str]) -> list[bytes]:
         found = library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def of_words(split: list[str]) -> bytes:
-        try:
-            return b"".join([words[w] for w in split])
-        except KeyError:
-            new = [w for w in dict.fromkeys(split) if w not in words]
-            words.update(zip(new, packed(new), strict=True))
-            return b"".join([words[w] for w in split])
-
-    def of_chunks(split: list[str]) -> bytes:
-        try:
-            return b"".join([chunks[c] for c in split])
-        except KeyError:
-            new = {c: _SPLIT.findall(" " + c) for c in split if c not in chunks}
-            unknown = list({w for found in new.values() for w in found if w not in words})
-            if unknown:
-                words.update(zip(unknown, packed(unknown), strict=True))
-            for c, found in new.items():
-                chunks[c] = b"".join([words[w] for w in found])
-            return b"".join([chunks[c] for c in split])
+    words = _Memory(packed)
+
+    def of_chunks(split: list[str]) -> list[bytes]:
+        """Ids of what stands between two spaces, with the first of them."""
+        found = [_SPLIT.findall(" " + c) for c in split]
+        each = iter(words([w for own in found for w in own]))
+        return [b"".join([next(each) for _ in own]) for own in found]
+
+    chunks = _Memory(of_chunks)
 
     def encode(texts: Iterable[str | None]) -> list[bytes]:
         out = []
         for text in texts:
-            if len(words) > REMEMBERED:
-                words.clear()
-            if len(chunks) > REMEMBERED:
-                chunks.clear()
             if not text:
                 out.append(b"")
             elif _OTHER.search(text):
                 out.append(packed([text])[0])
             elif "  " in text:  # a run of spaces is a word of its own
-                out.append(of_words(_SPLIT.findall(text)))
+                out.append(b"".join(words(_SPLIT.findall(text))))
             else:  # no word goes on behind a single space
                 first, *rest = text.split(" ")
-                out.append(of_words(_SPLIT.findall(first)) + of_chunks(rest))
+                out.append(b"".join(words(_SPLIT.findall(first)) + chunks(rest)))
         return out
 
     return encode

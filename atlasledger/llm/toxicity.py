@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from atlasledger.llm import words as W
-from atlasledger.session import Scratch
+from atlasledger.session import Scratch, small_batches
 
 #: Labelled rows that the model is learned from at most; which ones, a hash of the id says.
 LEARN_FROM = 20_000
@@ -219,7 +219,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "d
     told = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
     told = told.where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     told = told.orderBy(F.xxhash64("id"), "id").limit(LEARN_FROM)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.join(F.broadcast(told), "id").withColumn("fold", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4)))
     rows = scratch.save(texts.repartition("id"))
     lexicon = _lexicon(rows.where(F.col("fold").isin(*LEXICON_FOLDS)))
@@ -251,7 +251,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     Null and empty texts have all features 0 and the score that the trees give to that. Equal
     calibrated values are set apart, by a thousandth at most, in the order of the trees' margin.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     if model.trees is None:
         return rows.withColumn("score", F.lit(model.rate))
     told = _margin(model.trees.transform(_with_features(rows, model.lexicon, text_col)))
