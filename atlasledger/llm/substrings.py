@@ -48,7 +48,7 @@ def _from_five(packed: bytes) -> np.ndarray:
 def _bucketed(part: int, bucket: np.ndarray, values: np.ndarray, pack: Callable[[np.ndarray], bytes]) -> pa.Table:
     """One row per bucket; ``bucket`` is sorted."""
     named, at = np.unique(bucket, return_index=True)
-    ends = np.append(at[1:], len(bucket))
+    ends = np.append(at, len(bucket))[1:]
     packed = [pack(values[a:b]) for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
     return pa.table({"bucket": pa.array(named.astype(np.int64)), "part": pa.array([part] * len(named), pa.int64()), "packed": pa.array(packed, pa.binary())})
 
