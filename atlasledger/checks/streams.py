@@ -13,7 +13,7 @@ from atlasledger.operators import discovery, merge, packing
 from atlasledger.streaming import discovery as discovery_stream
 from atlasledger.streaming import event_log
 from atlasledger.streaming import scans as scan_stream
-from atlasledger.streaming.snapshots import Snapshots
+from atlasledger.streaming.snapshots import Snapshots, stream_writer
 
 # Fixed values of the checks: followed products.
 INCLUDE = ["*"]
@@ -130,11 +130,11 @@ def scan_stream_query(spark, sf):
     """The whole queue worked down by scan ticks that a commit sets off."""
     store = Snapshots(spark, scratch(spark, "catalogue"))
     queue = scans(spark, sf).select("product_id", "state", "data_version_attempt")
-    store.commit(0, {
+    store.commit({
         "product_scans": queue,
         "build_map_layers": spark.createDataFrame([], scan_stream.TABLES["build_map_layers"]),
         "minimap_tiles": spark.createDataFrame([], scan_stream.TABLES["minimap_tiles"]),
-    })
+    }, "setup", 0)
     known = products(spark, sf).select("product_id", "build_id", "product", "first_seen")
     query = (
         scan_stream.scan_stream(
@@ -182,12 +182,12 @@ def late_tile_stream(spark, sf):
     t = tiles(spark, sf)
     t.where((F.col("b") < 14) & F.col("cdn_missing")).select("hash").distinct().write.parquet(arrivals)
     store = Snapshots(spark, scratch(spark, "catalogue"))
-    store.commit(0, {"build_map_layers": layers(spark, sf).drop("b")})
+    store.commit({"build_map_layers": layers(spark, sf).drop("b")}, "setup", 0)
     schema = "build_id bigint, map_id int, layer_type int, composition_hash string, cdn_missing array<string>"
 
     def repair(batch, batch_id):
         swept = merge.sweep(store.read("build_map_layers", schema), batch)
-        store.commit(batch_id + 1, {"build_map_layers": swept.drop("swept")})
+        store.commit({"build_map_layers": swept.drop("swept")}, stream_writer(batch, "sweep"), batch_id)
 
     query = (
         spark.readStream.schema("hash string")

@@ -99,15 +99,16 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        _delete(self.spark, self._paths[id(df)])
+        delete_folder(self.spark, self._paths[id(df)])
 
     def __enter__(self) -> "Scratch":
         return self
 
     def __exit__(self, *_: object) -> None:
-        _delete(self.spark, self.root)
+        delete_folder(self.spark, self.root)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

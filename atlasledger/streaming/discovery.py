@@ -9,7 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from atlasledger.functions.versions import encode_version
 from atlasledger.operators import discovery, merge
 from atlasledger.sources import feeds
-from atlasledger.streaming.snapshots import Snapshots
+from atlasledger.streaming.snapshots import Snapshots, stream_writer
 
 PRODUCT_KEY = ["build_id", "product"]
 SOURCE_KEY = [*PRODUCT_KEY, "config_build", "config_cdn", "config_product"]
@@ -41,9 +41,7 @@ def page_versions(pages: DataFrame, include: list[str], exclude: list[str]) -> D
     return feeds.parse_feed(wanted, "versions")
 
 
-def tick(
-    store: Snapshots, rows: DataFrame, snapshot: int, seen: str
-) -> None:
+def tick(store: Snapshots, rows: DataFrame, writer: str, batch: int, seen: str) -> None:
     """Merge one tick's feed rows into the catalogue and commit the result."""
     builds = store.read("builds", TABLES["builds"])
     products = store.read("products", TABLES["products"])
@@ -64,13 +62,14 @@ def tick(
     )
     queued = merge.queue_scans(scans, merged.where("processed"), PRODUCT_KEY)
     store.commit(
-        snapshot,
         {
             "builds": builds.unionByName(new_builds),
             "products": merged.select(*PRODUCT_KEY, "config_regions"),
             "product_sources": merge.merge_sources(sources, sightings, PRODUCT_KEY),
             "product_scans": scans.unionByName(queued),
         },
+        writer,
+        batch,
     )
     merged.unpersist()
 
@@ -86,7 +85,8 @@ def discovery_stream(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         rows = page_versions(batch, include, exclude).persist()
-        tick(store, rows, batch_id, seen or f"batch-{batch_id}")
+        writer = stream_writer(batch, "discovery")
+        tick(store, rows, writer, batch_id, seen or f"batch-{batch_id}")
         rows.unpersist()
 
     return pages.writeStream.foreachBatch(run)

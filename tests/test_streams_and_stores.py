@@ -29,16 +29,47 @@ def run(query):
 def test_snapshots_ignore_uncommitted_and_repeated(spark, tmp_path):
     snaps = Snapshots(spark, str(tmp_path / "s"))
     assert snaps.newest() is None and snaps.read("t", "a int").count() == 0
-    snaps.commit(0, {"t": spark.createDataFrame([(1,)], "a int")})
+    snaps.commit({"t": spark.createDataFrame([(1,)], "a int")}, "w", 0)
     # a batch that wrote its table but never committed
     spark.createDataFrame([(9,)], "a int").write.parquet(str(tmp_path / "s" / "t" / "at=1"))
     assert [r["a"] for r in snaps.read("t", "a int").collect()] == [1]
-    snaps.commit(1, {"t": spark.createDataFrame([(2,)], "a int")})
-    snaps.commit(1, {"t": spark.createDataFrame([(3,)], "a int")})
+    snaps.commit({"t": spark.createDataFrame([(2,)], "a int")}, "w", 1)
+    snaps.commit({"t": spark.createDataFrame([(3,)], "a int")}, "w", 1)  # a repeat
     assert snaps.newest() == 1
     assert [r["a"] for r in snaps.read("t", "a int").collect()] == [2]
 
 
+def test_no_commit_is_lost(spark, tmp_path):
+    """Other writers, other tables and lower batch numbers all become commits of their own."""
+    snaps = Snapshots(spark, str(tmp_path / "s"), kept=3)
+    table = lambda n: spark.createDataFrame([(n,)], "a int")
+    held = lambda name: [r["a"] for r in snaps.read(name, "a int").collect()]
+    assert snaps.commit({"t": table(1)}, "w", 5) == 0
+    assert snaps.commit({"u": table(2)}, "w", 6) == 1
+    assert held("t") == [1] and held("u") == [2]  # carried over
+    assert snaps.commit({"t": table(3)}, "other", 0) == 2
+    assert snaps.commit({"t": table(4)}, "w", 0) == 3
+    assert snaps.commit({"t": table(9)}, "w", 5) is None
+    assert held("t") == [4] and held("u") == [2]
+    for n in range(5):
+        snaps.commit({"t": table(10 + n)}, "w", 10 + n)
+    assert held("t") == [14] and held("u") == [2]
+    kept = sorted(p.name for p in (tmp_path / "s" / "t").iterdir())
+    assert kept == ["at=6", "at=7", "at=8"]
+
+
+def test_a_new_checkpoint_location_repeats_nothing(spark, tmp_path):
+    landed = tmp_path / "landed"
+    snaps = Snapshots(spark, str(tmp_path / "catalogue"))
+    for n in range(2):
+        land(landed, "game", f"{n}.txt", page(f"11.0.7.5804{n}", [("us", "b", "c", "p")]))
+        pages = discovery.landed_pages(spark, str(landed))
+        stream = discovery.discovery_stream(pages, snaps, ["game*"], [])
+        run(stream.option("checkpointLocation", str(tmp_path / f"cp{n}")))
+    assert snaps.read("builds", discovery.TABLES["builds"]).count() == 2
+    assert snaps.newest() == 1
+
+
 def test_discovery_ticks(spark, tmp_path):
     landed, root = tmp_path / "landed", str(tmp_path / "catalogue")
     snaps = Snapshots(spark, root)
