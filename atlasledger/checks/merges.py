@@ -71,10 +71,10 @@ def priced_feed(spark, sf):
 , p AS (SELECT p.*, o_totalprice, o_orderstatus FROM products p JOIN orders ON o_orderkey = product_id),
 held AS (SELECT build_id, config_build, config_cdn, config_product, min(first_seen) AS first_seen,
                 string_agg(DISTINCT region, ' ' ORDER BY region) AS r
-         FROM p WHERE o_totalprice > 400000 GROUP BY 1, 2, 3, 4),
+         FROM p WHERE o_totalprice > 150000 GROUP BY 1, 2, 3, 4),
 seen AS (SELECT build_id, config_build, config_cdn, config_product, '2025-01-01' AS first_seen,
                 string_agg(DISTINCT region, ' ' ORDER BY region) AS r
-         FROM p WHERE o_totalprice < 30000 GROUP BY 1, 2, 3, 4)
+         FROM p WHERE o_totalprice < 200000 GROUP BY 1, 2, 3, 4)
 SELECT coalesce(h.build_id, s.build_id) AS product_id, coalesce(h.config_build, s.config_build) AS config_build,
        coalesce(h.config_cdn, s.config_cdn) AS config_cdn,
        coalesce(h.config_product, s.config_product) AS config_product,
@@ -96,8 +96,8 @@ def merge_sources(spark, sf):
         regions = F.sort_array(F.collect_set("region")).alias("config_regions")
         return df.groupBy(*keys).agg(regions, seen.alias("first_seen"))
 
-    held = grouped(p.where(F.col("o_totalprice") > 400000), F.min("first_seen"))
-    seen = grouped(p.where(F.col("o_totalprice") < 30000), F.lit("2025-01-01"))
+    held = grouped(p.where(F.col("o_totalprice") > 150000), F.min("first_seen"))
+    seen = grouped(p.where(F.col("o_totalprice") < 200000), F.lit("2025-01-01"))
     out = merge.merge_sources(held, seen)
     return out.withColumn("config_regions", F.array_join("config_regions", " "))
 

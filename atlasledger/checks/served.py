@@ -150,7 +150,7 @@ def map_list(spark, sf):
 ),
 asked AS (
   SELECT r.map_id, r.requested IS NULL AS is_latest, coalesce(r.requested, n.newest) AS requested
-  FROM requests r JOIN (SELECT map_id, max(build_id) AS newest FROM pivoted GROUP BY 1) n ON n.map_id = r.map_id
+  FROM requests r LEFT JOIN (SELECT map_id, max(build_id) AS newest FROM pivoted GROUP BY 1) n ON n.map_id = r.map_id
 ),
 low AS (SELECT a.*, v.build_id AS older FROM asked a
         ASOF LEFT JOIN pivoted v ON v.map_id = a.map_id AND v.build_id <= a.requested),
@@ -161,15 +161,16 @@ picked AS (
                  THEN older ELSE newer END AS build_id FROM both_
 )
 SELECT k.map_id, k.requested, k.is_latest, k.build_id, k.build_id <> k.requested AS is_fallback, p.l0, p.l1, p.l3, p.l4,
-       CASE WHEN p.l1 IS NOT NULL THEN 1 ELSE 0 END AS base_layer
-FROM picked k JOIN pivoted p ON p.map_id = k.map_id AND p.build_id = k.build_id"""),
+       CASE WHEN p.l1 IS NOT NULL THEN 1 ELSE 0 END AS base_layer, k.build_id IS NOT NULL AS known
+FROM picked k LEFT JOIN pivoted p ON p.map_id = k.map_id AND p.build_id = k.build_id"""),
 )
 def load_map(spark, sf):
     requests = requested_maps(spark, sf)
     versions = serve.layer_pivot(all_layers(spark, sf))
     out = serve.load_maps(requests, versions, preferred=1)
     return out.select(
-        "map_id", "requested", "is_latest", "build_id", "is_fallback", "l0", "l1", "l3", "l4", "base_layer"
+        "map_id", "requested", "is_latest", "build_id", "is_fallback", "l0", "l1", "l3", "l4", "base_layer",
+        "known",
     )
 
 

@@ -84,17 +84,18 @@ def name_history_documents(spark, sf):
     "first_of_version_group",
     sql("""
 , marked AS (
-  SELECT *, lag(composition_hash) OVER (PARTITION BY map_id ORDER BY build_id) AS before
-  FROM layers WHERE layer_type = 1
+  SELECT *, lag(composition_hash) OVER (PARTITION BY map_id, layer_type ORDER BY build_id) AS before
+  FROM layers
 )
-SELECT map_id, build_id, composition_hash FROM marked WHERE before IS DISTINCT FROM composition_hash"""),
+SELECT map_id, layer_type, build_id, composition_hash FROM marked WHERE before IS DISTINCT FROM composition_hash"""),
 )
 def first_of_version_group(spark, sf):
-    rows = layers(spark, sf).where(F.col("layer_type") == 1)
     grouped = history.version_groups(
-        rows, ["map_id"], "composition_hash", build_count(spark, sf)
+        layers(spark, sf), ["map_id", "layer_type"], "composition_hash", build_count(spark, sf)
+    )
+    return grouped.where("first_of_group").select(
+        "map_id", "layer_type", "build_id", "composition_hash"
     )
-    return grouped.where("first_of_group").select("map_id", "build_id", "composition_hash")
 
 
 @check(
@@ -166,11 +167,11 @@ def first_last_composition(spark, sf):
 @check(
     "latest_version",
     sql("""
-SELECT map_id, max(build_id) AS build_id, arg_max(composition_hash, build_id) AS composition_hash
-FROM layers WHERE layer_type = 0 GROUP BY 1"""),
+SELECT map_id, layer_type, max(build_id) AS build_id, arg_max(composition_hash, build_id) AS composition_hash
+FROM layers GROUP BY 1, 2"""),
 )
 def latest_version(spark, sf):
-    return history.latest(layers(spark, sf).where(F.col("layer_type") == 0), "composition_hash")
+    return history.latest(layers(spark, sf), "composition_hash", ["map_id", "layer_type"])
 
 
 # --- viewports --------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The hash text pattern and the two stand-ins used in pyramids.
-HASH_PATTERN = "^[0-9a-fA-F]{32}$"
+HASH_PATTERN = r"^[0-9a-fA-F]{32}\z"
 ABSENT_HEX = "00" * 16
 CDN_MISSING_HEX = "67" * 16
 

@@ -16,7 +16,7 @@ IGNORED_IN_NAMES = r"[\s':.\\-]"
 def wildcard_regex(pattern: str) -> str:
     """Case-insensitive anchored regex of a ``*`` / ``?`` pattern."""
     body = "".join({"*": ".*", "?": "."}.get(ch, re.escape(ch)) for ch in pattern)
-    return f"(?is)^{body}$"
+    return rf"(?is)^{body}\z"
 
 
 def matches_any(text: Column, patterns: list[str]) -> Column:

@@ -16,7 +16,7 @@ PARTS = {
     "minor": (32, 1023),
     "build": (0, 4294967295),
 }
-VERSION_PATTERN = r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"
+VERSION_PATTERN = r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+\z"
 
 
 def try_encode_version(text: Column) -> Column:
@@ -72,13 +72,14 @@ def version_number(text: str) -> int:
 
 def register_sql(spark: SparkSession) -> None:
     """Publish the codec as SQL functions (expressions, no Python worker)."""
+    number = {k: f"try_cast(split_part(v, '.', {i}) AS BIGINT)" for i, k in enumerate(PARTS, 1)}
+    valid = " AND ".join([f"v RLIKE r'{VERSION_PATTERN}'", *[f"{number[k]} <= {PARTS[k][1]}" for k in PARTS]])
+    code = " | ".join(f"shiftleft({number[k]}, {PARTS[k][0]})" for k in PARTS)
     spark.sql(
-        """
+        f"""
         CREATE OR REPLACE TEMPORARY FUNCTION encode_build_version(v STRING) RETURNS BIGINT RETURN
-          shiftleft(CAST(split_part(v, '.', 1) AS BIGINT), 52)
-          | shiftleft(CAST(split_part(v, '.', 2) AS BIGINT), 42)
-          | shiftleft(CAST(split_part(v, '.', 3) AS BIGINT), 32)
-          | CAST(split_part(v, '.', 4) AS BIGINT)
+          CASE WHEN {valid} THEN {code}
+               ELSE raise_error(concat('not a build version: ', coalesce(v, 'null'))) END
         """
     )
     spark.sql(

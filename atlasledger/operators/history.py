@@ -98,9 +98,9 @@ def first_last_composed(layers: DataFrame) -> DataFrame:
     )
 
 
-def latest(versions: DataFrame, value: str) -> DataFrame:
-    """The newest build of each map and its value."""
-    return versions.groupBy("map_id").agg(
+def latest(versions: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """The newest build of each map (or of other keys) and its value."""
+    return versions.groupBy(*(keys or ["map_id"])).agg(
         F.max("build_id").alias("build_id"), F.max_by(value, "build_id").alias(value)
     )
 

@@ -75,7 +75,7 @@ def with_neighbour(
             "_end", pick("_end").over(W.partitionBy(*keys).orderBy("_piece"))
         )
         out = (
-            _join_carried(work, carried, keys)
+            join_carried(work, carried, keys)
             .withColumn("_v", F.coalesce(pick("_v").over(inside), "_end"))
             .drop("_end", "_piece")
         )
@@ -86,7 +86,8 @@ def with_neighbour(
     return out.drop("_v")
 
 
-def _join_carried(work: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+def join_carried(work: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+    """``carried`` (one row per key and piece) beside each row; null keys are keys too."""
     side = carried
     for key in keys:
         side = side.withColumnRenamed(key, f"_k_{key}")
@@ -128,7 +129,7 @@ def with_last_known(
         before = before.rowsBetween(1, W.unboundedFollowing)
     carried = _spanning(ends, keys).withColumn("_end", pick("_end", ignorenulls=True).over(before))
     return (
-        _join_carried(work, carried, keys)
+        join_carried(work, carried, keys)
         .withColumn(name, F.coalesce(nearest("_piece", *keys), "_end"))
         .drop("_end", "_piece")
     )
@@ -155,8 +156,9 @@ def with_running_sum(
     before = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
     carried = _spanning(ends, keys).withColumn("_end", F.sum("_end").over(before))
     return (
-        _join_carried(work, carried, keys)
-        .withColumn(name, running("_piece", *keys) + F.coalesce("_end", F.lit(0)))
+        join_carried(work, carried, keys)
+        # null while the key has shown nothing but nulls, as without pieces
+        .withColumn(name, F.coalesce(running("_piece", *keys) + F.coalesce("_end", F.lit(0)), "_end"))
         .drop("_end", "_piece")
     )
 

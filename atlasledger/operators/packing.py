@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlasledger.operators.ordered import _pieces, _spanning, has_hot_key
+from atlasledger.operators.ordered import _pieces, _spanning, has_hot_key, join_carried
 
 # Fixed value: characters one posted message may have.
 MESSAGE_CAP = 2000
@@ -65,13 +65,16 @@ def summarise(lengths: np.ndarray, cap: int = MESSAGE_CAP) -> tuple[np.ndarray,
 def pack_messages(
     log: DataFrame, keys: list[str], order: list[str], text: str, cap: int = MESSAGE_CAP
 ) -> DataFrame:
-    """``keys, order, batch_no, length`` of every message; only lengths travel."""
-    slim = log.select(*keys, *order, F.length(text).alias("length"))
+    """``keys, order, batch_no, length`` of every message; only lengths travel.
+
+    A null message has no characters; a null key is a key.
+    """
+    length = F.coalesce(F.length(text), F.lit(0))
+    slim = log.select(*keys, *order, length.alias("length"))
     if has_hot_key(slim, keys):
         work = _pieces(slim, keys, order)
         starts = _piece_starts(work, keys, order, cap)
-        on = [*keys, "_piece"]
-        work = work.join(starts, on, "left")
+        work = join_carried(work, starts, keys)
     else:
         work = slim.withColumn("_piece", F.lit(0)).withColumn("_fill", F.lit(0)).withColumn(
             "_batch", F.lit(0).cast("bigint")
@@ -114,7 +117,8 @@ def _piece_starts(work: DataFrame, keys: list[str], order: list[str], cap: int)
 
     cut = _spanning(work.select(*keys, "_piece").distinct(), keys)
     effects = (
-        work.join(cut, [*keys, "_piece"], "left_semi")
+        join_carried(work, cut.withColumn("_cut", F.lit(True)), keys)
+        .where("_cut")
         .groupBy(*keys, "_piece")
         .applyInPandas(effect, f"{key_schema}, _piece int, fills array<bigint>, closed array<bigint>")
     )

@@ -39,8 +39,12 @@ def override_cells(build_maps: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def resolve(cells: DataFrame, file_index: DataFrame) -> DataFrame:
-    """Attach the content hash of each cell's file; null is build-missing."""
-    index = file_index.select("build_id", "fdid", F.col("ckey").alias("hash"))
+    """Attach the content hash of each cell's file; null is build-missing.
+
+    Of several index entries of one file the least hash counts, so no cell is ever doubled;
+    ``index_cardinality`` reports such files.
+    """
+    index = file_index.groupBy("build_id", "fdid").agg(F.min("ckey").alias("hash"))
     return cells.join(index, ["build_id", "fdid"], "left")
 
 

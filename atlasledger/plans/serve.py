@@ -81,18 +81,20 @@ def map_list(maps: DataFrame, build_maps: DataFrame) -> DataFrame:
 def load_maps(requests: DataFrame, versions: DataFrame, preferred: int = 0) -> DataFrame:
     """Layers and base layer of each requested map at its nearest version.
 
-    ``requests``: ``map_id, requested``; a null request asks for the latest.
+    ``requests``: ``map_id, requested``; a null request asks for the latest. A map without versions
+    keeps its row, with a null build and ``known`` false.
     """
     newest = versions.groupBy("map_id").agg(F.max("build_id").alias("_newest"))
     asked = (
-        requests.join(newest, "map_id")
+        requests.join(newest, "map_id", "left")
         .withColumn("is_latest", F.col("requested").isNull())
         .withColumn("requested", F.coalesce("requested", "_newest"))
         .drop("_newest")
     )
     found = nearest_build(asked, versions.select("map_id", "build_id"))
     base = preferred_base(F.lit(preferred), F.col("l0").isNotNull(), F.col("l1").isNotNull())
-    return found.join(versions, ["map_id", "build_id"]).withColumn("base_layer", base)
+    out = found.join(versions, ["map_id", "build_id"], "left").withColumn("base_layer", base)
+    return out.withColumn("known", F.col("build_id").isNotNull())
 
 
 def parent_chains(requests: DataFrame, parents: DataFrame) -> DataFrame:

@@ -145,3 +145,20 @@ def test_coordinates(spark):
     for zoom, want in levels.items():
         assert one(spark, coords.optimal_level(F.col("z"), F.lit(512)), z=zoom) == want
     assert one(spark, coords.optimal_level(F.col("z"), F.lit(256)), z=4.0) == 1
+
+
+def test_sql_codec_refuses_what_is_no_version(spark):
+    versions.register_sql(spark)
+    good = spark.sql("SELECT encode_build_version('11.0.7.58046') AS c, encode_build_version('2047.1023.1023.4294967295') AS top").first()
+    assert (good.c, good.top) == (49539625965904574, (1 << 63) - 1)
+    for bad in ("4000.1.1.1", "11.5000.7.1", "11.0.7.58046.9", "11.0.7", "", "a.b.c.d", "1.1.1.4294967296", "-1.1.1.1", "1.1.1.1\n", "1.1.1.99999999999999999999"):
+        with pytest.raises(Exception, match="not a build version"):
+            spark.createDataFrame([(bad,)], "v string").selectExpr("encode_build_version(v)").collect()
+
+
+def test_no_pattern_takes_a_final_line_break(spark):
+    row = spark.createDataFrame([("0" * 32 + "\n", "1.1.1.1\n", "abc\n")], "h string, v string, t string")
+    from atlasledger.functions import hashes, labels
+
+    got = row.select(hashes.is_hash(F.col("h")).alias("h"), versions.is_version(F.col("v")).alias("v"), labels.matches_any(F.col("t"), ["abc"]).alias("t")).first()
+    assert tuple(got) == (False, False, False)

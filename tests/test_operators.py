@@ -142,6 +142,7 @@ def test_packing_one_hot_key(spark, limit):
     random.seed(8)
     lengths = [random.choice([0, 1, 5, 17, 60, 99, 130]) for _ in range(400)]
     rows = [(1, i, "x" * n) for i, n in enumerate(lengths)] + [(2, 0, "y" * 500), (2, 1, "z")]
+    rows += [(None, i, "x" * n if n else None) for i, n in enumerate(lengths)]
     log = spark.createDataFrame(rows, "k int, seq bigint, msg string")
     spark.conf.set(HOT_SETTING, limit)
     try:
@@ -150,6 +151,7 @@ def test_packing_one_hot_key(spark, limit):
         spark.conf.unset(HOT_SETTING)
     assert [r["batch_no"] for r in packed if r["k"] == 1] == plain_batches(lengths, 100)
     assert [r["batch_no"] for r in packed if r["k"] == 2] == [0, 1]
+    assert [r["batch_no"] for r in packed if r["k"] is None] == plain_batches(lengths, 100)
 
 
 def test_chunk_bits_and_borders(spark):

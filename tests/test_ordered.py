@@ -19,7 +19,8 @@ def test_hot_keys_match_plain_windows(spark):
         F.when(F.col("id") % 3 > 0, (F.col("id") % 7 == 0).cast("int")).alias("k"),
         F.col("id").alias("o"),
         F.when(F.col("id") % 11 == 0, F.col("id")).alias("v"),
-        (F.col("id") % 5).alias("w"),
+        # null for whole pieces, and now and then
+        F.when((F.col("id") > 300) & (F.col("id") % 4 > 0), F.col("id") % 5).alias("w"),
     )
     plain = build(df)
     spark.conf.set(O.HOT_SETTING, "50")
