@@ -35,6 +35,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def sql(name: str, text: str) -> None:
+    """The SQL counterpart of a query; those without one are tested against plain Python."""
+    SQL[name] = text
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,6 +62,19 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+sql(
+    "op2_warc",
+    """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
+d AS (SELECT *, strlen(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM d)
+SELECT page_id, url, payload_bytes, payload_digest,
+       CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM f""",
+)
+
+
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -88,6 +106,30 @@ def op6_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+WORDS_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS w FROM documents
+)"""
+sql(
+    "op6_repeated_runs",
+    WORDS_SQL.format(text="coalesce(text, '')")
+    + """,
+runs AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+),
+hits AS (SELECT doc_id, i FROM runs WHERE h IN (SELECT h FROM runs GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM hits, range(0, 35) t(k)),
+each_word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (
+  SELECT e.doc_id, count(g.i) AS n_removed, string_agg(e.word, ' ' ORDER BY e.i) FILTER (g.i IS NULL) AS t
+  FROM each_word e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY 1
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id""",
+)
+
+
 @query
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -100,7 +142,28 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    found = near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+sql(
+    "op8_near_duplicates",
+    WORDS_SQL.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    + """,
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+part AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT p.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, p.doc_id = component_id AS kept
+FROM part p LEFT JOIN n ON n.doc_id = p.doc_id""",
+)
 
 
 @query
