@@ -13,7 +13,7 @@ from atlasledger.operators import discovery, merge, packing
 from atlasledger.streaming import discovery as discovery_stream
 from atlasledger.streaming import event_log
 from atlasledger.streaming import scans as scan_stream
-from atlasledger.streaming.snapshots import Snapshots, stream_writer
+from atlasledger.streaming.snapshots import Snapshots
 
 # Fixed values of the checks: followed products.
 INCLUDE = ["*"]
@@ -185,14 +185,8 @@ def late_tile_stream(spark, sf):
     store.commit({"build_map_layers": layers(spark, sf).drop("b")}, "setup", 0)
     schema = "build_id bigint, map_id int, layer_type int, composition_hash string, cdn_missing array<string>"
 
-    def repair(batch, batch_id):
-        swept = merge.sweep(store.read("build_map_layers", schema), batch)
-        store.commit({"build_map_layers": swept.drop("swept")}, stream_writer(batch, "sweep"), batch_id)
-
     query = (
-        spark.readStream.schema("hash string")
-        .parquet(arrivals)
-        .writeStream.foreachBatch(repair)
+        scan_stream.late_tile_stream(spark.readStream.schema("hash string").parquet(arrivals), store, schema)
         .option("checkpointLocation", scratch(spark, "stream"))
         .trigger(availableNow=True)
         .start()

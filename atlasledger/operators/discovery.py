@@ -120,11 +120,14 @@ def droppable_scans(products: DataFrame, scans: DataFrame) -> DataFrame:
 def rebuilt_sources(products: DataFrame) -> DataFrame:
     """Sources of kept products, with the first sighting over all duplicates.
 
-    Duplicates differ in CDN config, region lists and sighting time.
+    Duplicates differ in CDN config, region lists and sighting time. They are reduced to their
+    earliest sighting per config before they meet what is kept.
     """
     kept = products.groupBy(*TWIN, "config_regions").agg(F.max("product_id").alias("kept_id"))
+    configs = list(dict.fromkeys([*TWIN, "config_build", "config_cdn", "config_product"]))
     return (
-        products.drop("config_regions")
+        products.groupBy(*configs)
+        .agg(F.min("first_seen").alias("first_seen"))
         .join(kept, TWIN)
         .groupBy("kept_id", "config_build", "config_cdn", "config_product", "config_regions")
         .agg(F.min("first_seen").alias("first_seen"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atlasledger.operators.ordered import (
+    has_hot_key,
     with_last_known,
     with_neighbour,
     with_running_sum,
@@ -130,6 +131,8 @@ def nearest_build(
         )
     )
     order = ["at", "kind"]
+    if not has_hot_key(line, ["map_id"], bound):
+        bound = 0  # asked once for both directions
     line = with_last_known(line, ["map_id"], order, "v", "older", bound=bound)
     line = with_last_known(line, ["map_id"], order, "v", "newer", forward=False, bound=bound)
     older_wins = F.col("newer").isNull() | (

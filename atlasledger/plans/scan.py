@@ -82,7 +82,7 @@ def data_layers(facts: ScanFacts) -> DataFrame:
     each distinct terrain file is packed once, whoever lists it.
     """
     index = facts.adt_index.select("build_id", F.col("fdid").alias("root_adt"), "adt_hash")
-    listed = (
+    listed = checkpointed(
         facts.cells.where(F.col("root_adt") != 0)
         .join(index, ["build_id", "root_adt"])
         .select(*BUILD_MAP, "x", "y", F.col("adt_hash").alias("hash"))
@@ -99,8 +99,9 @@ def data_layers(facts: ScanFacts) -> DataFrame:
         "set_hash", "x", "y", F.col("hash").alias("adt_hash")
     )
     key = ["set_hash"]
-    # the extraction table: one row per terrain file, read three times below
-    packed = checkpointed(chunk_ops.extractions(facts.chunks, ["adt_hash"]))
+    # the extraction table: one row per terrain file that these builds list, read three times below
+    mine = facts.chunks.join(members.select("adt_hash").distinct(), "adt_hash", "left_semi")
+    packed = checkpointed(chunk_ops.extractions(mine, ["adt_hash"]))
     impass = chunk_ops.impass_documents(
         members.join(packed.select("adt_hash", "bits"), "adt_hash"), key
     )
