@@ -255,7 +255,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     itself, and is kept as often as it comes if its id is the component's. A row without an id is
     never a component's id as long as another has one; if none has, the component is null and the
     row is kept. Only the two named columns are read, whatever others are called.
-    Jobs run while the plan is built; tables stay in the shared folder until that is cleared.
+    Jobs run while the plan is built. Three narrow tables stay in the shared folder until that is
+    cleared, as the result reads them; others are deleted at once.
     """
     scratch = Scratch(docs.sparkSession)
     docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -297,6 +298,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     more = scratch.save(_unconnected(member, part, sets, texts, percent))
     if not more.isEmpty():
         part = scratch.save(components(links.unionByName(more), scratch))
+    for done in (member, star, texts, links, more):  # all that follows reads rows, sets and part
+        scratch.drop(done)
     least = sets.join(part, "node", "left").select(
         "h1", "h2", F.coalesce("component", "node").alias("component_id")
     )
