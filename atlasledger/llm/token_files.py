@@ -8,7 +8,6 @@ Files hold ranges of document ids in ascending order; the manifest table lists t
 
 from __future__ import annotations
 
-import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,7 +23,6 @@ from atlasledger.llm.files import opened, written
 from atlasledger.llm.tokens import encoder
 from atlasledger.session import Scratch, small_batches
 
-FILE_BYTES = 32 << 20
 READ_BYTES = 8 << 20
 MAGIC = b"EFIDS\x001\x00"
 #: magic, width, documents without an id, documents, ids, bytes of both codes, least document id
@@ -70,21 +68,21 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
 
 
 def write_token_files(
-    docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int, vocabulary: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int, vocabulary: int = 1 << 16, files: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[DataFrame, str]:
     """Encodes every text, appends ``end_id`` and writes files below ``scratch``, by ascending id.
 
     ``vocabulary`` is above every id; up to 65,536 an id takes two bytes. Null texts are empty; rows
-    without an id come first. Equal ids are ordered by their texts. Gives the manifest with ``start``,
+    without an id come first. Equal ids are ordered by their texts. Spark chooses how many files there
+    are, by size and its shuffle settings, unless ``files`` says it. Gives the manifest with ``start``,
     the number of ids in all files before, and the files' folder.
     """
     folder = scratch.path("ids")
     width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     # the tie splits an id that very many rows share
-    near = rows.repartitionByRange(max(1, math.ceil(size / FILE_BYTES)), "doc_id", "tie")
+    near = rows.repartitionByRange(*([files] if files else []), "doc_id", "tie")
     near = near.sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     manifest = scratch.save(near.mapInArrow(lambda it: _write(it, folder, tokenizer, end_id, width), _MANIFEST))
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

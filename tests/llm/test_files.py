@@ -95,10 +95,9 @@ def test_token_query(spark, sf, library):
 
 @pytest.mark.parametrize("vocabulary,width", [(VOCABULARY, 2), (100_000, 4)])
 def test_token_files_of_awkward_rows(spark, awkward, library, monkeypatch, vocabulary, width):
-    monkeypatch.setattr(token_files, "FILE_BYTES", 200_000)  # many files
     monkeypatch.setattr(token_files, "READ_BYTES", 1000)
     scratch = Scratch(spark)
-    manifest, folder = token_files.write_token_files(awkward, scratch, TOKENIZER, 2, vocabulary)
+    manifest, folder = token_files.write_token_files(awkward, scratch, TOKENIZER, 2, vocabulary, files=5)
     assert manifest.count() > 1
     got = token_files.read_token_files(manifest, folder).orderBy("start").collect()
     order = [r.doc_id for r in got]
