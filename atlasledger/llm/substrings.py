@@ -2,8 +2,9 @@
 
 Every document is laid out in non-overlapping reference blocks of ``(width + 1) // 2`` words; any
 run of ``width`` words holds one whole block. Every rolling window of block length probes the block
-index. Around hits, runs of ``width`` words are compared by 126-bit fingerprints, and words covered
-by a run that occurs elsewhere make up the maximal repeats.
+index. Around hits, runs of ``width`` words are compared by fingerprints (62 bits within a bucket
+that an independent hash gives), and words covered by a run that occurs elsewhere make up the maximal
+repeats.
 
 Documents are dealt into groups of some megabytes by a hash of id and text, so neither a source nor
 a set of copies meets in one group. What is exchanged are sorted hash sets as packed bytes, one per

@@ -1,9 +1,10 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-Labelled rows are split by fold. Some give a lexicon: word beginnings that toxic texts have far more
-often than others. Others fit the trees over a dozen features of a whole text: densities of the
-learned and of a small fixed lexicon, closeness of lexicon words to the second person, capitals,
-punctuation, digits and obfuscated spellings. The last fold calibrates the trees' margin to a
+Labelled rows give a lexicon: word beginnings that toxic texts have far more often than others. Trees
+are fitted over a dozen features of a whole text: densities of the learned and of a small fixed
+lexicon, closeness of lexicon words to the second person, capitals, punctuation, digits and
+obfuscated spellings. Rows are split into folds; a row that trees or calibration learn from has
+features by a lexicon learned from other folds. The last fold calibrates the trees' margin to a
 probability by isotonic regression. Trees and calibration are those of Spark's ML library.
 """
 
@@ -27,8 +28,8 @@ from atlasledger.session import Scratch, small_batches
 
 #: Labelled rows that the model is learned from at most; which ones, a hash of the id says.
 LEARN_FROM = 20_000
-#: Folds 0 to 3 of the rows learned from: two for the lexicon, one for the trees, one to calibrate.
-LEXICON_FOLDS, TREE_FOLD, CALIBRATION_FOLD = (0, 1), 2, 3
+#: Folds of the rows learned from; the last one calibrates, the others fit the trees.
+FOLDS = 4
 LEXICON_SIZE = 4000
 LEAST_TOXIC, LEAST_LOG_ODDS = 3, 2.0
 #: Beginnings of words that may stand in the lexicon, in bytes; 0 is the whole word.
@@ -154,41 +155,46 @@ def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of ``toxic, text`` rows, in how many texts of either kind each unit stands."""
+    """Of ``fold, toxic, text`` rows, in how many texts of each fold and kind each unit stands."""
     for batch in batches:
-        toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-        for a, b in W.slices(W.buffers(batch.column(1))[1]):
-            words = _plain(batch.column(1)[a:b])[0]
+        fold, toxic = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        for a, b in W.slices(W.buffers(batch.column(2))[1]):
+            words = _plain(batch.column(2)[a:b])[0]
             unit = np.concatenate(_units(words))
             row = np.tile(words.row, len(BEGINNINGS))
             order = np.lexsort((unit, row))
             unit, row = unit[order], row[order]
             new = np.ones(len(unit), bool)
             new[1:] = (unit[1:] != unit[:-1]) | (row[1:] != row[:-1])
-            named, to = np.unique(unit[new], return_inverse=True)
-            bad = np.bincount(to, toxic[a:b][row[new]], len(named)).astype(np.int64)
-            every = np.bincount(to, minlength=len(named))
-            yield pa.record_batch([pa.array(named.view(np.int64)), pa.array(bad), pa.array(every)], ["unit", "toxic", "n"])
-
-
-def _lexicon(rows: DataFrame) -> Lexicon:
-    sums = rows.agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).first()
-    bad, good = sums.bad or 0, sums.n - (sums.bad or 0)
-    seen = rows.select("toxic", "text").mapInArrow(_seen, "unit long, toxic long, n long")
-    odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (good + 1))
+            unit, row = unit[new], row[new]
+            for k in range(FOLDS):
+                own = fold[a:b][row] == k
+                named, to = np.unique(unit[own], return_inverse=True)
+                bad = np.bincount(to, toxic[a:b][row[own]], len(named)).astype(np.int64)
+                every = np.bincount(to, minlength=len(named))
+                folds = np.full(len(named), k, np.int32)
+                yield pa.record_batch(
+                    [pa.array(folds), pa.array(named.view(np.int64)), pa.array(bad), pa.array(every)], ["fold", "unit", "toxic", "n"]
+                )
+
+
+def _lexicon(counts: DataFrame, size: dict[tuple[int, int], int], folds: list[int]) -> Lexicon:
+    """The lexicon that some folds show. ``counts`` has a unit's numbers of texts by fold."""
+    bad = sum(n for (fold, toxic), n in size.items() if toxic and fold in folds)
+    good = sum(n for (fold, toxic), n in size.items() if not toxic and fold in folds)
+    toxic = sum(F.col(f"toxic_{k}") for k in folds)
+    clean = sum(F.col(f"n_{k}") for k in folds) - toxic
+    odds = F.log((toxic + 0.5) / (bad + 1)) - F.log((clean + 0.5) / (good + 1))
     found = (
-        seen.groupBy("unit")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-        .where(F.col("toxic") >= LEAST_TOXIC)
-        .select("unit", "toxic", odds.alias("weight"))
-        .where(F.col("weight") >= LEAST_LOG_ODDS)
+        counts.select("unit", toxic.alias("toxic"), odds.alias("weight"))
+        .where((F.col("toxic") >= LEAST_TOXIC) & (F.col("weight") >= LEAST_LOG_ODDS))
         .orderBy(F.desc(F.col("toxic") * F.col("weight")), "unit")
         .limit(LEXICON_SIZE)  # the size of the lexicon, a parameter of the model
         .collect()
     )
     unit = np.array([r.unit for r in found], np.int64).view(np.uint64)
     order = np.argsort(unit)
-    return Lexicon(unit[order], np.array([r.weight for r in found])[order])
+    return Lexicon(unit[order], np.array([r.weight for r in found], float)[order])
 
 
 def _with_features(rows: DataFrame, lexicon: Lexicon, text_col: str | None) -> DataFrame:
@@ -213,29 +219,39 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "d
 
     ``LEARN_FROM`` labelled ids at most take part, those with the least hashes; null ids or labels
     do not, and of several labels of one id the highest counts. The ids are a bounded table and are
-    broadcast, so texts are not shuffled. Where a fold lacks toxic or other texts, the model tells
-    the share of toxic ones of every text.
+    broadcast, so texts are not shuffled. Where trees or calibration would see no toxic or no other
+    text, the model tells the share of toxic ones of every text.
     """
     told = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
     told = told.where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     told = told.orderBy(F.xxhash64("id"), "id").limit(LEARN_FROM)
     texts = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.join(F.broadcast(told), "id").withColumn("fold", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4)))
+    texts = texts.join(F.broadcast(told), "id").withColumn("fold", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(FOLDS)).cast("int"))
     rows = scratch.save(texts.repartition("id"))
-    lexicon = _lexicon(rows.where(F.col("fold").isin(*LEXICON_FOLDS)))
-    sums = {(r.fold, r.toxic): r["count"] for r in rows.groupBy("fold", "toxic").count().collect()}
-    total = sum(sums.values())
-    rate = sum(n for (_, toxic), n in sums.items() if toxic) / total if total else 0.0
-    if not all(sums.get((fold, toxic)) for fold in (TREE_FOLD, CALIBRATION_FOLD) for toxic in (0, 1)):
+    size = {(r.fold, r.toxic): r["count"] for r in rows.groupBy("fold", "toxic").count().collect()}
+    seen = rows.select("fold", "toxic", "text").mapInArrow(_seen, "fold int, unit long, toxic long, n long")
+    by_fold = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}_{k}") for k in range(FOLDS) for c in ("toxic", "n")]
+    counts = seen.groupBy("unit").agg(*by_fold, F.sum("toxic").alias("_toxic")).where(F.col("_toxic") >= LEAST_TOXIC)
+    counts = scratch.save(counts)
+    lexicon = _lexicon(counts, size, list(range(FOLDS)))
+    total = sum(size.values())
+    rate = sum(n for (_, toxic), n in size.items() if toxic) / total if total else 0.0
+    last = FOLDS - 1
+    fit = [sum(size.get((k, toxic), 0) for k in range(last)) for toxic in (0, 1)]
+    if not all(fit) or not all(size.get((last, toxic)) for toxic in (0, 1)):
         return Model(lexicon, None, None, rate)
-    dense = scratch.save(
-        _with_features(
-            rows.where(F.col("fold").isin(TREE_FOLD, CALIBRATION_FOLD)).select(F.struct("fold", "toxic", "text").alias("row")), lexicon, "text"
-        ).select("row.fold", F.col("row.toxic").cast("double").alias("label"), vector_to_array("features").alias("dense"))
-    ).withColumn("features", array_to_vector("dense"))
+    dense = None
+    for fold in range(FOLDS):
+        own = rows.where(F.col("fold") == fold).select(F.struct("fold", "toxic", "text").alias("row"))
+        others = _lexicon(counts, size, [k for k in range(FOLDS) if k != fold])
+        part = _with_features(own, others, "text").select(
+            "row.fold", F.col("row.toxic").cast("double").alias("label"), vector_to_array("features").alias("dense")
+        )
+        dense = part if dense is None else dense.unionByName(part)
+    dense = scratch.save(dense).withColumn("features", array_to_vector("dense"))
     fitted = GBTClassifier(maxDepth=3, maxIter=20, stepSize=0.2, seed=7)
-    trees = fitted.fit(dense.where(F.col("fold") == TREE_FOLD).select("features", "label"))
-    margin = _margin(trees.transform(dense.where(F.col("fold") == CALIBRATION_FOLD)))
+    trees = fitted.fit(dense.where(F.col("fold") < last).select("features", "label"))
+    margin = _margin(trees.transform(dense.where(F.col("fold") == last)))
     calibrated = IsotonicRegression(featuresCol="margin", predictionCol="isotonic").fit(margin.select("margin", "label"))
     return Model(lexicon, trees, calibrated, rate)
 
@@ -249,7 +265,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     ``score`` from 0 to 1, higher where toxic is likelier.
 
     Null and empty texts have all features 0 and the score that the trees give to that. Equal
-    calibrated values are set apart, by a thousandth at most, in the order of the trees' margin.
+    calibrated values are set apart, by less than a thousandth, in the order of the trees' margin.
     """
     rows = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     if model.trees is None:
@@ -257,4 +273,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     told = _margin(model.trees.transform(_with_features(rows, model.lexicon, text_col)))
     told = model.calibrated.transform(told)
     finer = 1 / (1 + F.exp(-2 * F.col("margin")))
-    return told.select("row", (0.999 * F.col("isotonic") + 0.001 * finer).alias("score"))
+    return told.select("row", (0.998 * F.col("isotonic") + 0.001 * finer).alias("score"))
