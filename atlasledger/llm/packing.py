@@ -195,8 +195,8 @@ def pack_documents(
 
     def examples(batch: pa.RecordBatch) -> Iterator[Piece]:
         encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = np.frombuffer(encode([text.as_py()])[0] + end, "<u4")
+        for doc_id, packed in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            ids = np.frombuffer(packed + end, "<u4")
             yield Piece(doc_id, ids, None, 0, len(ids))
 
     rows = small_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col))

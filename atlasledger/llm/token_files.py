@@ -48,8 +48,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
     with written(folder, name) as file:
         for batch in some():
             ids += batch.column(0).to_pylist()
-            for text in batch.column(1):
-                packed = encode([text.as_py()])[0] + end
+            for packed in encode(batch.column(1).to_pylist()):
+                packed += end
                 sizes.append(len(packed) // 4)
                 file.write(packed if width == 4 else np.frombuffer(packed, "<u4").astype(kind).tobytes())
         known = [i for i in ids if i is not None]
