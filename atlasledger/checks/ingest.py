@@ -254,3 +254,39 @@ def distinct_tile_hashes(spark, sf):
     from atlasledger.operators.resolve import distinct_hashes
 
     return distinct_hashes(tiles(spark, sf))
+
+
+@check(
+    "path_list_files",
+    sql("""
+SELECT 'dir/file_' || p_partkey AS path,
+       CASE WHEN p_size > 25 THEN p_partkey + 1000000 ELSE p_partkey END AS fdid
+FROM part"""),
+)
+def path_list_files(spark, sf):
+    """Path lists read from landed files; a path in a later file gets that file's id."""
+    root = scratch(spark, "lines")
+    parts = table(spark, sf, "part")
+    name = F.concat(F.lit(";DIR/File_"), F.col("p_partkey"))
+    parts.select(F.concat(F.col("p_partkey"), name)).write.text(f"{root}/1")
+    later = parts.where(F.col("p_size") > 25)
+    later.select(F.concat(F.col("p_partkey") + 1000000, name)).write.text(f"{root}/2")
+    return feeds.parse_path_list(feeds.read_lines(spark, f"{root}/*"))
+
+
+@check(
+    "key_list_files",
+    sql("""
+SELECT upper(substr(md5(c_name), 1, 16)) AS key_name, md5(c_acctbal::VARCHAR) AS key_hex FROM customer"""),
+)
+def key_list_files(spark, sf):
+    root = scratch(spark, "lines")
+    line = F.concat(
+        F.substring(F.md5(F.col("c_name").cast("binary")), 1, 16),
+        F.lit(" "),
+        F.upper(F.md5(F.col("c_acctbal").cast("string").cast("binary"))),
+        F.lit(" # "),
+        F.col("c_name"),
+    )
+    table(spark, sf, "customer").select(line).write.text(root)
+    return feeds.parse_key_list(feeds.read_lines(spark, root))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atlasledger.checks import check
+from atlasledger.checks.compositions import LOD_SQL
 from atlasledger.checks.derive import (
     build_count,
     builds,
@@ -174,14 +175,47 @@ def latest_version(spark, sf):
     return history.latest(layers(spark, sf), "composition_hash", ["map_id", "layer_type"])
 
 
+@check(
+    "map_neighbours",
+    sql("""
+SELECT build_id, map_id, lag(map_id) OVER w AS prev_map_id, lead(map_id) OVER w AS next_map_id
+FROM (SELECT DISTINCT map_id, build_id FROM layers) WINDOW w AS (PARTITION BY build_id ORDER BY map_id)"""),
+)
+def map_neighbours(spark, sf):
+    """The maps before and after each map of a build."""
+    rows = layers(spark, sf).select("build_id", "map_id").distinct()
+    return history.neighbours(rows, ["build_id"], "map_id")
+
+
+@check(
+    "group_neighbours",
+    sql("""
+, marked AS (
+  SELECT map_id, build_id, (lag(composition_hash) OVER w IS DISTINCT FROM composition_hash)::INT AS step
+  FROM layers WHERE layer_type = 0 WINDOW w AS (PARTITION BY map_id ORDER BY build_id)
+),
+firsts AS (SELECT map_id, build_id AS oldest FROM marked WHERE step = 1)
+SELECT map_id, oldest, lag(oldest) OVER w AS prev_oldest, lead(oldest) OVER w AS next_oldest
+FROM firsts WINDOW w AS (PARTITION BY map_id ORDER BY oldest)"""),
+)
+def group_neighbours(spark, sf):
+    """The version groups before and after each group of a map's minimap layer."""
+    bound = build_count(spark, sf)
+    rows = layers(spark, sf).where(F.col("layer_type") == 0)
+    grouped = history.version_groups(rows, ["map_id"], "composition_hash", bound)
+    ranges = history.group_ranges(grouped, ["map_id"]).select("map_id", "oldest")
+    return history.neighbours(ranges, ["map_id"], "oldest", bound)
+
+
 # --- viewports --------------------------------------------------------------
 
 
 def viewports(spark, sf):
-    """One viewport per customer, over the map of the part with its number."""
+    """One viewport per customer, over the map of the part with its number; builds take turns."""
     at = place(F.col("c_custkey"))
     return table(spark, sf, "customer").select(
         F.col("c_custkey").alias("view_id"),
+        (F.col("c_custkey") % build_count(spark, sf)).cast("int").alias("b"),
         at["map_id"].alias("map_id"),
         (at["x"] + 0.5).alias("center_x"),
         (at["y"] + 0.25).alias("center_y"),
@@ -198,7 +232,7 @@ VIEW_SQL = """
          ceil(center_x + 2048 / (512.0 / zoom) / 2)::INT AS max_x,
          floor(center_y - 1024 / (512.0 / zoom) / 2)::INT AS min_y,
          ceil(center_y + 1024 / (512.0 / zoom) / 2)::INT AS max_y
-  FROM (SELECT c_custkey AS view_id, c_custkey // 256 AS map_id, 24 + c_custkey % 16 + 0.5 AS center_x,
+  FROM (SELECT c_custkey AS view_id, (c_custkey % (SELECT count(*) FROM builds))::INT AS b, c_custkey // 256 AS map_id, 24 + c_custkey % 16 + 0.5 AS center_x,
                24 + (c_custkey // 16) % 16 + 0.25 AS center_y, 1.0 + c_nationkey % 5 AS zoom
         FROM customer)
 )
@@ -214,27 +248,24 @@ def viewport_bounds(spark, sf):
     return views.select("view_id", "level", "min_x", "max_x", "min_y", "max_y")
 
 
-def newest_cells(spark, sf):
-    """Pyramid of the newest build, level 0 included, as map, level, x, y."""
-    t = tiles(spark, sf)
-    newest = builds(spark, sf).agg(F.max("build_id").alias("build_id"))
-    t = t.where(F.col("hash").isNotNull()).join(newest, "build_id", "left_semi")
-    cells = lod.lod_cells(t, ["map_id"])
-    return t.select("map_id", F.lit(0).alias("level"), "x", "y", "hash").unionByName(cells)
+def all_cells(spark, sf):
+    """Pyramids of every build, level 0 included, as build, map, level, x, y."""
+    t = tiles(spark, sf).where(F.col("hash").isNotNull())
+    cells = lod.lod_cells(t, ["b", "map_id"])
+    return t.select("b", "map_id", F.lit(0).alias("level"), "x", "y", "hash").unionByName(cells)
 
 
-NEWEST_CELLS_SQL = """
-, newest AS (SELECT * FROM tiles WHERE hash IS NOT NULL AND build_id = (SELECT max(build_id) FROM builds)),
-cell_list AS (
-  SELECT DISTINCT map_id, level, (x >> level) << level AS x, (y >> level) << level AS y
-  FROM newest, range(0, 7) t(level)
+CELLS_SQL = """
+, cell_list AS (
+  SELECT DISTINCT b, map_id, level, (x >> level) << level AS x, (y >> level) << level AS y
+  FROM (SELECT * FROM tiles WHERE hash IS NOT NULL), range(0, 7) t(level)
 ),
 shown AS (
-  SELECT v.view_id, v.map_id, v.level, c.x, c.y,
+  SELECT v.view_id, v.b, v.map_id, v.level, c.x, c.y,
          greatest(0, 1000 - sqrt(pow(c.x + (1 << v.level) / 2.0 - center_x, 2)
                                  + pow(c.y + (1 << v.level) / 2.0 - center_y, 2)) * 10)
          + CASE WHEN v.level = 5 THEN 50000 ELSE (6 - v.level) * 1000 END AS priority
-  FROM views v JOIN cell_list c ON c.map_id = v.map_id AND c.level = v.level
+  FROM views v JOIN cell_list c ON c.b = v.b AND c.map_id = v.map_id AND c.level = v.level
     AND NOT (c.x + (1 << v.level) <= min_x OR c.x >= max_x
              OR c.y + (1 << v.level) <= min_y OR c.y >= max_y)
 )
@@ -243,20 +274,20 @@ shown AS (
 
 @check(
     "viewport_tiles",
-    sql(VIEW_SQL + NEWEST_CELLS_SQL + """
-SELECT view_id, map_id, level, x, y, round(priority, 4) AS priority FROM shown"""),
+    sql(VIEW_SQL + CELLS_SQL + """
+SELECT view_id, b, map_id, level, x, y, round(priority, 4) AS priority FROM shown"""),
 )
 def viewport_tiles(spark, sf):
     views = viewport.with_view(viewports(spark, sf), F.lit(512))
-    shown = viewport.visible_tiles(views, newest_cells(spark, sf))
+    shown = viewport.visible_tiles(views, all_cells(spark, sf), keys=("b", "map_id"))
     return shown.select(
-        "view_id", "map_id", "level", "x", "y", F.round("priority", 4).alias("priority")
+        "view_id", "b", "map_id", "level", "x", "y", F.round("priority", 4).alias("priority")
     )
 
 
 @check(
     "tile_load_order",
-    sql(VIEW_SQL + NEWEST_CELLS_SQL + """
+    sql(VIEW_SQL + CELLS_SQL + """
 , ranked AS (
   SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY round(priority, 6) DESC, x, y) AS rank
   FROM shown
@@ -265,7 +296,7 @@ SELECT view_id, rank, x, y FROM ranked WHERE rank <= 8"""),
 )
 def tile_load_order(spark, sf):
     views = viewport.with_view(viewports(spark, sf), F.lit(512))
-    shown = viewport.visible_tiles(views, newest_cells(spark, sf))
+    shown = viewport.visible_tiles(views, all_cells(spark, sf), keys=("b", "map_id"))
     shown = shown.withColumn("priority", F.round("priority", 6))
     return viewport.load_order(shown, 8).select("view_id", "rank", "x", "y")
 
@@ -305,33 +336,30 @@ def canonical_orders(spark, sf):
 
 @check(
     "hash_union",
-    sql("""
-SELECT hash FROM tiles WHERE hash IS NOT NULL UNION SELECT hash FROM layer_tiles WHERE hash IS NOT NULL"""),
+    sql(LOD_SQL + """
+SELECT hash FROM tiles WHERE hash IS NOT NULL UNION SELECT hash FROM lod"""),
 )
 def hash_union(spark, sf):
-    from atlasledger.checks.derive import layer_tiles
-
-    a = tiles(spark, sf).where(F.col("hash").isNotNull()).select("hash")
-    b = layer_tiles(spark, sf).where(F.col("hash").isNotNull()).select("hash")
-    return a.union(b).distinct()
+    t = tiles(spark, sf)
+    own = t.where(F.col("hash").isNotNull()).select("hash")
+    return own.union(lod.lod_cells(t, ["build_id", "map_id"]).select("hash")).distinct()
 
 
 @check(
     "work_list_by_level",
-    sql("""
-, work AS (SELECT hash FROM tile_sizes WHERE tile_size = 256 UNION ALL SELECT DISTINCT texture_ckey FROM cells)
+    sql(LOD_SQL + """
+, work AS (SELECT hash FROM tile_sizes WHERE tile_size = 256 UNION SELECT hash FROM lod WHERE hash < '8')
 SELECT hash, 0 AS level FROM (SELECT hash FROM work INTERSECT SELECT hash FROM tiles)
 UNION ALL
-SELECT hash, 1 FROM (SELECT hash FROM work INTERSECT SELECT hash FROM layer_tiles WHERE layer_type = 1)"""),
+SELECT DISTINCT hash, level FROM lod WHERE hash IN (SELECT hash FROM work)"""),
 )
 def work_list_by_level(spark, sf):
-    from atlasledger.checks.derive import cells, layer_tiles
-
+    t = tiles(spark, sf)
+    cells = lod.lod_cells(t, ["build_id", "map_id"]).select("hash", "level").distinct()
     small = tile_sizes(spark, sf).where(F.col("tile_size") == 256).select("hash")
-    work = small.union(cells(spark, sf).select("texture_ckey").distinct())
-    first = work.intersect(tiles(spark, sf).select("hash"))
-    rest = work.intersect(layer_tiles(spark, sf).where(F.col("layer_type") == 1).select("hash"))
-    return first.withColumn("level", F.lit(0)).unionByName(rest.withColumn("level", F.lit(1)))
+    work = small.union(cells.where(F.col("hash") < "8").select("hash")).distinct()
+    first = work.intersect(t.select("hash")).withColumn("level", F.lit(0))
+    return first.unionByName(cells.join(work, "hash", "left_semi"))
 
 
 @check(

@@ -37,15 +37,6 @@ def parse_coord(text: Column) -> Column:
     return F.when(parsed.isNotNull(), parsed).otherwise(problem)
 
 
-def cell_origin(value: Column, level: int | Column) -> Column:
-    """Origin of the level-``level`` cell that holds grid position ``value``."""
-    if isinstance(level, int):
-        return F.shiftleft(F.shiftright(value, level), level)
-    # shift functions take constants only from Python; a power of two is the same
-    size = F.pow(F.lit(2), level).cast("int")
-    return (F.floor(value / size) * size).cast("int")
-
-
 def chunk_index(chunk_x: Column, chunk_y: Column) -> Column:
     return chunk_y * CHUNKS + chunk_x
 

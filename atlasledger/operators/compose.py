@@ -199,6 +199,3 @@ def cdn_missing_hashes(tiles: DataFrame, keys: list[str]) -> DataFrame:
         .select(*keys, F.when(F.size("_h") > 0, F.col("_h")).alias("cdn_missing"))
     )
 
-
-def malformed_hashes(tiles: DataFrame) -> DataFrame:
-    return tiles.where(F.col("hash").isNotNull() & ~is_hash(F.col("hash")))

@@ -50,11 +50,6 @@ def alias_ranges(changes: DataFrame, maps: DataFrame, bound: int | None = None)
     )
 
 
-def layer_fingerprint(layers: list[str]) -> Column:
-    """One comparable text of a build's nullable layer hashes."""
-    return F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("-")) for c in layers])
-
-
 def version_groups(
     versions: DataFrame, keys: list[str], fingerprint: str, bound: int | None = None
 ) -> DataFrame:

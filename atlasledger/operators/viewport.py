@@ -51,13 +51,17 @@ def visible_cells(views: DataFrame) -> DataFrame:
 
 
 def visible_tiles(
-    views: DataFrame, cells: DataFrame, z_index: int = 0, resident_level: int = 5
+    views: DataFrame,
+    cells: DataFrame,
+    z_index: int = 0,
+    resident_level: int = 5,
+    keys: tuple[str, ...] = ("map_id",),
 ) -> DataFrame:
     """Pyramid tiles each viewport shows, with their load priority.
 
-    ``cells`` is ``map_id, level, x, y, hash`` over levels 0..6.
+    ``cells`` is ``keys, level, x, y, hash`` over levels 0..6; views have ``keys`` too.
     """
-    shown = visible_cells(views).join(cells, ["map_id", "level", "x", "y"])
+    shown = visible_cells(views).join(cells, [*keys, "level", "x", "y"])
     size = F.expr("shiftleft(1, level)")
     across = F.col("x") + size / 2 - F.col("center_x")
     down = F.col("y") + size / 2 - F.col("center_y")

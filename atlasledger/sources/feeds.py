@@ -43,13 +43,6 @@ FEEDS: dict[str, tuple[str, list[tuple[str, str]]]] = {
 SEQUENCE_PATTERN = r"^## seqn = ([0-9]+)$"
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole landed documents as ``(source, document)``."""
-    return spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("source"), F.col("value").alias("document")
-    )
-
-
 def parse_feed(documents: DataFrame, feed: str, document: str = "document") -> DataFrame:
     """Rows of typed feed documents, next to the documents' other columns.
 
@@ -88,13 +81,17 @@ def _fail(problem: str, column: str) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with a number that follows file order.
+    """Lines with their place: file by name, split by offset, then line by line.
 
-    Line files are read split by split, so the number is ordered but has gaps.
+    Spark packs splits of several files by size, so a running number alone would not follow the
+    files. Places are ordered but not consecutive.
     """
-    return spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line")
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("offset"),
+        F.monotonically_increasing_id().alias("line"),
     )
+    return spark.read.text(path).select(place.alias("line_no"), F.col("value").alias("line"))
 
 
 def parse_path_list(lines: DataFrame) -> DataFrame:

@@ -15,15 +15,6 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(schema.struct(table)).parquet(f"{root}/{table}")
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """One catalogue table out of a relational database, when a driver is at hand.
-
-    Pass ``partitionColumn``, ``lowerBound``, ``upperBound`` and
-    ``numPartitions`` so that a large table is read in parallel.
-    """
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-
-
 def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite") -> None:
     """Write a catalogue table; blob content stays logical, the codec compresses it."""
     df.write.mode(mode).option("compression", "zstd").parquet(f"{root}/{table}")
