@@ -277,14 +277,14 @@ def path_list_files(spark, sf):
 @check(
     "key_list_files",
     sql("""
-SELECT upper(substr(md5(c_name), 1, 16)) AS key_name, md5(c_acctbal::VARCHAR) AS key_hex FROM customer"""),
+SELECT upper(substr(md5(c_name), 1, 16)) AS key_name, md5(c_mktsegment) AS key_hex FROM customer"""),
 )
 def key_list_files(spark, sf):
     root = scratch(spark, "lines")
     line = F.concat(
         F.substring(F.md5(F.col("c_name").cast("binary")), 1, 16),
         F.lit(" "),
-        F.upper(F.md5(F.col("c_acctbal").cast("string").cast("binary"))),
+        F.upper(F.md5(F.col("c_mktsegment").cast("binary"))),
         F.lit(" # "),
         F.col("c_name"),
     )
