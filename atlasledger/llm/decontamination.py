@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atlasledger.llm import tokens
 from atlasledger.llm.words import mixed
 from atlasledger.session import small_batches
 
@@ -238,6 +239,7 @@ def in_text(text: str, items: Items) -> list[tuple[int, int, int, int]]:
 
 
 def _searched(batches: Iterator[pa.RecordBatch], rows: list[tuple[int | None, str | None]], error: float) -> Iterator[pa.RecordBatch]:
+    tokens.forget()
     items = prepared(rows, error)
     names = [c.split()[0] for c in _FOUND.split(", ")]
     for batch in batches:
@@ -293,6 +295,7 @@ def decontaminated(
     for listed in _blocks(benchmark, item_col, passage_col):
 
         def run(batches: Iterator[pa.RecordBatch], listed=listed) -> Iterator[pa.RecordBatch]:
+            tokens.forget()
             items = prepared(listed, error)
             for batch in batches:
                 rows = batch.column(0)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from atlasledger.llm import tokens
 from atlasledger.llm import words as W
 from atlasledger.session import Scratch, small_batches
 
@@ -144,6 +145,7 @@ class _Lattice:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of ``lang, text`` rows with their counts in the slice."""
+    tokens.forget()
     for batch in batches:
         lang = np.array(batch.column(0).to_pylist(), object)
         for a, b in W.slices(W.buffers(batch.column(1))[1]):
@@ -202,6 +204,7 @@ def learn(docs: DataFrame, path: str, scratch: Scratch, lang_col: str = "lang",
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, text_col: str) -> Iterator[pa.RecordBatch]:
+    tokens.forget()
     known, sums = np.zeros(0, np.uint64), np.zeros((len(model.languages), 0))
     for batch in batches:
         rows = batch.column(0)

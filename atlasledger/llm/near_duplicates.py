@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atlasledger.llm import tokens
 from atlasledger.llm import words as W
 from atlasledger.llm.components import components
 from atlasledger.session import Scratch, small_batches
@@ -97,6 +98,7 @@ def _banded(found: np.ndarray) -> np.ndarray:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens.forget()
     for batch in batches:
         ids, texts, prints = batch.columns
         for at, bounds, hashed in shingles(texts):

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
+from atlasledger.llm import tokens
 from atlasledger.llm import words as W
 from atlasledger.session import small_batches
 
@@ -61,6 +62,7 @@ def _texts(table: pa.Table, text_col: str) -> pa.Array:
 
 def _probe_sets(table: pa.Table, text_col: str, block: int, buckets: int) -> pa.Table:
     """The group's rolling windows, once each, with two marks: is it a reference block, comes it twice."""
+    tokens.forget()
     part = table.column("part")[0].as_py()
     found = []
     texts = _texts(table, text_col)

@@ -24,6 +24,7 @@ _SPLIT = re.compile(
 )
 _RUN = re.compile(r"\s (?=\s|\Z)")
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
+_MEMORIES: list[_Memory] = []
 _READY: dict[str, Callable[[Iterable[str | None]], list[bytes]]] = {}
 
 
@@ -42,6 +43,12 @@ def encoder(path: str) -> Callable[[Iterable[str | None]], list[bytes]]:
     return _READY[path]
 
 
+def forget() -> None:
+    """Give back what earlier tasks have left in this worker; tasks of other operators call it."""
+    for memory in _MEMORIES:
+        memory.forget()
+
+
 class _Memory:
     """What ``make`` gives for strings, remembered. Strings are known for good once they have come
     twice; those seen once are forgotten first, as most are never seen again."""
@@ -50,6 +57,11 @@ class _Memory:
         self._make = make
         self._often: dict[str, bytes] = {}
         self._once: dict[str, bytes] = {}
+        _MEMORIES.append(self)
+
+    def forget(self) -> None:
+        self._often.clear()
+        self._once.clear()
 
     def __call__(self, keys: list[str]) -> list[bytes]:
         often, once = self._often, self._once
