@@ -33,8 +33,8 @@ PART = 96
 LEARN_FROM = 4000
 ROUNDS = 3
 FLOOR = 0.05
-#: Keeps products of probabilities in range: each is multiplied by this to the power of its bytes.
-SCALE = 16.0
+#: Groups under which one slower call takes less time than several fast ones.
+FEW = 64
 REMEMBERED = 200_000
 UNKNOWN = "und"
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(PIECE_BYTES + 1)], np.uint64)
@@ -73,7 +73,12 @@ def _words(column: pa.Array) -> W.Words:
 
 
 class _Lattice:
-    """All pieces in some words: per length, the piece that starts at each byte or -1."""
+    """All segmentations of some words: an edge per piece that stands somewhere in a word.
+
+    Nodes are (bytes of the word so far, row), so those of one length lie together; edges are in the
+    order of the node where they end. Sums are kept as logs, so no word, corpus or vocabulary is too
+    large for them. Memory follows the bytes of the words, whatever their lengths.
+    """
 
     def __init__(self, words: W.Words, chosen: np.ndarray, pieces: list[np.ndarray], first: list[int]) -> None:
         size = (words.end - words.start)[chosen]
@@ -85,62 +90,85 @@ class _Lattice:
         length = np.minimum(PART, size[self.word] - number * PART) + (number == 0)
         order = np.argsort(-length, kind="stable")
         self.word, start, number, self.length = self.word[order], start[order], number[order], length[order]
-        self.at = np.concatenate([[0], np.cumsum(self.length)[:-1]]) if len(order) else np.zeros(0, np.int64)
+        at = np.concatenate([[0], np.cumsum(self.length)[:-1]]) if len(order) else np.zeros(0, np.int64)
         flat = np.full(int(self.length.sum()), 32, np.uint8)
-        source = np.repeat(start - (number == 0) - self.at, self.length) + np.arange(len(flat))
+        source = np.repeat(start - (number == 0) - at, self.length) + np.arange(len(flat))
         inner = np.ones(len(flat), bool)
-        inner[self.at[number == 0]] = False
+        inner[at[number == 0]] = False
         flat[inner] = words.data[source[inner]]
-        eight = W.eights(flat)[: len(flat)]
-        left = np.repeat(self.at + self.length, self.length) - np.arange(len(flat))
-        self.piece = [np.zeros(0, np.int32)]
-        for size in range(1, PIECE_BYTES + 1):
-            value = eight & _MASK[size]
-            own = pieces[size]
-            k = np.minimum(np.searchsorted(own, value), len(own) - 1) if len(own) else np.zeros(len(value), np.int64)
-            hit = (own[k] == value) & (left >= size) if len(own) else np.zeros(len(value), bool)
-            self.piece.append(np.where(hit, k + first[size], -1).astype(np.int32))
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """Sums over the segmentations of every beginning (rows x bytes + 1), times ``SCALE`` per byte."""
-        longest = int(self.length[0]) if len(self.length) else 0
-        alpha = np.zeros((longest + 1, len(self.length)))
-        alpha[0] = 1
-        for j in range(1, longest + 1):
-            m = int(np.searchsorted(-self.length, -j, "right"))
-            for size in range(1, min(j, PIECE_BYTES) + 1):
-                piece = self.piece[size][self.at[:m] + j - size]
-                k = np.flatnonzero(piece >= 0)
-                alpha[j, k] += alpha[j - size, k] * p[piece[k]] * SCALE**size
+        row = np.repeat(np.arange(len(at)), self.length)
+        place = np.arange(len(flat)) - at[row]
+        longest = int(self.length[0]) if len(at) else 0
+        #: how many rows have so many bytes, and the first node of each length
+        self.rows = np.searchsorted(-self.length, -np.arange(longest + 1), "right") if longest else np.zeros(1, np.int64)
+        self.node = np.concatenate([[0], np.cumsum(self.rows)])
+        self.final = self.node[self.length] + np.arange(len(at))
+        found = list(_pieces_in(flat, self.length[row] - place, pieces, first))
+        edges = np.zeros(self.node[-1] + 1, np.int64)
+        ends = [self.node[place[k] + size] + row[k] for size, k, _ in found]
+        for end in ends:  # a node ends one piece of each size at most
+            edges[end + 1] += 1
+        self.bounds = np.cumsum(edges)
+        free = self.bounds[:-1].copy()
+        self.start, self.end, self.piece = (np.zeros(self.bounds[-1], np.int32) for _ in range(3))
+        for end, (_, k, piece) in zip(ends, found, strict=True):
+            own = free[end]
+            free[end] += 1
+            self.start[own], self.end[own], self.piece[own] = self.node[place[k]] + row[k], end, piece
+
+    def forward(self, weight: np.ndarray) -> np.ndarray:
+        """Per node, the log of the sum over the segmentations up to there; edges have log weights."""
+        alpha = np.zeros(self.node[-1])
+        for j in range(1, len(self.rows)):
+            a, b = self.node[j], self.node[j + 1]
+            e = self.bounds[a : b + 1]
+            alpha[a:b] = _log_sums(alpha[self.start[e[0] : e[-1]]] + weight[e[0] : e[-1]], e[:-1] - e[0])
         return alpha
 
     def log_sums(self, log_p: np.ndarray, words: int) -> np.ndarray:
         """Languages x words: the log of each word's sum over all segmentations."""
         out = np.zeros((len(log_p), words))
-        for k, p in enumerate(np.exp(log_p)):
-            alpha = self.forward(p)
-            total = alpha[self.length, np.arange(len(self.length))]
-            out[k] = np.bincount(self.word, np.log(total) - self.length * np.log(SCALE), words)
+        for k, p in enumerate(log_p):
+            out[k] = np.bincount(self.word, self.forward(p[self.piece])[self.final], words)
         return out
 
     def expected(self, p: np.ndarray, count: np.ndarray) -> np.ndarray:
         """How often each piece is used over all segmentations of words that come ``count`` times."""
-        alpha = self.forward(p)
-        longest = len(alpha) - 1
-        beta = np.zeros_like(alpha)
-        rows = np.arange(len(self.length))
-        beta[self.length, rows] = 1
-        out = np.zeros(len(p))
-        share = count[self.word] / alpha[self.length, rows]
-        for j in range(longest, 0, -1):
-            m = int(np.searchsorted(-self.length, -j, "right"))
-            for size in range(1, min(j, PIECE_BYTES) + 1):
-                piece = self.piece[size][self.at[:m] + j - size]
-                k = np.flatnonzero(piece >= 0)
-                flow = beta[j, k] * p[piece[k]] * SCALE**size
-                np.add.at(out, piece[k], alpha[j - size, k] * flow * share[k])
-                beta[j - size, k] += flow
-        return out
+        weight = np.log(p)[self.piece]
+        alpha = self.forward(weight)
+        order = np.argsort(self.start, kind="stable")
+        end, back = self.end[order], weight[order]
+        bounds = np.searchsorted(self.start[order], np.arange(len(alpha) + 1))
+        beta = np.zeros(len(alpha))
+        for j in range(len(self.rows) - 2, -1, -1):
+            # rows that end here stand behind those that go on
+            a, b = self.node[j], self.node[j] + self.rows[j + 1]
+            e = bounds[a : b + 1]
+            beta[a:b] = _log_sums(beta[end[e[0] : e[-1]]] + back[e[0] : e[-1]], e[:-1] - e[0])
+        row = (np.arange(len(alpha)) - np.repeat(self.node[:-1], self.rows))[self.start]
+        used = np.exp(alpha[self.start] + weight + beta[self.end] - alpha[self.final][row])
+        return np.bincount(self.piece, used * count[self.word][row], len(p))
+
+
+def _pieces_in(flat: np.ndarray, left: np.ndarray, pieces: list[np.ndarray], first: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By length: the bytes at which a piece begins that ends within ``left`` bytes, and its number."""
+    eight = W.eights(flat)[: len(flat)]
+    for size in range(1, PIECE_BYTES + 1):
+        own = pieces[size]
+        if len(own):
+            value = eight & _MASK[size]
+            k = np.minimum(np.searchsorted(own, value), len(own) - 1)
+            hit = np.flatnonzero((own[k] == value) & (left >= size))
+            yield size, hit, k[hit] + first[size]
+
+
+def _log_sums(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Logs of the sums of what ``value`` has the logs of, per group; ``first`` has each group's first."""
+    if len(first) < FEW:
+        return np.logaddexp.reduceat(value, first)
+    top = np.maximum.reduceat(value, first)
+    value = np.exp(value - np.repeat(top, np.diff(first, append=len(value))))
+    return top + np.log(np.add.reduceat(value, first))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -113,3 +113,31 @@ def test_one_language(spark, make):
     with Scratch(spark) as scratch:
         one = L.learn(make([(1, "some text", "xx"), (2, "more", "xx")]), PIECES, scratch)
     assert [(r.lang_pred, r.score) for r in L.identify(make([(1, "anything")]), one).collect()] == [("xx", 1.0)]
+
+
+def large(path, own):
+    """A model as if learned from millions of pieces a language; ``own`` has texts that only ``bb`` knows."""
+    pieces, first = L.vocabulary(path)
+    used = np.full((2, first[-1] + len(pieces[-1])), L.FLOOR)
+    seen = {piece.to_bytes(1, "little"): first[1] + i for i, piece in enumerate(pieces[1].tolist())}
+    used[:, [seen[b" "], seen[b"e"], seen[b"t"]]] = 1e6
+    for byte in set("".join(own).lower().encode()):
+        used[1, seen[bytes([byte])]] = 1e5
+    return L.Model(["aa", "bb"], np.log([0.5, 0.5]), pieces, first, np.log(used / used.sum(axis=1, keepdims=True)))
+
+
+def test_characters_outside_the_vocabulary(make):
+    learned = ["ａｂｃｄｅｆｇｈ" * 4, "ｱｲｳｴｵｶｷｸ" * 4]
+    unlearned = ["ሀለሐመሠረሰሸ" * 4, "𝒜𝒞𝒟𝒢𝒥𝒦𝒩𝒪" * 4]
+    model = large(PIECES, learned)
+    got = L.identify(make(list(enumerate(learned + unlearned))), model).collect()
+    assert all(0.5 <= r.score <= 1 for r in got)
+    assert {r["row"].doc_id: r.lang_pred for r in got if r["row"].doc_id < 2} == {0: "bb", 1: "bb"}
+    for text in learned + unlearned:
+        words = L._words(pa.array([text]))
+        lattice = L._Lattice(words, np.arange(len(words.start)), model.pieces, model.first)
+        assert np.isfinite(lattice.log_sums(model.log_p, len(words.start))).all()
+        used = lattice.expected(np.exp(model.log_p[0]), np.full(len(words.start), 1e9))
+        # every byte is covered once by each segmentation
+        size = np.repeat(np.arange(len(model.pieces)), [len(p) for p in model.pieces])
+        assert math.isclose(used @ size, 1e9 * (len(text.lower().encode()) + 1), rel_tol=1e-6)
