@@ -6,8 +6,8 @@ probabilities, which the forward algorithm adds up in one pass over the word. Pr
 learned by expectation-maximisation over the same sums. A text's score is the sum over its words.
 
 Words are runs of letters of the lower-cased text (beyond ASCII: of any characters), with a space in
-front, as the vocabulary's pieces have it. Pieces of up to ``PIECE_BYTES`` bytes and all single bytes
-take part, so that every word has a segmentation.
+front, as the vocabulary's pieces have it. All its pieces and all single bytes take part, so that
+every word has a segmentation; words of any length are summed over as wholes.
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ from atlasledger.llm import tokens
 from atlasledger.llm import words as W
 from atlasledger.session import Scratch, small_batches
 
-PIECE_BYTES = 8
-#: Longer words are cut into parts of so many bytes.
-PART = 96
+#: The vocabulary's longest piece; one with a longer piece is refused.
+PIECE_BYTES = 25
 #: Documents per language that the model is learned from at most; which ones, a hash of the id says.
 LEARN_FROM = 4000
 ROUNDS = 3
@@ -37,13 +36,13 @@ FLOOR = 0.05
 FEW = 64
 REMEMBERED = 200_000
 UNKNOWN = "und"
-_MASK = np.array([(1 << (8 * k)) - 1 for k in range(PIECE_BYTES + 1)], np.uint64)
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 class Model(NamedTuple):
     languages: list[str]
     prior: np.ndarray  # log share of the documents learned from
-    pieces: list[np.ndarray]  # by length in bytes, the pieces as sorted integers
+    pieces: list[np.ndarray]  # by length in bytes, the pieces as sorted integers, beyond 8 bytes Python's
     first: list[int]  # by length, the number of its first piece
     log_p: np.ndarray  # languages x pieces
 
@@ -57,9 +56,11 @@ def vocabulary(path: str) -> tuple[list[np.ndarray], list[int]]:
     for k in range(model.get_piece_size()):
         if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k)):
             found.add(model.id_to_piece(k).replace("▁", " ").encode())
+    if max(map(len, found)) > PIECE_BYTES:
+        raise ValueError(f"a piece of {max(map(len, found))} bytes; at most {PIECE_BYTES} are looked for")
     pieces, first, at = [np.zeros(0, np.uint64)], [0], 0
     for size in range(1, PIECE_BYTES + 1):
-        own = np.sort(np.array([int.from_bytes(p, "little") for p in found if len(p) == size], np.uint64))
+        own = np.array(sorted(int.from_bytes(p, "little") for p in found if len(p) == size), np.uint64 if size <= 8 else object)
         pieces.append(own)
         first.append(at)
         at += len(own)
@@ -81,20 +82,15 @@ class _Lattice:
     """
 
     def __init__(self, words: W.Words, chosen: np.ndarray, pieces: list[np.ndarray], first: list[int]) -> None:
-        size = (words.end - words.start)[chosen]
-        parts = -(-size // PART)
-        # rows are parts of words, longest first; a space goes in front of a word's first part
-        self.word = np.repeat(np.arange(len(chosen)), parts)
-        number = np.arange(len(self.word)) - np.repeat(np.cumsum(parts) - parts, parts)
-        start = words.start[chosen][self.word] + number * PART
-        length = np.minimum(PART, size[self.word] - number * PART) + (number == 0)
-        order = np.argsort(-length, kind="stable")
-        self.word, start, number, self.length = self.word[order], start[order], number[order], length[order]
-        at = np.concatenate([[0], np.cumsum(self.length)[:-1]]) if len(order) else np.zeros(0, np.int64)
+        length = (words.end - words.start)[chosen] + 1
+        # rows are words, longest first, with a space in front
+        self.word = np.argsort(-length, kind="stable")
+        self.length = length[self.word]
+        at = np.cumsum(self.length) - self.length
         flat = np.full(int(self.length.sum()), 32, np.uint8)
-        source = np.repeat(start - (number == 0) - at, self.length) + np.arange(len(flat))
+        source = np.repeat(words.start[chosen][self.word] - 1 - at, self.length) + np.arange(len(flat))
         inner = np.ones(len(flat), bool)
-        inner[at[number == 0]] = False
+        inner[at] = False
         flat[inner] = words.data[source[inner]]
         row = np.repeat(np.arange(len(at)), self.length)
         place = np.arange(len(flat)) - at[row]
@@ -129,7 +125,7 @@ class _Lattice:
         """Languages x words: the log of each word's sum over all segmentations."""
         out = np.zeros((len(log_p), words))
         for k, p in enumerate(log_p):
-            out[k] = np.bincount(self.word, self.forward(p[self.piece])[self.final], words)
+            out[k, self.word] = self.forward(p[self.piece])[self.final]
         return out
 
     def expected(self, p: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -153,13 +149,26 @@ class _Lattice:
 def _pieces_in(flat: np.ndarray, left: np.ndarray, pieces: list[np.ndarray], first: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """By length: the bytes at which a piece begins that ends within ``left`` bytes, and its number."""
     eight = W.eights(flat)[: len(flat)]
-    for size in range(1, PIECE_BYTES + 1):
+    for size in range(1, 9):
         own = pieces[size]
         if len(own):
             value = eight & _MASK[size]
             k = np.minimum(np.searchsorted(own, value), len(own) - 1)
             hit = np.flatnonzero((own[k] == value) & (left >= size))
             yield size, hit, k[hit] + first[size]
+    # longer ones only where eight bytes begin one; in reverse, their bytes sort as the integers do
+    heads = np.unique(np.array([p & int(_MASK[8]) for own in pieces[9:] for p in own], np.uint64))
+    if not len(heads):
+        return
+    some = np.flatnonzero(heads[np.minimum(np.searchsorted(heads, eight), len(heads) - 1)] == eight)
+    for size in range(9, len(pieces)):
+        some = some[left[some] >= size]
+        if len(pieces[size]) and len(some):
+            own = np.array([p.to_bytes(size, "big") for p in pieces[size]], f"S{size}")
+            value = flat[some[:, None] + np.arange(size - 1, -1, -1)].view(f"S{size}")[:, 0]
+            k = np.minimum(np.searchsorted(own, value), len(own) - 1)
+            hit = own[k] == value
+            yield size, some[hit], k[hit] + first[size]
 
 
 def _log_sums(value: np.ndarray, first: np.ndarray) -> np.ndarray:

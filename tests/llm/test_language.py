@@ -141,3 +141,28 @@ def test_characters_outside_the_vocabulary(make):
         # every byte is covered once by each segmentation
         size = np.repeat(np.arange(len(model.pieces)), [len(p) for p in model.pieces])
         assert math.isclose(used @ size, 1e9 * (len(text.lower().encode()) + 1), rel_tol=1e-6)
+
+
+def test_long_pieces_and_long_words(model):
+    """All pieces of the vocabulary take part, and sums go on over the whole of a word."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    found = {bytes([b]) for b in range(256)}
+    for k in range(library.get_piece_size()):
+        if not (library.is_control(k) or library.is_unknown(k) or library.is_byte(k)):
+            found.add(library.id_to_piece(k).replace("▁", " ").encode())
+    assert sum(map(len, model.pieces)) == len(found)
+    text = "responsibility государственный interessantes" + "internationalization" * 12
+    words = L._words(pa.array([text]))
+    got = L._Lattice(words, np.arange(len(words.start)), model.pieces, model.first).log_sums(model.log_p, len(words.start))
+    data = words.data.tobytes()
+    for k in range(len(model.languages)):
+        p = as_dict(model, k)
+        assert set(p) == found
+        for w in range(len(words.start)):
+            own = b" " + data[words.start[w] : words.end[w]]
+            alpha = [0.0]  # logs, byte by byte from the definition
+            for j in range(1, len(own) + 1):
+                alpha.append(np.logaddexp.reduce([alpha[i] + math.log(p[own[i:j]]) for i in range(max(0, j - 25), j) if own[i:j] in p]))
+            assert math.isclose(got[k, w], alpha[-1], rel_tol=1e-9)
