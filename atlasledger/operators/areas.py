@@ -17,30 +17,38 @@ from atlasledger.session import checkpointed
 PATH_SEPARATOR = "\u0001"
 
 
-def _hops(parents: DataFrame) -> list[DataFrame]:
+def _hops(parents: DataFrame, tables: list[str]) -> list[DataFrame]:
     """Tables of each area's ancestor 1, 2, 4, … steps up, till none is left.
 
     Each has at most one row per area. On a cycle they never run empty; after
     more steps than there are areas nothing new can turn up.
     """
     hop = checkpointed(
-        parents.where(F.col("parent_id") != 0).select("area_id", F.col("parent_id").alias("up"))
+        parents.where(F.col("parent_id") != 0).select(
+            *tables, "area_id", F.col("parent_id").alias("up")
+        )
     )
     rows = hop.count()
     hops, steps = [], 1
     while steps <= rows and not hop.isEmpty():
         hops.append(hop)
-        further = hop.select(F.col("area_id").alias("up"), F.col("up").alias("upper"))
-        hop = checkpointed(hop.join(further, "up").select("area_id", F.col("upper").alias("up")))
+        further = hop.select(*tables, F.col("area_id").alias("up"), F.col("up").alias("upper"))
+        hop = checkpointed(
+            hop.join(further, [*tables, "up"]).select(
+                *tables, "area_id", F.col("upper").alias("up")
+            )
+        )
         steps *= 2
     return hops
 
 
-def _climb(reached: DataFrame, hops: list[DataFrame], keys: list[str]) -> DataFrame:
+def _climb(
+    reached: DataFrame, hops: list[DataFrame], keys: list[str], tables: list[str]
+) -> DataFrame:
     """Add all ancestors to ``keys, area_id`` rows, doubling the steps each join."""
     for hop in hops:
         both = F.explode(F.array_compact(F.array("area_id", "up"))).alias("area_id")
-        reached = reached.join(hop, "area_id", "left").select(*keys, both).distinct()
+        reached = reached.join(hop, [*tables, "area_id"], "left").select(*keys, both).distinct()
     return reached
 
 
@@ -48,10 +56,14 @@ def _climb(reached: DataFrame, hops: list[DataFrame], keys: list[str]) -> DataFr
 SHALLOW_HOPS = 6
 
 
-def ancestor_closure(referenced: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
+def ancestor_closure(
+    referenced: DataFrame, parents: DataFrame, keys: list[str], tables: list[str] | None = None
+) -> DataFrame:
     """Referenced areas plus all their ancestors, per key.
 
-    ``parents`` is ``area_id, parent_id`` with 0 for none. A parent without a
+    ``parents`` is ``area_id, parent_id`` with 0 for none; where it holds
+    several area tables, ``tables`` names the keys that tell them apart, and
+    each key's areas climb in their own table only. A parent without a
     row of its own stays in the set and ends the chain; cycles end by
     themselves. The doubling runs on the area table. In a shallow hierarchy
     every area's ancestors are listed once and the referenced side, however
@@ -59,16 +71,17 @@ def ancestor_closure(referenced: DataFrame, parents: DataFrame, keys: list[str])
     could grow with the square of the depth, it climbs by about log2(depth)
     joins in one job.
     """
-    hops = _hops(parents)
+    tables = tables or []
+    hops = _hops(parents, tables)
     start = referenced.select(*keys, "area_id").distinct()
     if len(hops) > SHALLOW_HOPS:
-        return _climb(start, hops, keys)
-    own = parents.select(F.col("area_id").alias("_from"), "area_id").distinct()
-    line = _climb(own, hops, ["_from"]).select(
-        F.col("_from").alias("area_id"), F.col("area_id").alias("_up")
+        return _climb(start, hops, keys, tables)
+    own = parents.select(*tables, F.col("area_id").alias("_from"), "area_id").distinct()
+    line = _climb(own, hops, [*tables, "_from"], tables).select(
+        *tables, F.col("_from").alias("area_id"), F.col("area_id").alias("_up")
     )
     return (
-        start.join(checkpointed(line), "area_id", "left")
+        start.join(checkpointed(line), [*tables, "area_id"], "left")
         .select(*keys, F.coalesce("_up", "area_id").alias("area_id"))
         .distinct()
     )

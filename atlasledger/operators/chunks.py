@@ -113,7 +113,8 @@ def area_documents(
     ``grids`` is ``keys, x, y, area_text``, the grid already as JSON text, so
     that a tile many maps list is rendered once. ``closure`` is ``keys,
     area_id`` (referenced areas and their ancestors); ``area_table`` is
-    ``area_id`` and the columns to embed.
+    ``area_id`` and the columns to embed; keys among its columns tell several
+    area tables apart.
     """
     tile = F.struct(coord_text(F.col("x"), F.col("y")).alias("key"), "area_text")
     listed = F.transform(
@@ -125,12 +126,13 @@ def area_documents(
         .groupBy(*keys)
         .agg(F.array_join(listed, ",").alias("tiles"))
     )
-    fields = [c for c in area_table.columns if c != "area_id"]
+    tables = [k for k in keys if k in area_table.columns]
+    fields = [c for c in area_table.columns if c not in ("area_id", *tables)]
     area = F.struct(
         F.col("area_id").cast("string").alias("key"), F.struct(*fields).alias("value")
     )
     areas = (
-        closure.join(area_table, "area_id")
+        closure.join(area_table, [*tables, "area_id"])
         .groupBy(*keys)
         .agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(area)))).alias("areas"))
     )

@@ -24,7 +24,8 @@ class ScanFacts:
     file_index: ``build_id, fdid, ckey``; adt_index: ``build_id, fdid,
     adt_hash``; overrides: ``map_id, x, y, fdid``; cdn_missing: ``hash``;
     sizes: ``hash, tile_size``; chunks: ``adt_hash, idx, area_id, impass``;
-    areas: ``area_id, parent_id`` and the columns documents embed.
+    areas: ``area_id, parent_id`` and the columns documents embed, with a
+    ``build_id`` where builds have area tables of their own.
     """
 
     cells: DataFrame
@@ -50,7 +51,7 @@ class ScanFacts:
             self.cdn_missing,
             self.sizes,
             self.chunks,
-            self.areas,
+            part(self.areas) if "build_id" in self.areas.columns else self.areas,
         )
 
 
@@ -74,13 +75,38 @@ def composition_layers(tiles: DataFrame, sizes: DataFrame) -> DataFrame:
     return composed.join(compose.composition_tile_sizes(tiles, sizes, LAYER), LAYER)
 
 
+def area_tables(facts: ScanFacts) -> tuple[DataFrame, DataFrame]:
+    """``build_id, area_hash``, and the rows of each distinct area table once.
+
+    A build's area table, some thousands of rows, is hashed as a whole. Without
+    ``build_id`` all builds share one table, whose hash is empty.
+    """
+    builds = facts.cells.select("build_id").distinct()
+    if "build_id" not in facts.areas.columns:
+        shared = F.lit("").alias("area_hash")
+        return builds.select("build_id", shared), facts.areas.select("*", shared)
+    columns = [c for c in facts.areas.columns if c != "build_id"]
+    rows = F.to_json(F.sort_array(F.collect_set(F.struct(*columns))))
+    hashed = checkpointed(
+        facts.areas.groupBy("build_id").agg(F.md5(rows.cast("binary")).alias("area_hash"))
+    )
+    firsts = hashed.groupBy("area_hash").agg(F.min("build_id").alias("build_id"))
+    distinct = facts.areas.join(firsts, "build_id").select("area_hash", *columns).distinct()
+    of_build = builds.join(hashed, "build_id", "left").select(
+        "build_id", F.coalesce("area_hash", F.lit("")).alias("area_hash")
+    )
+    return of_build, checkpointed(distinct)
+
+
 def data_layers(facts: ScanFacts) -> DataFrame:
     """Impassable and area data hashes of every build and map.
 
     Most builds list the same terrain files as the one before. The file lists
-    are hashed first and each distinct list makes its documents once; likewise
-    each distinct terrain file is packed once, whoever lists it.
+    are hashed first and each distinct list makes its documents once, its area
+    document once per distinct area table; likewise each distinct terrain file
+    is packed once, whoever lists it.
     """
+    of_build, areas = area_tables(facts)
     index = facts.adt_index.select("build_id", F.col("fdid").alias("root_adt"), "adt_hash")
     listed = checkpointed(
         facts.cells.where(F.col("root_adt") != 0)
@@ -88,9 +114,9 @@ def data_layers(facts: ScanFacts) -> DataFrame:
         .select(*BUILD_MAP, "x", "y", F.col("adt_hash").alias("hash"))
     )
     sets = checkpointed(
-        compose.compositions(listed, BUILD_MAP).select(
-            *BUILD_MAP, F.col("composition_hash").alias("set_hash")
-        )
+        compose.compositions(listed, BUILD_MAP)
+        .join(of_build, "build_id")
+        .select(*BUILD_MAP, F.col("composition_hash").alias("set_hash"), "area_hash")
     )
     firsts = sets.groupBy("set_hash").agg(F.min(F.struct(*BUILD_MAP)).alias("_f")).select(
         "set_hash", "_f.*"
@@ -98,32 +124,37 @@ def data_layers(facts: ScanFacts) -> DataFrame:
     members = listed.join(firsts, BUILD_MAP).select(
         "set_hash", "x", "y", F.col("hash").alias("adt_hash")
     )
-    key = ["set_hash"]
+    key = ["set_hash", "area_hash"]
+    pairs = sets.select(*key).distinct()
     # the extraction table: one row per terrain file that these builds list, read three times below
     mine = facts.chunks.join(members.select("adt_hash").distinct(), "adt_hash", "left_semi")
     packed = checkpointed(chunk_ops.extractions(mine, ["adt_hash"]))
     impass = chunk_ops.impass_documents(
-        members.join(packed.select("adt_hash", "bits"), "adt_hash"), key
+        members.join(packed.select("adt_hash", "bits"), "adt_hash"), ["set_hash"]
     )
     owned = packed.select("adt_hash", F.explode(F.array_distinct("area_ids")).alias("area_id"))
-    referenced = members.join(owned.where(F.col("area_id") != 0), "adt_hash").select(
-        "set_hash", "area_id"
+    referenced = (
+        members.join(owned.where(F.col("area_id") != 0), "adt_hash")
+        .select("set_hash", "area_id")
+        .distinct()
+        .join(pairs, "set_hash")
     )
-    closure = area_ops.ancestor_closure(referenced, facts.areas.select("area_id", "parent_id"), key)
+    parents = areas.select("area_hash", "area_id", "parent_id")
+    closure = area_ops.ancestor_closure(referenced, parents, key, ["area_hash"])
     text = packed.where(F.col("area_text").isNotNull()).select("adt_hash", "area_text")
-    grids = members.join(text, "adt_hash")
-    embedded = facts.areas.select(
-        "area_id", *[c for c in facts.areas.columns if c not in ("area_id", "parent_id")]
-    )
-    area = chunk_ops.area_documents(grids, closure, embedded, key)
-    made = impass.select("set_hash", F.lit(3).alias("layer_type"), "data_hash").unionByName(
-        area.select("set_hash", F.lit(4).alias("layer_type"), "data_hash")
-    )
-    return sets.join(made, "set_hash").select(*LAYER, "data_hash")
+    grids = members.join(text, "adt_hash").join(pairs, "set_hash")
+    area = chunk_ops.area_documents(grids, closure, areas.drop("parent_id"), key)
+    flags = sets.join(impass, "set_hash").withColumn("layer_type", F.lit(3))
+    owners = sets.join(area, key).withColumn("layer_type", F.lit(4))
+    return flags.select(*LAYER, "data_hash").unionByName(owners.select(*LAYER, "data_hash"))
 
 
 def scan_builds(facts: ScanFacts) -> dict[str, DataFrame]:
-    """All catalogue rows a scan of the builds in ``facts`` produces."""
+    """Tiles, build maps, layers, masks, work list and tile metadata of the builds in ``facts``.
+
+    Not the whole of a scan's rows: maps, pyramids and their tile sizes, composition documents,
+    blobs and extraction rows are left to the operators that make them.
+    """
     # four results below read the resolved tiles, so the joins run once
     tiles = checkpointed(layer_tiles(facts))
     composed = composition_layers(tiles, facts.sizes)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from atlasledger.functions.versions import encode_version
 from atlasledger.operators import areas, chunks, diff, history, merge, packing, terrain, viewport
 from atlasledger.operators.ordered import HOT_SETTING
+from atlasledger.plans import scan
 from atlasledger.sources import feeds, grids
 
 
@@ -271,3 +272,46 @@ def test_malformed_version_fails_the_tick(spark):
     df = spark.createDataFrame([("1.2.3",)], "version string")
     with pytest.raises(Exception, match="not a build version"):
         df.select(encode_version(F.col("version"))).collect()
+
+
+def test_builds_with_equal_terrain_and_different_area_tables(spark):
+    """Each build's area document embeds the build's own area rows and parents."""
+    builds = [1, 2, 3, 4]
+    row = "build_id long, area_id long, parent_id long, name string"
+    shared = [(b, 7, 9 if b == 2 else 8, "seven") for b in builds[:3]]
+    names = [(b, a, 0, n) for b in builds[:3] for a, n in ((8, "eight"), (9, "nine"))]
+
+    def scanned(areas):
+        facts = scan.ScanFacts(
+            cells=spark.createDataFrame(
+                [(b, 0, 1, 1, 0, 0, 5) for b in builds],
+                "build_id long, map_id int, x int, y int, minimap_texture long, map_texture long, root_adt long",
+            ),
+            file_index=spark.createDataFrame([], "build_id long, fdid long, ckey string"),
+            adt_index=spark.createDataFrame(
+                [(b, 5, "0" * 32) for b in builds], "build_id long, fdid long, adt_hash string"
+            ),
+            overrides=spark.createDataFrame([], "map_id int, x int, y int, fdid long"),
+            cdn_missing=spark.createDataFrame([], "hash string"),
+            sizes=spark.createDataFrame([], "hash string, tile_size int"),
+            chunks=spark.createDataFrame(
+                [("0" * 32, i, 7, i == 3) for i in range(256)],
+                "adt_hash string, idx int, area_id long, impass boolean",
+            ),
+            areas=areas,
+        )
+        out = {}
+        for r in scan.data_layers(facts).collect():
+            assert out.setdefault((r.build_id, r.layer_type), r.data_hash) == r.data_hash
+        return out
+
+    got = scanned(spark.createDataFrame(shared + names, row))
+    assert sorted(got) == [(b, t) for b in builds for t in (3, 4)]
+    assert len({got[b, 3] for b in builds}) == 1
+    assert got[1, 4] == got[3, 4]
+    assert len({got[1, 4], got[2, 4], got[4, 4]}) == 3
+    # as if each build had been scanned by itself, with its own table for all
+    for b in builds:
+        own = [r for r in shared + names if r[0] == b]
+        alone = scanned(spark.createDataFrame(own, row).drop("build_id"))
+        assert alone[b, 4] == got[b, 4]
