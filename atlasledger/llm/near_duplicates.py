@@ -33,6 +33,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 BLOCK = 256
+#: Least similarity, in percent, that bands and ``SURE`` are made for.
+LEAST_PERCENT = 80
 #: Bins of two sketches that agree at least, else a pair is not looked at: 100 of 160 when links take
 #: 0.8 or more, where a link has fewer with probability below 3e-6 (0.85: 4e-11).
 SURE = 100
@@ -251,7 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     ``xxhash64`` of the text, which tells rows with equal ids apart.
 
     Two texts are linked if their sets of ``SHINGLE``-word shingles (A-Z lower-cased) have a Jaccard
-    similarity of at least ``percent`` / 100; ``component_id`` is the smallest id reachable by links
+    similarity of at least ``percent`` / 100, which is ``LEAST_PERCENT`` or more; ``component_id`` is the smallest id reachable by links
     and ``kept`` marks it. Null and wordless texts have no shingles and are linked with nothing:
     their component is their own id. Rows are told apart by their text: a repeated row is a copy of
     itself, and is kept as often as it comes if its id is the component's. A row without an id is
@@ -260,6 +262,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     Jobs run while the plan is built. Three narrow tables stay in the shared folder until that is
     cleared, as the result reads them; others are deleted at once.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent is {percent}; bands and sketches find links of {LEAST_PERCENT} to 100 percent")
     scratch = Scratch(docs.sparkSession)
     docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = scratch.save(

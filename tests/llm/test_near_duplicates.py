@@ -112,3 +112,9 @@ def test_components(spark):
     with Scratch(spark) as scratch:
         got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
     assert got == {n: root[n] for a, b in edges if b is not None and a != b for n in (a, b)}
+
+
+def test_percent_below_what_bands_find(make):
+    for percent in (60, 79, 101):
+        with pytest.raises(ValueError):
+            N.near_duplicates(make([(1, "some text")]), percent)
