@@ -2,6 +2,8 @@
 
 Pass 1 classifies each block of text by its link density, length and share of stop words; blocks in
 parts of the page that say what they are (navigation, forms, adverts, comments, ...) are out at once.
+Where none of a page's blocks has stop words, its language is not one whose stop words are known, and
+length and link density decide alone.
 Pass 2 gives each undecided block, most of them short, the label of its nearest decided neighbour.
 """
 
@@ -26,7 +28,7 @@ LINKS = 0.33
 #: Shares of stop words: a long block with the first is good, any with less than the second is not text.
 STOP_HIGH, STOP_LOW = 0.10, 0.03
 #: Share of all text outside excluded parts that the page's own article must hold to rule out the rest.
-ARTICLE_SHARE = 0.2
+ARTICLE_SHARE = 1 / 3
 
 # fixed values: stop words of four languages; what element names and class or id words mean
 STOP_WORDS = frozenset(
@@ -153,21 +155,25 @@ def classified(found: list[Block]) -> list[str | None]:
     total = sum(len(b.text) for b in found)
     own = sum(len(b.text) for b in found if b.article)
     bounded = own > 0 and own >= ARTICLE_SHARE * total
-    out = []
-    for b in found:
+    out: list[str | None] = []
+    judged: list[tuple[int, float]] = []  # blocks that stop words decide on, with their share
+    for k, b in enumerate(found):
         size = len(b.text)
-        words = _WORD.findall(b.text.lower())
-        stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
         if bounded and not b.article or b.links > LINKS * size:
             out.append(BAD)
         elif size < SHORT or b.heading:
             out.append(BAD if b.links and not b.article else OPEN)
-        elif stop >= STOP_HIGH:
-            out.append(GOOD if size >= LONG or b.article else OPEN)
-        elif stop < STOP_LOW and not b.article:
-            out.append(BAD)
         else:
             out.append(OPEN)
+            words = _WORD.findall(b.text.lower())
+            judged.append((k, sum(w in STOP_WORDS for w in words) / max(1, len(words))))
+    known = any(stop >= STOP_LOW for _, stop in judged)
+    for k, stop in judged:
+        b = found[k]
+        if stop >= STOP_HIGH or not known and not b.article:
+            out[k] = GOOD if len(b.text) >= LONG or b.article else OPEN
+        elif stop < STOP_LOW and not b.article:
+            out[k] = BAD
     return out
 
 

@@ -123,3 +123,16 @@ def test_rows(spark):
     out = M.extract(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r["row"].page_id or 0, r["row"].text or 0, r.text, r.n_chars) for r in out) == [(0, 0, "", 0), (1, 5, "é", 1), (1, 5, "é", 1)]
     assert M.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_languages_without_known_stop_words():
+    body = ["Жители небольшого города собрались вчера вечером у реки, чтобы решить судьбу старого моста. " * 4, "Весной начнутся большие работы, говорит глава города, и продлятся они почти до самой зимы."]
+    links = "".join(f"<a href=/{k}>Раздел номер {k} нашего сайта</a> " for k in range(9))
+    page = f"<body><div><p>{links}</p></div><div><p>{body[0]}</p><p>{body[1]}</p></div></body>"
+    assert M.main_text(page) == " ".join(" ".join(b.split()) for b in body)
+
+
+def test_an_article_that_is_a_teaser_only():
+    body = "The town has met at the river and it was decided that the old bridge is to be kept for all of us. " * 6
+    teaser = "A short teaser of another story that is on the site, with a few words of it to be read by all. " * 2
+    assert body.strip() in M.main_text(f"<body><div><p>{body}</p></div><article><p>{teaser}</p></article></body>")
