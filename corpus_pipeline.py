@@ -17,7 +17,8 @@ from atlasledger.llm.packing import Limits, pack_documents
 from atlasledger.llm.substrings import repeated_runs
 from atlasledger.session import Scratch
 
-#: Probability of the likeliest language under which a document is rejected.
+#: Probability of the likeliest language, among those learned, under which a document is rejected. It
+#: sums over all words, so a text of a few words is near 1 whatever it is: this hardly ever acts.
 LEAST_SCORE = 0.5
 #: Jaccard similarity, in percent, from which documents are near-duplicates.
 SIMILAR = 80
@@ -33,7 +34,9 @@ def _rows(docs: DataFrame, row: str = "row") -> list:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised, by a model learned from those that name one.
 
-    Null texts and texts without a letter go. If no row names a language, only those go.
+    Null texts and texts without a letter go, and in effect only those: a text in a language that was
+    not learned, or junk with letters, is recognised as the nearest learned one and stays. If no row
+    names a language, only those go by rule.
     """
     with Scratch(spark) as scratch:
         model = learn(docs, PIECES, scratch)
