@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,7 +30,7 @@ from atlasledger.session import small_batches
 #: Edits allowed, as a share of the passage's characters.
 ERROR = 0.1
 GRAM = 8
-#: Passages of fewer characters say nothing about a document and are not searched for.
+#: Passages of fewer characters are searched for as they are, without edits and between word bounds.
 LEAST_CHARS = 12
 #: Characters of benchmark passages per pass over the documents (some 40 bytes each in a task).
 BLOCK_CHARS = 2_000_000
@@ -42,6 +43,8 @@ _STEP = np.uint64(0xD1342543DE82EF95)
 _SPACES = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 _SPACE_LOW = np.zeros(256, bool)
 _SPACE_LOW[_SPACES[_SPACES < 256]] = True
+# fixed values: ranges of scripts without spaces between words (Thai and Lao, Myanmar, Khmer, East Asian)
+_UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 _FOUND = "doc_id long, item_id long, edits long, first long, end long"
 
 
@@ -119,6 +122,7 @@ class Items(NamedTuple):
     budget: np.ndarray
     needed: np.ndarray
     indexes: list[_Index]
+    short: dict[bytes, list[int]]  # passages under ``LEAST_CHARS`` by their code points
     overlap: int  # more than any place of a passage with the bands about it
 
 
@@ -128,14 +132,18 @@ def prepared(rows: list[tuple[int | None, str | None]], error: float) -> Items:
     ids, codes = [], []
     for item_id, text in rows:
         own = normalised(text or "")[0]
-        if len(own) >= LEAST_CHARS:
+        if len(own):
             ids.append(item_id)
             codes.append(own)
     size = np.array([len(c) for c in codes], np.int64)
-    budget = np.floor(size * error).astype(np.int64)
-    q = np.minimum(GRAM, size // (budget + 1))
+    long = size >= LEAST_CHARS
+    budget = np.where(long, np.floor(size * error), 0).astype(np.int64)
+    q = np.where(long, np.minimum(GRAM, size // (budget + 1)), 0)
+    short: dict[bytes, list[int]] = {}
+    for k in np.flatnonzero(~long).tolist():
+        short.setdefault(codes[k].tobytes(), []).append(k)
     indexes = []
-    for width in sorted(set(q.tolist())):
+    for width in sorted(set(q[long].tolist())):
         own = np.flatnonzero(q == width)
         hashed = [grams(codes[k], width) for k in own]
         flat = np.concatenate(hashed)
@@ -147,7 +155,25 @@ def prepared(rows: list[tuple[int | None, str | None]], error: float) -> Items:
         known[(gram >> np.uint64(44)).astype(np.int64)] = True
         indexes.append(_Index(width, gram, np.append(first, len(flat)), item[order], place[order], known))
     overlap = int((2 * size + 8 * budget).max()) if len(size) else 0
-    return Items(ids, codes, budget, size + 1 - q * (budget + 1), indexes, overlap)
+    return Items(ids, codes, budget, size + 1 - q * (budget + 1), indexes, short, overlap)
+
+
+def _short_places(codes: np.ndarray, short: dict[bytes, list[int]]) -> Iterator[tuple[int, int, int]]:
+    """``(item, first, end)`` of short passages between word bounds."""
+    if not short or not len(codes):
+        return
+    named, which = np.unique(codes, return_inverse=True)
+    free = [unicodedata.category(chr(c))[0] not in "LMN" or any(a <= c <= b for a, b in _UNSPACED) for c in named.tolist()]
+    apart = np.array(free)[which]
+    bound = np.ones(len(codes) + 1, bool)
+    bound[1:-1] = apart[:-1] | apart[1:]
+    for size in sorted({len(p) // 4 for p in short}):
+        known = np.concatenate([grams(np.frombuffer(p, np.uint32), size) for p in short if len(p) == 4 * size])
+        hashed = grams(codes, size)
+        at = np.flatnonzero(bound[: len(hashed)] & bound[size : size + len(hashed)])
+        for a in at[np.isin(hashed[at], known)].tolist():
+            for item in short.get(codes[a : a + size].tobytes(), ()):
+                yield item, a, a + size
 
 
 def _hits(codes: np.ndarray, index: _Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,6 +253,8 @@ def in_text(text: str, items: Items) -> list[tuple[int, int, int, int]]:
     for at in range(0, max(1, len(codes)), PART_CHARS):
         for item, spans in matches(codes[at : at + PART_CHARS + items.overlap], items).items():
             found.setdefault(item, set()).update((least, at + a, at + b) for least, a, b in spans)
+    for item, a, b in _short_places(codes, items.short):
+        found.setdefault(item, set()).add((0, a, b))
     out = []
     for item, spans in found.items():
         kept: list[tuple[int, int]] = []  # in order
@@ -258,8 +286,9 @@ def contaminated(
     """Every place where a passage of ``benchmark`` stands in a text: ``doc_id, item_id, edits,
     first, end`` (characters of the text).
 
-    Places of one passage do not overlap; the one with fewest edits is told. Null and empty texts
-    and passages under ``LEAST_CHARS`` characters match nothing; rows without ids are searched and
+    Places of one passage do not overlap; the one with fewest edits is told. Passages under
+    ``LEAST_CHARS`` characters are found exactly and between word bounds only. Null and empty texts
+    and passages match nothing; rows without ids are searched and
     told with null. Repeated rows are told repeatedly. A benchmark of more than ``BLOCK_CHARS``
     characters takes one pass over the documents per block. The driver reads the benchmark, block by
     block, while the plan is built.

@@ -130,3 +130,16 @@ def test_hostile_repetition_stays_small():
     items = D.prepared([(k, "ab" * (50 + k)) for k in range(5)], 0.1)
     found = D.in_text("ab" * 5000, items)
     assert np.mean([f[1] == 0 for f in found]) == 1
+
+
+def test_short_passages_are_found_exactly_between_word_bounds(spark, make):
+    rows = [(1, "42 km"), (2, "Paris"), (3, "東京都"), (4, " "), (5, "paris"), (6, "a passage of the benchmark")]
+    items = D.prepared(rows, 0.1)
+    text = "In  PARIS, not comparison or parisian; 42\n km, not 142 km. 私は東京都に. A passage of the benchmarc"
+    got = [(items.item_id[k], least, text[a:b]) for k, least, a, b in D.in_text(text, items)]
+    assert sorted(g for g in got if g[0] != 6) == [(1, 0, "42\n km"), (2, 0, "PARIS"), (3, 0, "東京都"), (5, 0, "PARIS")]
+    assert [g[:2] for g in got if g[0] == 6] == [(6, 1)]
+    bench = spark.createDataFrame([(2, "Paris", "n")], ITEMS)
+    docs = make([(1, "To Paris!"), (2, "a comparison"), (3, None), (4, "")])
+    assert [(r.doc_id, r.first, r.end) for r in D.contaminated(docs, bench).collect()] == [(1, 3, 8)]
+    assert sorted(r.doc_id for r in D.decontaminated(docs, bench).collect()) == [2, 3, 4]
