@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlasledger.llm import toxicity
+from atlasledger.llm.centroids import clusters, described
 from atlasledger.llm.decontamination import contaminated
 from atlasledger.llm.language import identify, learn
 from atlasledger.llm.main_text import extract
 from atlasledger.llm.near_duplicates import near_duplicates
 from atlasledger.llm.packing import Limits, pack_documents
 from atlasledger.llm.quality_rules import quality_rules
+from atlasledger.llm.spelling import variants, vocabulary
 from atlasledger.llm.substrings import repeated_runs
 from atlasledger.llm.token_files import read_token_files, write_token_files
+from atlasledger.llm.word_table import decode, encode
 from atlasledger.llm.warc import read_records, write_archives
 from atlasledger.session import Scratch
 
@@ -175,3 +178,109 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters(table(spark, sf_dir, "embeddings"), Scratch(spark))
+    return described(found).select("row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _centroids_sql(k: int = 40, rounds: int = 5) -> str:
+    """Each round is a pair of tables: nearest centroids, then means (floored)."""
+    apart = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    parts = [
+        """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64 AND len(embedding) = 64
+),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS cluster, x FROM v WHERE vec_id IS NOT NULL
+  ORDER BY 1 LIMIT """
+        + f"{k})"
+    ]
+    for n in range(rounds + 1):
+        parts.append(
+            f"""a{n} AS MATERIALIZED (
+  SELECT r, vec_id, any_value(x) AS x, min(struct_pack(d := d, cluster := cluster)) AS near
+  FROM (SELECT v.r, v.vec_id, v.x, c.cluster, {apart} AS d FROM v, c{n} c) GROUP BY r, vec_id
+)"""
+        )
+        if n < rounds:
+            parts.append(
+                f"""m{n} AS (
+  SELECT cluster, i, sum(e) AS s, count(*) AS n
+  FROM (SELECT near.cluster AS cluster, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{n}) GROUP BY cluster, i
+),
+c{n + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(any_value(m.x), any_value(c.x)) AS x FROM c{n} c LEFT JOIN (
+    SELECT cluster, list((CASE WHEN s < 0 AND s % n <> 0 THEN (s - (s % n + n)) // n ELSE s // n END)::BIGINT ORDER BY i) AS x FROM m{n} GROUP BY cluster
+  ) m ON m.cluster = c.cluster GROUP BY c.cluster
+)"""
+            )
+    last = f"""
+SELECT vec_id, near.cluster::INTEGER AS cluster, near.d AS distance,
+       (sum(near.d) OVER (PARTITION BY near.cluster))::BIGINT AS cluster_inertia, (sum(near.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.cluster = near.cluster"""
+    return ",\n".join(parts) + last
+
+
+sql("op11_centroids", _centroids_sql())
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    words = scratch.save(vocabulary(table(spark, sf_dir, "documents"), slips=97))
+    return variants(words, scratch).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def _spelling_sql() -> str:
+    """CRC-32 by its table, which follows from the polynomial."""
+    crcs = []
+    for k in range(256):
+        for _ in range(8):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        crcs.append(k)
+    data = "flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END))"
+    step = f"lambda c, b: xor(c >> 8, ({crcs})[(xor(c, b) & 255) + 1])"
+    return f"""
+WITH RECURSIVE run AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM documents
+),
+own AS (SELECT doc_id, w, count(*) AS n FROM run WHERE length(w) >= 5 GROUP BY 1, 2),
+told AS (SELECT w, n, xor(list_reduce({data}::BIGINT[], {step}, 4294967295::BIGINT), 4294967295) AS h FROM own),
+slipped AS (SELECT CASE WHEN h % 97 = 0 THEN w[:(h % length(w))::INT] || w[(h % length(w) + 2)::INT:] ELSE w END AS w, n FROM told),
+v AS MATERIALIZED (SELECT w AS word, sum(n)::BIGINT AS n FROM slipped WHERE length(w) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+cut AS MATERIALIZED (
+  SELECT word, w[:i - 1] || '_' || w[i + 1:] AS p, w[:i - 1] || w[i + 1:] AS d FROM (SELECT word, word AS w, unnest(range(1, length(word) + 1)) AS i FROM v)
+),
+pair AS (
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.p = b.p AND a.word <> b.word
+  UNION SELECT word, d FROM cut JOIN v USING (word) WHERE d IN (SELECT word FROM v)
+  UNION SELECT d, word FROM cut WHERE d IN (SELECT word FROM v)
+),
+best AS (SELECT a AS word, count(*) AS n_near, min(struct_pack(m := -v.n, b := b)) AS o FROM pair JOIN v ON v.word = b GROUP BY 1),
+f AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -o.m >= 2 * v.n THEN o.b END AS form, CASE WHEN -o.m >= 2 * v.n THEN -o.m END AS form_n
+  FROM v LEFT JOIN best ON best.word = v.word
+),
+path AS (SELECT word, word AS at_, 0 AS k FROM f UNION ALL SELECT p.word, f.form, k + 1 FROM path p JOIN f ON f.word = p.at_ WHERE f.form IS NOT NULL)
+SELECT f.word, form, (SELECT arg_max(at_, k) FROM path p WHERE p.word = f.word) AS root, n, n_near, form_n FROM f"""
+
+
+sql("op12_spelling", _spelling_sql())
+
+
+@query
+def op13_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark), TOKENIZER)
+    told = decode(ids, TOKENIZER)
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return told.select(
+        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"),
+    )
