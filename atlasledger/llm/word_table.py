@@ -2,10 +2,10 @@
 
 Encoding: tasks split texts into the words that the tokenizer's pattern gives, block by block of
 ``BLOCK_BYTES``. A block writes its rows with the positions of their words, as codes into the block's
-own list of distinct words, to one file, and gives that list to Spark. Spark brings equal words
-together, each distinct word is encoded once, and its ids go back to the blocks that have it, where
-codes are replaced by ids. So neither texts nor positions are ever shuffled, only lists of distinct
-words; a word comes at most once per block, so no word is a hot key.
+own list of distinct words, to one file, and gives that list to Spark, dealt to buckets by a hash of
+the word. In a bucket equal words meet, each distinct word is encoded once, and its ids go back to the
+blocks that have it, where codes are replaced by ids. So neither texts nor positions are ever
+shuffled, only packed lists of distinct words; a block has a word once, so no word is a hot key.
 
 Decoding: the distinct ids of a slice of rows are joined with the table of pieces, which the
 vocabulary bounds, and positions replaced by pieces.
@@ -14,7 +14,9 @@ vocabulary bounds, and positions replaced by pieces.
 from __future__ import annotations
 
 import json
+import math
 import os
+import struct
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -34,6 +36,10 @@ from atlasledger.session import Scratch, small_batches
 #: Bytes of text in a block (a longer text is a block of its own), and ids given or decoded at once.
 BLOCK_BYTES = 32 << 20
 SLICE_IDS = 1 << 20
+#: Bytes of text that are split at once, bytes of all text per bucket, and words a task remembers.
+SPLIT_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 30
+KNOWN = 1_000_000
 # fixed values: characters beyond plain Latin, and a space that ends a longer run of white space
 OTHER, RUN = "[^\t\n\r\\x20-\\x7e\xa1-\u024f]", "\\s [\\s]|\\s $"
 #: Characters of a long text that are split at once, cut at a single space.
@@ -70,6 +76,7 @@ class Tokenizer:
         self.library.encode_special_tokens = not special
         names = sorted((a["content"] for a in told["added_tokens"]), key=len, reverse=True)
         self.names = names if special else []
+        self.width, self._kind = (2, "H") if max(self.library.get_vocab(with_added_tokens=True).values()) < 1 << 16 else (4, "I")
 
     def words(self, text: str) -> Iterator[str]:
         """The words of any text, by the library itself; special tokens are words."""
@@ -83,8 +90,8 @@ class Tokenizer:
                 yield from (part[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(part))
 
     def ids(self, found: list[str]) -> list[bytes]:
-        """The ids of each word as little-endian unsigned 32-bit integers."""
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(found, add_special_tokens=False)]
+        """The ids of each word as little-endian unsigned integers of ``width`` bytes."""
+        return [array(self._kind, e.ids).tobytes() for e in self.library.encode_batch_fast(found, add_special_tokens=False)]
 
 
 def pieces(tokenizer: str) -> list[tuple[int, bytes]]:
@@ -118,12 +125,25 @@ class _Block:
         self.code: dict[str, int] = {}
         self.rows: list[pa.Array] = []
         self._texts: list[pa.Array] = []
-        self.bytes = 0
+        self._waiting = self.bytes = 0
+        self._codes: list[np.ndarray] = []  # of all words in the order of the rows
+        self._sizes: list[np.ndarray] = []  # words of each row
 
     def add(self, rows: pa.Array, texts: pa.Array) -> None:
         self.rows.append(rows)
         self._texts.append(texts)
         self.bytes += texts.nbytes
+        self._waiting += texts.nbytes
+        if self._waiting >= SPLIT_BYTES:
+            self._done()
+
+    def _done(self) -> None:
+        """Split what waits; larger pieces have fewer distinct chunks in all."""
+        if self._texts:
+            codes, sizes = self._split()
+            self._codes.append(codes.astype(np.uint32))
+            self._sizes.append(sizes)
+            self._texts, self._waiting = [], 0
 
     def _split(self) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all words in the order of the rows, and words per row."""
@@ -190,44 +210,70 @@ class _Block:
         before = np.concatenate([[0], np.cumsum(n)])
         return codes[_gather(start[chunk], n)], np.diff(before[np.append(first, len(chunk))])
 
-    def write(self, folder: str) -> pa.RecordBatch:
-        """The block's file; gives its distinct words with their codes, the most frequent first.
+    def write(self, folder: str, buckets: int) -> pa.RecordBatch:
+        """The block's file; gives its distinct words, packed by bucket.
 
-        A row without a word is among them, so that a block of empty texts is known too.
+        A block without words gives one empty list, so that it is known too.
         """
-        codes, size = self._split()
-        words = list(self.code)
+        self._done()
+        codes, size = np.concatenate(self._codes), np.concatenate(self._sizes)
+        words = pa.array(list(self.code), pa.string())
+        self.code, self._codes = {}, []
         rank = np.empty(len(words), np.uint32)
         rank[np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")] = np.arange(len(words))
-        codes = rank[codes]
-        name = uuid.uuid4().int >> 65  # of its own for each attempt: rows and file belong together
+        codes = rank[codes]  # the most frequent first, so that high bytes are mostly zero
+        data, bounds = W.buffers(words)
+        hashed = W.hashes(W.Words(data, bounds[:-1], bounds[1:], bounds[:0], bounds[:0]))
+        bucket = (hashed % np.uint64(buckets)).astype(np.int64)
+        by = pc.sort_indices(pa.table({"b": bucket, "w": words}), sort_keys=[("b", "ascending"), ("w", "ascending")]).to_numpy()
+        name = uuid.uuid4().int >> 65  # of its own for each attempt: lists and file belong together
+        self._file(folder, name, codes, size, rank[by])
+        bucket, words = bucket[by], words.take(pa.array(by))
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+        parts = len(edge) - 1
+        lists = [_packed(*_sized(words[a:b])) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        own = bucket[edge[:-1]] if len(bucket) else np.zeros(1, np.int64)
+        columns = own, np.full(parts, name, np.int64), np.full(parts, parts, np.int32)
+        return pa.record_batch([*(pa.array(c) for c in columns), W.binary(lists)], ["bucket", "block", "parts", "words"])
+
+    def _file(self, folder: str, name: int, codes: np.ndarray, size: np.ndarray, order: np.ndarray) -> None:
+        """Rows with their codes, and ``order``, the codes of the words as they are listed."""
         ends = np.concatenate([[0], np.cumsum(size)])
         rows = pa.concat_arrays(self.rows)
-        schema = pa.schema([("row", rows.type), *((p, pa.large_binary()) for p, _, _ in _PLANES)])
+        told = {"order": _packed(np.zeros(0, np.int64), order.astype("<u4").view(np.uint8))}
+        schema = pa.schema([("row", rows.type), *((p, pa.large_binary()) for p, _, _ in _PLANES)], metadata=told)
         with written(folder, f"{name}.codes") as file, pa.ipc.new_stream(file, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             at = 0
             while at < len(size):  # batches that a reader can hold with their ids
                 to = max(at + 1, min(at + 4096, int(np.searchsorted(ends, ends[at] + SLICE_IDS // 4, "right")) - 1))
                 own, bounds = codes[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
-                planes = [pa.py_buffer((own >> shift & most).astype("<u2" if most > 255 else "u1")) for _, shift, most in _PLANES]
-                arrays = [
-                    pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(bounds * (2 if most > 255 else 1)), plane])
-                    for plane, (_, _, most) in zip(planes, _PLANES, strict=True)
-                ]
+                arrays = []
+                for _, shift, most in _PLANES:
+                    plane = (own >> np.uint32(shift) & np.uint32(most)).astype("<u2" if most > 255 else "u1")
+                    offsets = pa.py_buffer((bounds * plane.itemsize).astype(np.int64))
+                    arrays.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, offsets, pa.py_buffer(plane)]))
                 out.write_batch(pa.record_batch([rows[at:to], *arrays], schema=schema))
                 at = to
-        order = np.argsort(rank).tolist()
-        return pa.record_batch(
-            [
-                pa.array(np.full(len(words) + 1, name, np.int64)),
-                pa.array(np.arange(-1, len(words), dtype=np.int32)),
-                pa.array([None, *(words[k] for k in order)], pa.string()),
-            ],
-            ["block", "code", "word"],
-        )
-
-
-def _split(batches: Iterator[pa.RecordBatch], folder: str, path: str, special: bool, block_bytes: int) -> Iterator[pa.RecordBatch]:
+
+
+def _sized(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, bounds = W.buffers(column)
+    return np.diff(bounds), data
+
+
+def _packed(size: np.ndarray, data: np.ndarray) -> bytes:
+    """Byte strings of these sizes, one after the other, compressed."""
+    raw = size.astype("<u4").tobytes() + data.tobytes()
+    return struct.pack("<QQ", len(size), len(raw)) + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, bytes]:
+    n, total = struct.unpack_from("<QQ", packed)
+    raw = pa.decompress(packed[16:], total, "zstd", asbytes=True)
+    return np.frombuffer(raw, "<u4", n).astype(np.int64), raw[4 * n :]
+
+
+def _split(batches: Iterator[pa.RecordBatch], folder: str, path: str, special: bool, block_bytes: int, buckets: int) -> Iterator[pa.RecordBatch]:
     tokens.forget()
     tokenizer = Tokenizer.at(path, special)
     block = _Block(tokenizer)
@@ -235,63 +281,65 @@ def _split(batches: Iterator[pa.RecordBatch], folder: str, path: str, special: b
         rows, texts = batch.columns
         for a, b in W.slices(W.buffers(texts)[1]):
             if block.rows and block.bytes + texts[a:b].nbytes > block_bytes:
-                yield block.write(folder)
+                yield block.write(folder, buckets)
                 block = _Block(tokenizer)
             block.add(rows[a:b], texts[a:b])
     if block.rows:
-        yield block.write(folder)
+        yield block.write(folder, buckets)
 
 
 # -- ids
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, special: bool) -> Iterator[pa.RecordBatch]:
-    """Rows ``block, code, word``, sorted by word, to ``block, code, ids``; a word is encoded once."""
+    """Rows ``bucket, block, parts, words``, sorted by bucket, with ``ids`` for ``words``."""
     tokenizer = Tokenizer.at(path, special)
-    last, known = None, b""
+    now, known = None, {}
     for batch in batches:
-        found = batch.column(2).dictionary_encode()
-        words = found.dictionary.to_pylist()
-        new = [w for w in words if w != last]
-        ids = dict(zip(new, tokenizer.ids(new), strict=True))
-        if last is not None:
-            ids.setdefault(last, known)
-        table = pa.array([ids[w] for w in words], pa.binary())
-        yield pa.record_batch([batch.column(0), batch.column(1), table.take(found.indices)], ["block", "code", "ids"])
-        if words:
-            last = batch.column(2)[-1].as_py()
-            known = ids[last] if last is not None else b""
-
-
-def _replaced(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Rows ``block, code, ids``, sorted by block and code, to the blocks' rows with their ids."""
+        bucket, packed = batch.column(0).to_pylist(), batch.column(3)
+        for k in range(batch.num_rows):
+            if bucket[k] != now or len(known) > KNOWN:
+                now, known = bucket[k], {}
+            size, data = _unpacked(packed[k].as_py())
+            ends = np.concatenate([[0], np.cumsum(size)]).tolist()
+            words = [data[a:b].decode() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            new = [w for w in words if w not in known]
+            known.update(zip(new, tokenizer.ids(new), strict=True))
+            ids = [known[w] for w in words]
+            told = _packed(np.fromiter(map(len, ids), np.int64, len(ids)), np.frombuffer(b"".join(ids), np.uint8))
+            yield pa.record_batch([*(c[k : k + 1] for c in batch.columns[:3]), W.binary([told])], ["bucket", "block", "parts", "ids"])
+
+
+def _replaced(batches: Iterator[pa.RecordBatch], folder: str, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``bucket, block, parts, ids``, sorted by block and bucket, to the blocks' rows with ids."""
     store, root = opened(folder)
 
-    def given(block: int, held: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-        data, bounds = W.buffers(pa.concat_arrays(held))
-        ids, bounds = np.frombuffer(data.tobytes(), "<u4").astype(np.int32), bounds[1:] // 4  # the first is the row without a word
-        size = np.diff(bounds)
+    def given(block: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        unpacked = [_unpacked(h) for h in held]
+        sizes = np.concatenate([n for n, _ in unpacked]) // width
+        ids = np.frombuffer(b"".join(d for _, d in unpacked), f"<u{width}").astype(np.int32)
         with store.open_input_stream(f"{root}/{block}.codes") as file:
-            for part in pa.ipc.open_stream(file):
+            stream = pa.ipc.open_stream(file)
+            order = np.frombuffer(_unpacked(stream.schema.metadata[b"order"])[1], "<u4")
+            size, first = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+            size[order], first[order] = sizes, np.cumsum(sizes) - sizes
+            for part in stream:
                 planes = [W.buffers(c) for c in part.columns[1:]]
                 codes = sum(np.frombuffer(d.tobytes(), "<u2" if most > 255 else "u1").astype(np.int64) << shift for (d, _), (_, shift, most) in zip(planes, _PLANES, strict=True))
                 n = size[codes]
                 ends = np.concatenate([[0], np.cumsum(n)])[planes[0][1]]
-                values = ids[_gather(bounds[codes], n)]
+                values = ids[_gather(first[codes], n)]
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))], ["row", "ids"])
 
-    now, held = None, []
+    held: list[bytes] = []
     for batch in batches:
-        block = batch.column(0).to_numpy()
-        edge = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]]) if len(block) else []
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            if held and block[a] != now:
-                yield from given(now, held)
+        for block, parts, ids in zip(*(c.to_pylist() for c in batch.columns[1:4]), strict=True):
+            held.append(ids)
+            if len(held) == parts:
+                yield from given(block, held)
                 held = []
-            now = int(block[a])
-            held.append(batch.column(2)[a:b])
     if held:
-        yield from given(now, held)
+        raise ValueError("a block came without some of its words")
 
 
 def encode(docs: DataFrame, scratch: Scratch, tokenizer: str, special: bool = True, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -307,12 +355,16 @@ def encode(docs: DataFrame, scratch: Scratch, tokenizer: str, special: bool = Tr
     named = F.struct(*rest) if rest else F.struct(F.lit(None).cast("int").alias("none"))
     rows = small_batches(docs).select(named.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     folder = scratch.path(f"codes-{uuid.uuid4().hex}")
-    found = scratch.save(rows.mapInArrow(lambda it: _split(it, folder, tokenizer, special, block_bytes), "block long, code int, word string"))
-    near = found.repartition("word").sortWithinPartitions("word")
-    made = near.mapInArrow(lambda it: _encoded(it, tokenizer, special), "block long, code int, ids binary")
-    back = made.repartition("block").sortWithinPartitions("block", "code")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
+    split = lambda it: _split(it, folder, tokenizer, special, block_bytes, buckets)
+    found = scratch.save(rows.mapInArrow(split, "bucket long, block long, parts int, words binary"))
+    near = found.repartition("bucket").sortWithinPartitions("bucket")
+    made = near.mapInArrow(lambda it: _encoded(it, tokenizer, special), "bucket long, block long, parts int, ids binary")
+    back = made.repartition("block").sortWithinPartitions("block", "bucket")
     schema = StructType([rows.schema["row"]]).add("ids", ArrayType(IntegerType()))
-    return back.mapInArrow(lambda it: _replaced(it, folder), schema)
+    width = Tokenizer.at(tokenizer, special).width
+    return back.mapInArrow(lambda it: _replaced(it, folder, width), schema)
 
 
 # -- pieces

@@ -65,7 +65,7 @@ def words_of(codes, words):
     ids = Tokenizer.at(TOKENIZER, True).ids(words)
     import numpy as np
 
-    return [np.frombuffer(ids[c], "<u4").tolist() for c in codes]
+    return [np.frombuffer(ids[c], "<u2").tolist() for c in codes]
 
 
 def test_decoding_any_ids(spark):
