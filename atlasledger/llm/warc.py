@@ -153,7 +153,8 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, payloads: bool) -> Ite
                     data = file.read(size)
                     out = []
                     for k in held:
-                        raw = zlib.decompress(data[spans[k][0] - start :][: spans[k][1]], 31)
+                        own = spans[k][0] - start
+                        raw = zlib.decompress(data[own : own + spans[k][1]], 31)
                         named, http, body = parsed(raw)
                         told = named["warc-payload-digest"].removeprefix("sha256:")
                         kind = named["warc-type"]
