@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,8 +38,8 @@ STOP_WORDS = frozenset(
     "de la le et les un une du que est pour dans qui par sur au pas plus ne se avec "
     "el en y los del las por para con no su al lo como más una".split()
 )
-_RAW = "script|style|noscript|template|textarea|title|iframe"  # without an end, up to the page's
-_SKIPPED = "select|button|svg|math|object|canvas|audio|video|head"
+_RAW = frozenset("script style noscript template textarea title iframe".split())  # without an end, up to the page's
+_SKIPPED = frozenset("select button svg math object canvas audio video head".split())  # without an end, nothing
 _OUT = frozenset("nav header footer aside form menu dialog label fieldset legend".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -53,17 +54,13 @@ _OUT_WORDS = re.compile(
     r"pagination|pager|toolbar|copyright|legal|disclaimer|skip|hidden)(?:$|[\s_-])",
     re.I,
 )
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<({_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>(?:.*?</\1\s*>|.*\Z)"
-    rf"|<({_SKIPPED})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?</\2\s*>"
-    r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
-    r"|<[!?/][^>]*>"
-    r"|[^<]+|<",
-    re.S | re.I,
-)
+#: what begins with ``<``; quoted values may hold ``>``
+_TAG = re.compile(r"<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>", re.I)
+_TAG_BEGINS = re.compile(r"</?[a-z]", re.I)
+_MARK = re.compile(r"[>\"']")
+_LONG_NUMBER = re.compile(r"&#(?:[0-9]{9,}|[xX][0-9a-fA-F]{9,});?")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_OWN_HEADER = re.compile(r"\w*-?header\b", re.I)
+_OWN_HEADER = re.compile(r"\b\w*-?header\b", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"\w+")
 GOOD, BAD, OPEN = "good", "bad", None
@@ -88,9 +85,88 @@ def _is_out(tag: str, attributes: str, in_article: bool) -> bool:
     return any(_OUT_WORDS.search(next(filter(None, named), "")) for named in _NAMED.findall(attributes))
 
 
+class _Page:
+    """The tokens of a page, in time that grows with its length whatever it holds.
+
+    A tag that is never closed is text. Finding that out takes a scan to the page's end, so the marks
+    that such a scan met outside quotes are remembered: another that meets one of them fails too.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = page.rfind(">")  # no tag ends behind it
+        self._endless: set[str] = set()  # elements of which no end follows
+        self._dead: set[int] = set()
+        self._mark = -1
+
+    def _tag(self, at: int) -> re.Match[str] | None:
+        if self._dead:
+            if self._mark < at:
+                found = _MARK.search(self.page, at)
+                self._mark = found.start() if found else len(self.page)
+            if self._mark in self._dead:
+                return None
+        tag = _TAG.match(self.page, at)
+        if tag is None and _TAG_BEGINS.match(self.page, at):
+            while (found := _MARK.search(self.page, at)) and found.start() not in self._dead:
+                self._dead.add(found.start())
+                at = self.page.find(found[0], found.end()) + 1
+                if not at:
+                    break
+        return tag
+
+    def _end(self, name: str, at: int) -> int | None:
+        """Where the element that begins before ``at`` ends."""
+        if name in self._endless:
+            return None
+        found = _ENDS[name].search(self.page, at)
+        if found is None:
+            self._endless.add(name)
+        return found and found.end()
+
+    def tokens(self) -> Iterator[tuple[str, str, str, str]]:
+        """``text, slash, element, attributes``; comments, skipped elements and the like are empty texts."""
+        page, at = self.page, 0
+        while at < len(page):
+            if page[at] != "<":
+                to = page.find("<", at)
+                to = len(page) if to < 0 else to
+                yield page[at:to], "", "", ""
+                at = to
+            elif page.startswith("<!--", at):
+                to = page.find("-->", at + 4)
+                yield "", "", "", ""
+                at = len(page) if to < 0 else to + 3
+            elif at < self.last and (tag := self._tag(at)):
+                name = tag[2].lower()
+                at = tag.end()
+                if not tag[1] and (name in _RAW or name in _SKIPPED):
+                    end = self._end(name, at)
+                    if end is not None or name in _RAW:
+                        yield "", "", "", ""
+                        at = len(page) if end is None else end
+                        continue
+                yield "", tag[1], name, tag[3]
+            elif at < self.last and page[at + 1] in "!?/":
+                yield "", "", "", ""
+                at = page.find(">", at) + 1
+            else:
+                yield "<", "", "", ""
+                at += 1
+
+
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW | _SKIPPED}
+
+
+def _unescaped(text: str) -> str:
+    """Character references as characters; numbers that no character can have as U+FFFD."""
+    return html.unescape(_LONG_NUMBER.sub("\ufffd", text) if "&#" in text else text) if "&" in text else text
+
+
 def blocks(page: str) -> Iterator[Block]:
     """Blocks of text outside excluded parts, in page order; tags need not be closed or nested well."""
     stack: list[tuple[str, bool, bool]] = []  # element, out, within an article
+    open_: Counter[str] = Counter()  # how often an element is in the stack
     parts: list[str] = []
     links = 0
     linked = heading = False
@@ -104,35 +180,34 @@ def blocks(page: str) -> Iterator[Block]:
         parts.clear()
         links = 0
 
-    for found in _TOKEN.finditer(page):
-        token = found[0]
-        if token[0] != "<" or token == "<":
+    for text, slash, tag, attributes in _Page(page).tokens():
+        if text:
             if not stack or not stack[-1][1]:
-                text = html.unescape(token) if "&" in token else token
+                text = _unescaped(text)
                 parts.append(text)
                 links += len(text) if linked else 0
             continue
-        tag = (found[4] or "").lower()
         if not tag:
             parts.append(" ")
             continue
-        if tag in _BLOCK or tag == "br" and token[:2] != "</":
+        if tag in _BLOCK or tag == "br" and not slash:
             if tag == "br":
                 parts.append(" ")
                 continue
             yield from ended()
             linked = False
-        if found[3]:
+        if slash:
             if tag == "a":
                 linked = False
             heading = False if tag[0] == "h" and tag[1:].isdigit() else heading
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while open_[tag]:  # up to the element that ends
+                last = stack.pop()[0]
+                open_[last] -= 1
+                if last == tag:
                     break
             continue
         if tag in _BLOCK and stack and stack[-1][0] == "p":
-            stack.pop()  # a paragraph ends where a block begins
+            open_[stack.pop()[0]] -= 1  # a paragraph ends where a block begins
         if tag == "a":
             linked = True
         if tag in _VOID:
@@ -142,11 +217,11 @@ def blocks(page: str) -> Iterator[Block]:
         out, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         article = article or tag in ("article", "main")
         if tag in _BLOCK or tag == "span":
-            if out or not _is_out(tag, found[5], article):
-                stack.append((tag, out, article))
-            else:
+            out_now = out or _is_out(tag, attributes, article)
+            if out_now and not out:
                 yield from ended()
-                stack.append((tag, True, article))
+            stack.append((tag, out_now, article))
+            open_[tag] += 1
     yield from ended()
 
 

@@ -1,11 +1,14 @@
 """Main text of pages: rules one by one, whole pages, odd input."""
 
 import html
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from atlasledger.llm import main_text as M
 from atlasledger.llm.queries import QUERIES
@@ -105,6 +108,103 @@ def test_large_and_hostile_pages():
     M.main_text("<button>" * 3000)
 
 
+MEGABYTE = 1_000_000
+HOSTILE = {
+    **{f"<{name}>": f"<{name}>x " for name in sorted(M._SKIPPED | M._RAW)},
+    **{k: k for k in ("<a ", '<a "x', "<a \"'<b '", "<!", "</ ", "<!--", "&", "&#", "&#x", "<button", "<a =")},
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_a_hostile_megabyte_takes_no_longer_than_others(name):
+    began = time.process_time()
+    M.main_text(HOSTILE[name] * (MEGABYTE // len(HOSTILE[name])))
+    assert time.process_time() - began < 2
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 100_000 + "</p>" * 120_000,
+        f"<article><div class='{'a' * MEGABYTE}'>x</div></article>",
+        f"<p>&#{'9' * MEGABYTE}; &#x{'f' * 50};</p>",
+        '<a "x' * (MEGABYTE // 5) + ">",
+        "<article>" + '<div class="a-b header_c" hidden2 x=1>t' * (MEGABYTE // 40),
+    ],
+    ids=["unmatched ends", "long word", "long number", "open quotes", "many names"],
+)
+def test_hostile_wholes(page):
+    began = time.process_time()
+    M.main_text(page)
+    assert time.process_time() - began < 2
+
+
+def model(found):
+    """Both passes once more, block by block, straight from their description."""
+    total, own = sum(len(b.text) for b in found), sum(len(b.text) for b in found if b.article)
+    bounded = own and own * 3 >= total
+
+    def stop_share(b):
+        words = re.findall(r"\w+", b.text.lower())
+        return sum(w in M.STOP_WORDS for w in words) / max(1, len(words))
+
+    def judged(b):
+        return not (bounded and not b.article) and b.links <= M.LINKS * len(b.text) and len(b.text) >= M.SHORT and not b.heading
+
+    known = any(stop_share(b) >= M.STOP_LOW for b in found if judged(b))
+
+    def first(b):
+        if bounded and not b.article or b.links > M.LINKS * len(b.text):
+            return "bad"
+        if not judged(b):
+            return "bad" if b.links and not b.article else "open"
+        if stop_share(b) >= M.STOP_HIGH or not known and not b.article:
+            return "good" if len(b.text) >= M.LONG or b.article else "open"
+        return "bad" if stop_share(b) < M.STOP_LOW and not b.article else "open"
+
+    labels = [first(b) for b in found]
+
+    def second(k, numbers):
+        near = min((abs(j - k) for j in numbers if labels[j] != "open"), default=None)
+        return None if near is None else any(labels[j] == "good" for j in numbers if abs(j - k) == near)
+
+    out = []
+    for k, b in enumerate(found):
+        told = second(k, [j for j, c in enumerate(found) if c.article == b.article])
+        if told is None:
+            told = True if b.article else second(k, range(len(found)))
+        out.append(told)
+    return [True] * len(found) if None in out else out
+
+
+def test_both_passes_equal_a_plain_model():
+    rng = random.Random(5)
+    kinds = [LONG, "A short one.", "Xq zrrt vvk brr " * 12, "the of and to in is " * 6, "<a href=x>a link of this page here</a> " * 6, "It is a <a href=x>link</a> of it."]
+    for _ in range(400):
+        page = "".join(
+            f"<{tag}>{rng.choice(kinds)}</{tag}>" if rng.random() < 0.9 else rng.choice(["<article>", "</article>"])
+            for tag in rng.choices(["p", "div", "h2", "li"], k=rng.randint(1, 14))
+        )
+        found = list(M.blocks(page))
+        if found:
+            assert M.settled(M.classified(found), found) == model(found), page
+
+
+def test_query_equals_the_model_without_names(spark, sf):
+    """With structural names and classes taken out, block rules alone decide."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    bare = F.regexp_replace(F.regexp_replace("html", r"(?i)</?(article|main|nav|header|footer|aside|section)\b[^>]*>", "<div>"), r"(class|id|role)=", "data-x=")
+    rows = M.extract(pages.withColumn("html", bare)).collect()
+    texts = {r.page_id: r.html for r in pages.withColumn("html", bare).collect()}
+    kept = 0
+    for r in rows:
+        found = list(M.blocks(texts[r["row"].page_id]))
+        want = [b.text for b, keep in zip(found, model(found)) if keep]
+        assert r.text == " ".join(want)
+        kept += len(want) < len(found)
+    assert kept > len(rows) / 2
+
+
 def test_query(spark, sf):
     """These pages mark their article."""
     pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
