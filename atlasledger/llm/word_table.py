@@ -19,7 +19,8 @@ import os
 import struct
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,15 @@ from atlasledger.llm.files import opened, written
 from atlasledger.session import Scratch, small_batches
 
 #: Bytes of text in a block (a longer text is a block of its own), and ids given or decoded at once.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 SLICE_IDS = 1 << 20
 #: Bytes of text that are split at once, bytes of all text per bucket, and words a task remembers.
-SPLIT_BYTES = 4 << 20
+SPLIT_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 30
 KNOWN = 1_000_000
+#: Partitions that blocks are dealt to at most. They are told by number, as packed lists are far smaller
+#: than the ids that come of them, by which Spark would put too many into one.
+MOST_PARTS = 50_000
 # fixed values: characters beyond plain Latin, and a space that ends a longer run of white space
 OTHER, RUN = "[^\t\n\r\\x20-\\x7e\xa1-\u024f]", "\\s [\\s]|\\s $"
 #: Characters of a long text that are split at once, cut at a single space.
@@ -342,7 +346,18 @@ def _replaced(batches: Iterator[pa.RecordBatch], folder: str, width: int) -> Ite
         raise ValueError("a block came without some of its words")
 
 
-def encode(docs: DataFrame, scratch: Scratch, tokenizer: str, special: bool = True, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+class Encoded(NamedTuple):
+    """Blocks whose codes are replaced by ids when rows are asked for."""
+
+    blocks: DataFrame
+    given: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+    schema: StructType
+
+    def rows(self) -> DataFrame:
+        return self.blocks.mapInArrow(self.given, self.schema)
+
+
+def encode(docs: DataFrame, scratch: Scratch, tokenizer: str, special: bool = True, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Encoded:
     """Per row of ``docs``: ``row`` (all its columns but the text, as a struct, so that no names can
     clash) and ``ids array<int>``, those of the library's ``encode(text, add_special_tokens=False)``.
 
@@ -361,10 +376,11 @@ def encode(docs: DataFrame, scratch: Scratch, tokenizer: str, special: bool = Tr
     found = scratch.save(rows.mapInArrow(split, "bucket long, block long, parts int, words binary"))
     near = found.repartition("bucket").sortWithinPartitions("bucket")
     made = near.mapInArrow(lambda it: _encoded(it, tokenizer, special), "bucket long, block long, parts int, ids binary")
-    back = made.repartition("block").sortWithinPartitions("block", "bucket")
+    parts = min(MOST_PARTS, max(1, found.select("block").distinct().count()))
+    back = made.repartition(parts, "block").sortWithinPartitions("block", "bucket")
     schema = StructType([rows.schema["row"]]).add("ids", ArrayType(IntegerType()))
     width = Tokenizer.at(tokenizer, special).width
-    return back.mapInArrow(lambda it: _replaced(it, folder, width), schema)
+    return Encoded(back, lambda it: _replaced(it, folder, width), schema)
 
 
 # -- pieces
@@ -435,21 +451,23 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(3)[a:b], lists, pa.array(text(lists), pa.string())], ["row", "ids", "text"])
 
 
-def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
+def decode(encoded: DataFrame | Encoded, tokenizer: str) -> DataFrame:
     """``row, ids, text`` of rows ``row, ids``: the library's ``decode(ids, skip_special_tokens=False)``.
 
     Bytes that are no UTF-8 become U+FFFD; null ids, and ids that the vocabulary lacks, are left out,
     and null lists are empty texts. The pieces are broadcast, as the vocabulary bounds them, so that
     rows stay in their tasks.
     """
-    table = encoded.sparkSession.createDataFrame(pieces(tokenizer), "id int, piece binary")
-    rows = small_batches(encoded).select("row", "ids")
-    kinds = [("slice", LongType()), ("place", LongType()), ("id", IntegerType())]
-    asked = StructType()
-    for name, kind in kinds:
-        asked = asked.add(name, kind)
-    asked = asked.add(rows.schema["row"].name, rows.schema["row"].dataType).add("ids", ArrayType(IntegerType()))
-    joined = rows.mapInArrow(_asked, asked).join(F.broadcast(table), "id", "left")
+    if isinstance(encoded, Encoded):  # in one Python worker
+        source, given, schema = encoded
+        run = lambda it: _asked(given(it))
+    else:
+        source = small_batches(encoded).select("row", F.col("ids").cast("array<int>"))
+        schema, run = source.schema, _asked
+    table = source.sparkSession.createDataFrame(pieces(tokenizer), "id int, piece binary")
+    asked = StructType().add("slice", LongType()).add("place", LongType()).add("id", IntegerType())
+    asked = asked.add("row", schema["row"].dataType).add("ids", ArrayType(IntegerType()))
+    joined = source.mapInArrow(run, asked).join(F.broadcast(table), "id", "left")
     joined = joined.select("slice", "place", "id", "row", "ids", "piece").sortWithinPartitions("slice", "place")
-    out = StructType([rows.schema["row"]]).add("ids", ArrayType(IntegerType())).add("text", StringType())
+    out = StructType([schema["row"]]).add("ids", ArrayType(IntegerType())).add("text", StringType())
     return joined.mapInArrow(_joined, out)

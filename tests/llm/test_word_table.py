@@ -44,8 +44,8 @@ def test_awkward_rows(spark, make, awkward):
         assert sorted(key(r.row.doc_id, r.text) for r in got) == sorted(key(r.doc_id, r.text or "") for r in rows)
         assert all(r.ids == lib.encode(r.text, add_special_tokens=False).ids for r in got)
         assert set(got[0].row.asDict()) == set(awkward.columns) - {"text"}
-        assert encode(make([]), scratch, TOKENIZER).collect() == []
-        only = encode(make([(1, None), (2, "")]), scratch, TOKENIZER)
+        assert encode(make([]), scratch, TOKENIZER).rows().collect() == []
+        only = encode(make([(1, None), (2, "")]), scratch, TOKENIZER).rows()
         assert [r.ids for r in only.collect()] == [[], []]
 
 
