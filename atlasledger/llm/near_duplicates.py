@@ -9,10 +9,11 @@ equal to the Jaccard similarity, with the concentration of independent MinHash.
 Banding: ``BANDS`` bands of ``ROWS`` bins. At similarity 0.85 a pair shares no band with
 probability ``(1 - 0.85 ** 5) ** 32 = 7e-9``, at 0.8 with ``3e-6``.
 
-Work is on distinct shingle sets, so copies cost one aggregate. In a band's group every set is
-first compared with the group's least document only. What those comparisons leave unconnected is
-compared pair by pair in blocks, so a group of any size is split over tasks and no link is lost.
-Links are confirmed on full shingle sets.
+Work is on distinct shingle sets, numbered once they are known, so copies cost one aggregate and ids
+decide nothing but a component's name. In a band's group every set is first compared with the group's
+least one only. In groups that this leaves unconnected, the sets outside the group's largest component
+are compared with all others, in blocks of ``BLOCK`` sets and ``BLOCK_BYTES`` of text, so a group of
+any size is split over tasks and no link is lost. Links are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atlasledger.llm import tokens
@@ -32,7 +33,7 @@ from atlasledger.session import Scratch, small_batches
 SHINGLE = 5
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
-BLOCK = 256
+BLOCK, BLOCK_BYTES = 4096, 8 << 20
 #: Least similarity, in percent, that bands and ``SURE`` are made for.
 LEAST_PERCENT = 80
 #: Bins of two sketches that agree at least, else a pair is not looked at: 100 of 160 when links take
@@ -171,10 +172,12 @@ def _met(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordB
 
     Rows ``key, low, high, block, node, component, marks, bands, text`` come sorted by the first
     three. A pair that shares several bands is looked at in the first of them only. Sizes and
-    sketches rule out most pairs, full sets decide on the others.
+    sketches rule out most pairs, full sets decide on the others. A link joins two components at
+    once, so what it connects is not compared again.
     """
     for table in _groups(batches, 3):
-        key, low, high, block, node, part = (table.column(k).to_numpy() for k in range(6))
+        key, low, high, block, node = (table.column(k).to_numpy() for k in range(5))
+        part = table.column(5).to_numpy().copy()
         marks = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, BINS)
         bands = table.column(7).combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         flat = [(b, h) for _, b, h in shingles(table.column(8).combine_chunks())]
@@ -190,11 +193,10 @@ def _met(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordB
             turn = np.argmax(bands[a] == key[a])
             _, named = np.unique(hashed[bound[a] : bound[b]], return_inverse=True)
             seen = np.zeros(len(named), bool)
-            for x in range(a, b):
-                if block[x] != low[a]:
-                    continue
-                y = np.arange(x + 1 if low[a] == high[a] else a, b)
-                y = y[(block[y] == high[a]) & (part[y] != part[x])]
+            far = np.flatnonzero(block[a:b] == high[a]) + a
+            for x in (np.flatnonzero(block[a:b] == low[a]) + a).tolist():
+                y = far[far > x] if low[a] == high[a] else far
+                y = y[part[y] != part[x]]
                 y = y[np.minimum(size[y], size[x]) * 100 >= np.maximum(size[y], size[x]) * percent]
                 y = y[(marks[y] == marks[x]).sum(axis=1) >= SURE]
                 y = y[~(bands[y, :turn] == bands[x, :turn]).any(axis=1)]
@@ -206,8 +208,10 @@ def _met(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordB
                 both = np.add.reduceat(seen[named[at]], np.concatenate([[0], np.cumsum(size[y])[:-1]]), dtype=np.int64)
                 seen[own] = False
                 y = y[100 * both >= percent * (size[x] + size[y] - both)]
-                out[0].append(np.maximum(node[y], node[x]))
-                out[1].append(np.minimum(node[y], node[x]))
+                if len(y):
+                    out[0].append(np.maximum(node[y], node[x]))
+                    out[1].append(np.minimum(node[y], node[x]))
+                    part[a:b][np.isin(part[a:b], part[y])] = part[x]
         if out[0]:
             yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], ["a", "b"])
 
@@ -215,17 +219,35 @@ def _met(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordB
 def _unconnected(member: DataFrame, part: DataFrame, sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links ``(a, b)``, ``a > b``, between sets of one group that no link has joined yet.
 
-    A group of more than ``BLOCK`` sets is cut into blocks by a hash, and every two of its blocks
-    meet in a group of their own, so no task holds more than two blocks.
+    Sets within a group's largest component need not meet. The others are cut into blocks by a hash,
+    and so is that component; every two blocks of the others meet in a group of their own, and every
+    one of them meets every block of the component. A task holds two blocks.
     """
-    member = member.select("key", "node", "size").join(part, "node", "left")
+    member = member.select("key", "node", "bytes").join(part, "node", "left")
     member = member.withColumn("component", F.coalesce("component", "node"))
-    split = member.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-    member = member.join(split.where("c0 != c1").select("key"), "key", "left_semi")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    member = member.withColumn("block", F.pmod(F.xxhash64("node", "key"), blocks).cast("int"))
+    each = member.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    top = F.max(F.struct("n", "component", "bytes")).alias("top")
+    group = each.groupBy("key").agg(top, F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+
+    rest = F.col("n") - F.col("top.n")
+    group = group.where(rest > 0).select(
+        "key",
+        F.col("top.component").alias("largest"),
+        blocks(F.col("top.n"), F.col("top.bytes")).alias("inner"),
+        blocks(rest, F.col("bytes") - F.col("top.bytes")).alias("outer"),
+    )
+    member = member.join(group, "key")
     member = member.join(sets.select("node", "marks", "bands"), "node").join(texts.select("node", "text"), "node")
-    met = member.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    inner = F.col("component") == F.col("largest")
+    at = F.pmod(F.xxhash64("node", "key"), F.when(inner, F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    # blocks of the largest component have the numbers -1, -2, ...
+    member = member.withColumn("block", F.when(inner, -1 - at).otherwise(at))
+    outer = F.sequence(F.lit(0), F.col("outer") - 1)
+    every = F.concat(F.sequence(-F.col("inner"), F.lit(-1)), outer)
+    met = member.withColumn("other", F.explode(F.when(inner, outer).otherwise(every)))
     met = met.select(
         "key",
         F.least("block", "other").alias("low"),
@@ -253,12 +275,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     ``xxhash64`` of the text, which tells rows with equal ids apart.
 
     Two texts are linked if their sets of ``SHINGLE``-word shingles (A-Z lower-cased) have a Jaccard
-    similarity of at least ``percent`` / 100, which is ``LEAST_PERCENT`` or more; ``component_id`` is the smallest id reachable by links
-    and ``kept`` marks it. Null and wordless texts have no shingles and are linked with nothing:
-    their component is their own id. Rows are told apart by their text: a repeated row is a copy of
-    itself, and is kept as often as it comes if its id is the component's. A row without an id is
-    never a component's id as long as another has one; if none has, the component is null and the
-    row is kept. Only the two named columns are read, whatever others are called.
+    similarity of at least ``percent`` / 100, which is ``LEAST_PERCENT`` or more; ``component_id`` is the
+    smallest id reachable by links and ``kept`` marks it. Null and wordless texts have no shingles and
+    are linked with nothing: their component is their own id. Rows are told apart by their text: a
+    repeated row is a copy of itself, and is kept as often as it comes if its id is the component's;
+    an id may stand for several texts, each with links of its own. Rows without an id are linked like
+    others, but none names a component unless none of it has an id; then the component is null and its
+    rows are kept. Only the two named columns are read, whatever others are called.
     Jobs run while the plan is built. Three narrow tables stay in the shared folder until that is
     cleared, as the result reads them; others are deleted at once.
     """
@@ -266,24 +289,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         raise ValueError(f"percent is {percent}; bands and sketches find links of {LEAST_PERCENT} to 100 percent")
     scratch = Scratch(docs.sparkSession)
     docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     rows = scratch.save(
-        docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        docs.select("doc_id", "text", "text_hash").mapInArrow(
             _sketched, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>, marks binary"
         )
     )
-    sets = scratch.save(
-        rows.where("n_shingles > 0")
-        .groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
-    )
-    member = sets.where("node is not null").select(F.explode("bands").alias("key"), "node", "n")
+    # a set's number, and a row that has its text
+    found = rows.where("n_shingles > 0").groupBy("h1", "h2")
+    found = found.agg(
+        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("at"),
+        F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"),
+    )
+    sets = scratch.save(found.withColumn("node", F.monotonically_increasing_id()))
+    member = sets.select(F.explode("bands").alias("key"), "node", "n")
     group = member.groupBy("key").agg(
         F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("size")
     )
-    # groups of two or more, with the size of the group and its least document
+    # groups of two or more, with their least set
     member = scratch.save(
         member.join(group.where("size > 1"), "key").select(
-            "key", "node", "n", "size", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")
+            "key", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")
         )
     )
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
@@ -293,22 +319,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         .select(F.col("node").alias("a"), F.col("lead").alias("b"))
         .distinct()
     )
-    named = member.select("node").distinct()
-    texts = scratch.save(
-        docs.withColumnRenamed("doc_id", "node")
-        .join(named, "node", "left_semi")
-        .dropDuplicates(["node"])
-    )
+    named = sets.join(member.select("node").distinct(), "node", "left_semi").select("node", "at")
+    same = docs["doc_id"].eqNullSafe(F.col("at.doc_id")) & (docs["text_hash"] == F.col("at.text_hash"))
+    texts = scratch.save(docs.join(named, same).select("node", "text").dropDuplicates(["node"]))
     links = scratch.save(_verified(star, texts, percent))
     part = scratch.save(components(links, scratch))
-    more = scratch.save(_unconnected(member, part, sets, texts, percent))
+    sized = member.select("key", "node").join(texts.select("node", F.octet_length("text").cast("long").alias("bytes")), "node")
+    more = scratch.save(_unconnected(sized, part, sets, texts, percent))
     if not more.isEmpty():
         part = scratch.save(components(links.unionByName(more), scratch))
     for done in (member, star, texts, links, more):  # all that follows reads rows, sets and part
         scratch.drop(done)
-    least = sets.join(part, "node", "left").select(
-        "h1", "h2", F.coalesce("component", "node").alias("component_id")
-    )
+    # each component's least id, back to its sets
+    named = sets.select("h1", "h2", "node", "least").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = named.join(least, "component").select("h1", "h2", "component_id")
     linked = rows.where("n_shingles > 0").join(least, ["h1", "h2"], "left")
     alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     return (

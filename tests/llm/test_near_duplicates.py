@@ -39,14 +39,14 @@ def brute(rows, percent):
     for k, a in enumerate(keys):
         for b in keys[:k]:
             both = len(a & b)
-            if both and 100 * both >= percent * (len(a) + len(b) - both) and None not in (least[a], least[b]):
+            if both and 100 * both >= percent * (len(a) + len(b) - both):
                 root[find(a)] = find(b)
     part = {}
     for s in keys:
         part.setdefault(find(s), []).append(least[s])
     out = []
     for (i, _), s in zip(rows, own, strict=True):
-        out.append((i, len(s), min(part[find(s)], default=None, key=lambda x: (x is None, x)) if s else i))
+        out.append((i, len(s), min((x for x in part[find(s)] if x is not None), default=None) if s else i))
     return sorted(out, key=repr)
 
 
@@ -83,6 +83,52 @@ def test_awkward_rows(awkward):
     assert {(r.doc_id, r.kept) for r in out.collect() if r.doc_id in (1, 2, 3, 4, 8)} == {(1, True), (2, True), (3, True), (4, True), (8, False)}
 
 
+def test_repeated_ids_of_different_texts_and_none(make):
+    """Links are those of the texts, whatever ids they share or lack."""
+    a, b, c = prose(1, 200), prose(2, 200), prose(3, 200)
+    rows = [(5, a), (5, b), (8, b + " one"), (None, a + " one"), (None, c), (None, c + " one"), (9, c + " two words"), (None, prose(4, 50)), (5, a), (2, a + " x")]
+    for given in (rows, rows[::-1]):
+        out = N.near_duplicates(make(given), 85)
+        assert told(out) == brute(given, 85)
+        got = {(r.doc_id, r.n_shingles): r.component_id for r in out.collect()}
+        assert got[8, 197] == 5 and got[5, 196] in (2, 5) and {r.component_id for r in out.collect() if r.doc_id == 9} == {9}
+
+
+def test_the_pair_stage_grows_with_the_input(make, spark, monkeypatch):
+    """One template whose copies are all just below the threshold: rows sent are a share of rows."""
+    sent = {}
+    for n in (200, 400, 800):
+        base = prose(5, 40).split()
+        rng = random.Random(n)
+        rows = []
+        for i in range(n):
+            words = list(base)
+            words[rng.randrange(40)] = f"z{i}"
+            rows.append((i, " ".join(words)))
+        held = {}
+
+        def counted(member, part, sets, texts, percent, real=N._unconnected, held=held):
+            repartition = type(member).repartition
+
+            def told(self, *cols):
+                if cols == ("key", "low", "high"):
+                    held["rows"] = self.count()
+                return repartition(self, *cols)
+
+            monkeypatch.setattr(type(member), "repartition", told)
+            try:
+                return real(member, part, sets, texts, percent)
+            finally:
+                monkeypatch.setattr(type(member), "repartition", repartition)
+
+        with monkeypatch.context() as patch:
+            patch.setattr(N, "_unconnected", counted)
+            out = N.near_duplicates(make(rows), 85)
+            assert out.where("kept").count() >= 1
+        sent[n] = held["rows"]
+    assert sent[800] < 6 * max(sent[200], 1)
+
+
 def test_empty_table(make):
     assert N.near_duplicates(make([])).count() == 0
 
