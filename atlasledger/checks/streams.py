@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atlasledger.checks import check
-from atlasledger.checks.derive import layers, products, scans, sql, table, tiles
+from atlasledger.checks.derive import builds, cells, layers, products, scans, sql, table, tiles
 from atlasledger.checks.filters import SUMMARY_SQL, summary
 from atlasledger.checks.ingest import feed_pages, scratch
 from atlasledger.checks.served import SCAN_SQL, scan_facts
-from atlasledger.operators import discovery, merge, packing
+from atlasledger.operators import discovery, packing
 from atlasledger.streaming import discovery as discovery_stream
 from atlasledger.streaming import event_log
 from atlasledger.streaming import scans as scan_stream
-from atlasledger.streaming.snapshots import Snapshots
+from atlasledger.streaming.catalogue import Catalogue
 
 # Fixed values of the checks: followed products.
 INCLUDE = ["*"]
@@ -29,8 +29,8 @@ def landed(spark, sf) -> str:
     return root
 
 
-def run_discovery(spark, sf) -> Snapshots:
-    store = Snapshots(spark, scratch(spark, "catalogue"))
+def run_discovery(spark, sf) -> Catalogue:
+    store = Catalogue(spark, scratch(spark, "catalogue"))
     pages = discovery_stream.landed_pages(spark, landed(spark, sf), files_per_tick=64)
     query = (
         discovery_stream.discovery_stream(pages, store, INCLUDE, EXCLUDE, seen="2025-01-01")
@@ -53,15 +53,12 @@ FROM p JOIN (SELECT DISTINCT build_id, version FROM f) v ON v.build_id = p.build
 )
 def discovery_stream_query(spark, sf):
     store = run_discovery(spark, sf)
-    tables = {name: store.read(name, schema) for name, schema in discovery_stream.TABLES.items()}
-    sources = tables["product_sources"].groupBy("build_id", "product").agg(
-        F.count(F.lit(1)).alias("sources")
-    )
+    sources = store.read("product_sources").groupBy("build_id", "product").agg(F.count(F.lit(1)).alias("sources"))
     return (
-        tables["products"]
-        .join(tables["builds"], "build_id")
+        store.read("products")
+        .join(store.read("builds"), "build_id")
         .join(sources, ["build_id", "product"])
-        .join(tables["product_scans"], ["build_id", "product"])
+        .join(store.read("product_scans").select("product_id", "state"), "product_id")
         .select(
             "build_id", "version", "product",
             F.array_join(F.sort_array("config_regions"), " ").alias("regions"), "sources", "state",
@@ -128,26 +125,75 @@ UNION ALL SELECT build_id, map_id, 4, NULL, data_hash, NULL FROM area_docs WHERE
 )
 def scan_stream_query(spark, sf):
     """The whole queue worked down by scan ticks that a commit sets off."""
-    store = Snapshots(spark, scratch(spark, "catalogue"))
-    queue = scans(spark, sf).select("product_id", "state", "data_version_attempt")
-    store.commit({
-        "product_scans": queue,
-        "build_map_layers": spark.createDataFrame([], scan_stream.TABLES["build_map_layers"]),
-        "minimap_tiles": spark.createDataFrame([], scan_stream.TABLES["minimap_tiles"]),
-    }, "setup", 0)
+    store = scanned(spark, sf, scan_facts(spark, sf))
+    return store.read("build_map_layers").withColumn("cdn_missing", F.array_join("cdn_missing", " "))
+
+
+def scanned(spark, sf, facts) -> Catalogue:
+    """A catalogue whose queue has been worked down."""
+    store = Catalogue(spark, scratch(spark, "catalogue"))
     known = products(spark, sf).select("product_id", "build_id", "product", "first_seen")
+    queue = scans(spark, sf).join(known.select("product_id", "build_id"), "product_id", "left")
+    store.commit({"products": known, "product_scans": queue}, "setup", 0)
     query = (
         scan_stream.scan_stream(
-            scan_stream.commit_stream(spark, store.root), store, scan_facts(spark, sf), known,
-            data_version=2, builds_per_tick=1_000_000,
+            scan_stream.commit_stream(spark, store.root), store, facts, data_version=2, builds_per_tick=1_000_000,
+            finished="2025-01-01",
         )
         .option("checkpointLocation", scratch(spark, "stream"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    rows = store.read("build_map_layers", scan_stream.TABLES["build_map_layers"])
-    return rows.withColumn("cdn_missing", F.array_join("cdn_missing", " "))
+    return store
+
+
+@check(
+    "scan_outcome_stream",
+    sql("""
+, outcome AS (
+  SELECT b.build_id, b.b,
+         CASE WHEN b.b % 7 = 1 THEN 'tile list cannot be read' END AS error,
+         CASE WHEN b.b % 7 = 2 THEN 'encrypted_build' WHEN b.b % 7 = 3 THEN 'encrypted_map_database'
+              WHEN b.b % 7 = 4 AND EXISTS (SELECT 1 FROM cells c WHERE c.build_id = b.build_id AND c.map_id % 2 = 0) THEN 'partial_decrypt'
+              ELSE 'full_decrypt' END AS new_state,
+         CASE WHEN b.b % 7 IN (2, 3) THEN 'key-' || b.b END AS key
+  FROM builds b
+),
+locked AS (
+  SELECT build_id, '{"key":[' || string_agg(map_id, ',' ORDER BY map_id) || ']}' AS maps
+  FROM (SELECT DISTINCT build_id, map_id FROM cells WHERE map_id % 2 = 0 AND b % 7 = 4) GROUP BY 1
+),
+queued AS (
+  SELECT s.*, p.build_id, s.state <> 'pending' AS is_upgrade,
+         s.state = 'pending' OR (s.state IN ('full_decrypt', 'partial_decrypt') AND s.data_version_attempt < 2) AS due
+  FROM scans s JOIN products p ON p.product_id = s.product_id
+)
+SELECT q.product_id, q.build_id,
+       CASE WHEN NOT due THEN q.state WHEN error IS NULL THEN coalesce(new_state, 'full_decrypt')
+            WHEN is_upgrade THEN q.state ELSE 'exception' END AS state,
+       CASE WHEN due THEN '2025-01-01' ELSE q.last_scanned END AS last_scanned,
+       CASE WHEN due AND error IS NOT NULL AND NOT is_upgrade THEN error END AS exception,
+       CASE WHEN due AND error IS NULL THEN o.key END AS encrypted_key,
+       CASE WHEN due AND error IS NULL AND new_state = 'partial_decrypt' THEN l.maps END AS encrypted_maps,
+       CASE WHEN due AND error IS NULL THEN 2 END AS data_version,
+       CASE WHEN NOT due OR error IS NOT NULL AND NOT is_upgrade THEN q.data_version_attempt ELSE 2 END AS data_version_attempt,
+       CASE WHEN due AND error IS NOT NULL AND is_upgrade THEN error END AS data_version_error
+FROM queued q LEFT JOIN outcome o ON o.build_id = q.build_id LEFT JOIN locked l ON l.build_id = q.build_id"""),
+)
+def scan_outcome_stream(spark, sf):
+    """Builds that fail, are locked as a whole, by their map table or by maps, each recorded as such."""
+    facts = scan_facts(spark, sf)
+    known = builds(spark, sf)
+    b = F.col("b") % 7
+    key = F.concat(F.lit("key-"), F.col("b"))
+    facts.failures = known.where(b == 1).select("build_id", F.lit("tile list cannot be read").alias("error"))
+    facts.locks = known.where(b.isin(2, 3)).select(
+        "build_id", F.when(b == 2, key).alias("build_key"), F.when(b == 3, key).alias("table_key")
+    )
+    maps = cells(spark, sf).where((b == 4) & (F.col("map_id") % 2 == 0))
+    facts.map_locks = maps.select("build_id", "map_id", F.lit("KEY").alias("key_name")).distinct()
+    return scanned(spark, sf, facts).read("product_scans").drop("scan_ms")
 
 
 @check(
@@ -181,18 +227,17 @@ def late_tile_stream(spark, sf):
     arrivals = scratch(spark, "arrivals")
     t = tiles(spark, sf)
     t.where((F.col("b") < 14) & F.col("cdn_missing")).select("hash").distinct().write.parquet(arrivals)
-    store = Snapshots(spark, scratch(spark, "catalogue"))
-    store.commit({"build_map_layers": layers(spark, sf).drop("b")}, "setup", 0)
-    schema = "build_id bigint, map_id int, layer_type int, composition_hash string, cdn_missing array<string>"
-
+    store = Catalogue(spark, scratch(spark, "catalogue"))
+    held = layers(spark, sf).drop("b")
+    store.commit({"build_map_layers": held, "lacking": scan_stream.lacking(held)}, "setup", 0)
     query = (
-        scan_stream.late_tile_stream(spark.readStream.schema("hash string").parquet(arrivals), store, schema)
+        scan_stream.late_tile_stream(spark.readStream.schema("hash string").parquet(arrivals), store)
         .option("checkpointLocation", scratch(spark, "stream"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    rows = store.read("build_map_layers", schema)
+    rows = store.read("build_map_layers").drop("data_hash")
     return rows.withColumn("cdn_missing", F.array_join("cdn_missing", " "))
 
 

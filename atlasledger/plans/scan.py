@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atlasledger.functions.labels import scan_outcome
 from atlasledger.operators import areas as area_ops
 from atlasledger.operators import chunks as chunk_ops
-from atlasledger.operators import compose, merge, resolve
+from atlasledger.operators import compose, merge, resolve, scans
 from atlasledger.session import checkpointed
 
 LAYER = ["build_id", "map_id", "layer_type"]
@@ -25,7 +26,7 @@ class ScanFacts:
     adt_hash``; overrides: ``map_id, x, y, fdid``; cdn_missing: ``hash``;
     sizes: ``hash, tile_size``; chunks: ``adt_hash, idx, area_id, impass``;
     areas: ``area_id, parent_id`` and the columns documents embed, with a
-    ``build_id`` where builds have area tables of their own.
+    ``build_id`` where builds have area tables of their own; for the others see below.
     """
 
     cells: DataFrame
@@ -36,6 +37,11 @@ class ScanFacts:
     sizes: DataFrame
     chunks: DataFrame
     areas: DataFrame
+    #: What turned out to be locked or broken, where anything is: ``build_id, build_key, table_key``
+    #: (null where open), ``build_id, map_id, key_name`` and ``build_id, error``.
+    locks: DataFrame | None = None
+    map_locks: DataFrame | None = None
+    failures: DataFrame | None = None
 
     def of_builds(self, builds: DataFrame) -> "ScanFacts":
         """The facts of some builds only."""
@@ -52,9 +58,52 @@ class ScanFacts:
             self.sizes,
             self.chunks,
             part(self.areas) if "build_id" in self.areas.columns else self.areas,
+            *(df if df is None else part(df) for df in (self.locks, self.map_locks, self.failures)),
         )
 
 
+def build_outcomes(facts: ScanFacts, builds: DataFrame) -> DataFrame:
+    """``build_id, new_state, key, key_maps, error`` of each build.
+
+    What is wrong with one build is a row of it here and stops no other: ``error`` is what its scan
+    failed with, or a cell outside the grid, the first of them in order. A locked build or map table
+    names its key, a partial result its locked maps by key.
+    """
+    spark = builds.sparkSession
+
+    def told(df: DataFrame | None, columns: str) -> DataFrame:
+        return spark.createDataFrame([], columns) if df is None else df
+
+    odd = facts.cells.where(~(F.col("x").between(0, 63) & F.col("y").between(0, 63)))
+    at = F.format_string("cell %d,%d of map %d is outside the grid", F.col("x").cast("int"), F.col("y").cast("int"), F.col("map_id").cast("int"))
+    errors = told(facts.failures, "build_id bigint, error string").select("build_id", "error")
+    errors = errors.unionByName(odd.select("build_id", at.alias("error"))).groupBy("build_id").agg(F.min("error").alias("error"))
+    locks = told(facts.locks, "build_id bigint, build_key string, table_key string").groupBy("build_id").agg(
+        F.min("build_key").alias("build_key"), F.min("table_key").alias("table_key")
+    )
+    by_key = scans.locked_maps_by_key(told(facts.map_locks, "build_id bigint, map_id int, key_name string"), ["build_id"])
+    maps = by_key.groupBy("build_id").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key_name", "map_ids"))))).alias("maps"))
+    out = builds.select("build_id").distinct()
+    for df in (errors, locks, maps):
+        out = out.join(df, "build_id", "left")
+    state = scan_outcome(F.col("build_key"), F.col("table_key"), F.col("maps").isNotNull().cast("int"))
+    return out.select(
+        "build_id",
+        F.when(F.col("error").isNull(), state).alias("new_state"),
+        F.coalesce("build_key", "table_key").alias("key"),
+        F.col("maps").alias("key_maps"),
+        "error",
+    )
+
+
+def open_facts(facts: ScanFacts, outcomes: DataFrame) -> ScanFacts:
+    """The facts of builds that can be scanned, without the maps that are locked."""
+    mine = facts.of_builds(outcomes.where(F.col("new_state").isin("full_decrypt", "partial_decrypt")))
+    if mine.map_locks is not None:
+        mine.cells = mine.cells.join(mine.map_locks.select(*BUILD_MAP).distinct(), BUILD_MAP, "left_anti")
+    return mine
+
+
 def layer_tiles(facts: ScanFacts) -> DataFrame:
     """Every listed coordinate of the three tile layers, resolved and flagged."""
     build_maps = facts.cells.select(*BUILD_MAP).distinct()

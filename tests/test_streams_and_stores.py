@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from atlasledger.operators.packing import pack_messages
 from atlasledger.sources import feeds, store, tables
-from atlasledger.streaming import discovery, event_log
+from atlasledger.plans.scan import ScanFacts
+from atlasledger.streaming import catalogue, discovery, event_log, scans
+from atlasledger.streaming.catalogue import Catalogue
 from atlasledger.streaming.snapshots import Snapshots
 
 
@@ -60,19 +62,19 @@ def test_no_commit_is_lost(spark, tmp_path):
 
 def test_a_new_checkpoint_location_repeats_nothing(spark, tmp_path):
     landed = tmp_path / "landed"
-    snaps = Snapshots(spark, str(tmp_path / "catalogue"))
+    snaps = Catalogue(spark, str(tmp_path / "catalogue"))
     for n in range(2):
         land(landed, "game", f"{n}.txt", page(f"11.0.7.5804{n}", [("us", "b", "c", "p")]))
         pages = discovery.landed_pages(spark, str(landed))
         stream = discovery.discovery_stream(pages, snaps, ["game*"], [])
         run(stream.option("checkpointLocation", str(tmp_path / f"cp{n}")))
-    assert snaps.read("builds", discovery.TABLES["builds"]).count() == 2
-    assert snaps.newest() == 1
+    assert snaps.read("builds").count() == 2
+    assert snaps.begin() == 3  # two ticks, staged and stored
 
 
 def test_discovery_ticks(spark, tmp_path):
     landed, root = tmp_path / "landed", str(tmp_path / "catalogue")
-    snaps = Snapshots(spark, root)
+    snaps = Catalogue(spark, root)
 
     def tick():
         pages = discovery.landed_pages(spark, str(landed))
@@ -80,7 +82,7 @@ def test_discovery_ticks(spark, tmp_path):
         run(stream.option("checkpointLocation", str(tmp_path / "cp")))
 
     def products():
-        rows = snaps.read("products", discovery.TABLES["products"]).collect()
+        rows = snaps.read("products").collect()
         return {r["product"]: sorted(r["config_regions"]) for r in rows}
 
     land(landed, "game", "1.txt", page("11.0.7.58046", [("us", "b1", "c1", "p"), ("eu", "b1", "c1", "p")]))
@@ -91,12 +93,114 @@ def test_discovery_ticks(spark, tmp_path):
     land(landed, "game", "2.txt", page("11.0.7.58046", [("kr", "b1", "c1", "p"), ("us", "b2", "c1", "p")]))
     tick()
     assert products() == {"game": ["eu", "kr", "us"]}
-    sources = snaps.read("product_sources", discovery.TABLES["product_sources"]).collect()
+    sources = snaps.read("product_sources").collect()
     assert {r["config_build"]: sorted(r["config_regions"]) for r in sources} == {"b1": ["kr"], "b2": ["us"]}
     assert {r["first_seen"] for r in sources} == {"batch-0", "batch-1"}
-    scans = snaps.read("product_scans", discovery.TABLES["product_scans"]).collect()
+    scans = snaps.read("product_scans").collect()
     assert [r["state"] for r in scans] == ["pending"]
-    assert snaps.read("builds", discovery.TABLES["builds"]).count() == 1
+    assert snaps.read("builds").count() == 1
+
+
+TINY = {
+    "rows": catalogue.Table("build_id bigint, v int", catalogue.BY_BUILD),
+    "seen": catalogue.Table("hash string", catalogue.BY_HASH),
+}
+
+
+def files(root, name):
+    return {str(p.relative_to(root)): p.stat().st_mtime_ns for p in (root / name).rglob("*.parquet")}
+
+
+def test_a_tick_writes_the_partitions_it_touches(spark, tmp_path):
+    store = Catalogue(spark, str(tmp_path), TINY)
+    assert store.begin() is None and store.read("rows").count() == 0
+    rows = lambda d: spark.createDataFrame(list(d.items()), "build_id bigint, v int")
+    hashes = lambda *h: spark.createDataFrame([(x,) for x in h], "hash string")
+    store.commit({"rows": rows({b: 0 for b in range(28)} | {None: 5}), "seen": hashes("aa1", "bb1")}, "w", 0, store.begin())
+    before = files(tmp_path, "rows") | files(tmp_path, "seen")
+    store.commit({"rows": rows({7: 1}), "seen": hashes("bb2")}, "w", 1, store.begin())
+    after = files(tmp_path, "rows") | files(tmp_path, "seen")
+    gone, new = set(before) - set(after), set(after) - set(before)
+    assert [p.split("/")[1] for p in gone] == ["build_id=7"]
+    assert sorted(p.split("/")[1] for p in new) == ["build_id=7", "prefix=bb"]
+    assert all(before[p] == after[p] for p in set(before) & set(after))
+    assert {r["build_id"]: r["v"] for r in store.read("rows").collect()} == {b: int(b == 7) for b in range(28)} | {None: 5}
+    assert [r["v"] for r in store.read("rows", [7, None]).orderBy("v").collect()] == [1, 5]
+    assert sorted(r["hash"] for r in store.read("seen", prefixes=["bb"]).collect()) == ["bb1", "bb2"]
+    assert len(store.read("rows", [7]).inputFiles()) >= 1
+    plan = store.read("rows", [7])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "build_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_ticks_that_die_race_or_come_again(spark, tmp_path, monkeypatch):
+    store = Catalogue(spark, str(tmp_path), TINY)
+    rows = lambda v: {"rows": spark.createDataFrame([(1, v)], "build_id bigint, v int")}
+    held = lambda: [r["v"] for r in store.read("rows").collect()]
+    store.commit(rows(1), "w", 0, store.begin())
+    assert store.commit(rows(9), "w", 0, store.begin()) is None and held() == [1]  # a repeat
+    since = store.begin()
+    store.commit(rows(2), "other", 0, since)
+    with pytest.raises(RuntimeError):
+        store.commit(rows(3), "w", 1, since)
+    assert held() == [2]
+    with monkeypatch.context() as patch:  # staged, and dead before it is stored
+        patch.setattr(Catalogue, "_publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.commit(rows(4), "w", 2, store.begin())
+    assert held() == [2]
+    store.begin()
+    assert held() == [4] and store.commit(rows(5), "w", 2, store.begin()) is None
+    assert not list((tmp_path / "staged").glob("*"))
+
+
+def scan_store(spark, root, builds):
+    """A catalogue with a queued product for each build, and the facts of those builds."""
+    store = Catalogue(spark, root)
+    known = spark.createDataFrame([(b, b, "game", "2025") for b in builds], "product_id bigint, build_id bigint, product string, first_seen string")
+    queue = known.select("product_id", "build_id", F.lit("pending").alias("state"))
+    store.commit({"products": known, "product_scans": queue}, "setup", 0, store.begin())
+    h = lambda n: hashlib.md5(str(n).encode()).hexdigest()
+    make = spark.createDataFrame
+    facts = ScanFacts(
+        cells=make([(b, 1, 30, 30 + k, 10 * b + k + 1, 0, 0) for b in builds for k in range(2)] + [(2, 1, 70, 3, 77, 0, 0)] * (2 in builds),
+                   "build_id bigint, map_id int, x int, y int, minimap_texture int, map_texture int, root_adt int"),
+        file_index=make([(b, 10 * b + k + 1, h(k)) for b in builds for k in range(2)], "build_id bigint, fdid int, ckey string"),
+        adt_index=make([], "build_id bigint, fdid int, adt_hash string"),
+        overrides=make([], "map_id int, x int, y int, fdid int"),
+        cdn_missing=make([(h(1),)], "hash string"),
+        sizes=make([(h(0), 512), (h(1), 512)], "hash string, tile_size int"),
+        chunks=make([], "adt_hash string, idx int, area_id bigint, impass boolean"),
+        areas=make([], "area_id bigint, parent_id bigint, name string"),
+    )
+    return store, facts, h
+
+
+def test_a_bad_build_stops_no_other_and_late_tiles_repair(spark, tmp_path):
+    store, facts, h = scan_store(spark, str(tmp_path), [1, 2, 3])
+    assert scans.scan_tick(store, facts, 2, 3, "now") and not scans.scan_tick(store, facts, 2, 3, "now")
+    rows = {r["build_id"]: r for r in store.read("product_scans").collect()}
+    assert {b: r["state"] for b, r in rows.items()} == {1: "full_decrypt", 2: "exception", 3: "full_decrypt"}
+    assert rows[2]["exception"] == "cell 70,3 of map 1 is outside the grid" and rows[1]["data_version"] == 2
+    layers = lambda: {r["build_id"]: r["cdn_missing"] for r in store.read("build_map_layers").collect()}
+    assert layers() == {1: [h(1)], 3: [h(1)]}
+    # the tile turns up with a fourth build; the first and third are repaired and queued again
+    extra = spark.createDataFrame([(4, 4, "game", "2026")], "product_id bigint, build_id bigint, product string, first_seen string")
+    queue = extra.select("product_id", "build_id", F.lit("pending").alias("state"))
+    store.commit({"products": extra, "product_scans": queue}, "more", 0, store.begin())
+    _, now, _ = scan_store(spark, str(tmp_path / "x"), [4])
+    now.cdn_missing = now.cdn_missing.limit(0)
+    assert scans.scan_tick(store, now, 2, 1, "later")
+    assert layers() == {1: None, 3: None, 4: None}
+    states = {r["build_id"]: r["state"] for r in store.read("product_scans").collect()}
+    assert states == {1: "pending", 2: "exception", 3: "pending", 4: "full_decrypt"}
+
+
+def test_products_are_followed_by_the_summary(spark):
+    rows = spark.createDataFrame([("a", 3, "x"), ("b", 4, "x"), ("c", 5, "x")], "product string, seqn int, v string")
+    summary = spark.createDataFrame([("a", 3, ""), ("b", 9, ""), ("c", 5, "cdn"), ("d", 1, "")], "name string, product_seqn int, flags string")
+    kept, off = discovery.followed(rows, summary, ["*"])
+    assert sorted(r["product"] for r in kept.collect()) == ["a", "b"]
+    assert [(r["name"], r["product_seqn"], r["page_seqn"]) for r in off.collect()] == [("b", 9, 4)]
 
 
 def test_event_log_stream_continues_open_batches(spark, tmp_path):
