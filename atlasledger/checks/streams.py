@@ -10,6 +10,7 @@ from atlasledger.checks.filters import SUMMARY_SQL, summary
 from atlasledger.checks.ingest import feed_pages, scratch
 from atlasledger.checks.served import SCAN_SQL, scan_facts
 from atlasledger.operators import discovery, packing
+from atlasledger.plans import serve
 from atlasledger.streaming import discovery as discovery_stream
 from atlasledger.streaming import event_log
 from atlasledger.streaming import scans as scan_stream
@@ -135,6 +136,10 @@ def scanned(spark, sf, facts) -> Catalogue:
     known = products(spark, sf).select("product_id", "build_id", "product", "first_seen")
     queue = scans(spark, sf).join(known.select("product_id", "build_id"), "product_id", "left")
     store.commit({"products": known, "product_scans": queue}, "setup", 0)
+    return worked_down(spark, store, facts)
+
+
+def worked_down(spark, store: Catalogue, facts) -> Catalogue:
     query = (
         scan_stream.scan_stream(
             scan_stream.commit_stream(spark, store.root), store, facts, data_version=2, builds_per_tick=1_000_000,
@@ -196,6 +201,51 @@ def scan_outcome_stream(spark, sf):
     return scanned(spark, sf, facts).read("product_scans").drop("scan_ms")
 
 
+@check(
+    "scan_extractions",
+    sql(SCAN_SQL + """
+, queued AS (SELECT DISTINCT build_id FROM products p JOIN scans s ON s.product_id = p.product_id
+             WHERE state = 'pending' OR (state IN ('full_decrypt', 'partial_decrypt') AND data_version_attempt < 2))
+SELECT DISTINCT md5('adt-' || a.part) AS adt_hash, b.bits, g.area_ids
+FROM adts a JOIN bitsets b ON b.map_id = a.map_id AND b.x = a.x AND b.y = a.y
+JOIN grids g ON g.map_id = a.map_id AND g.x = a.x AND g.y = a.y
+WHERE a.build_id IN (SELECT build_id FROM queued)"""),
+)
+def scan_extractions(spark, sf):
+    """What the scan ticks have packed, a row per terrain file however many builds list it."""
+    rows = scanned(spark, sf, scan_facts(spark, sf)).read("extractions")
+    return rows.select("adt_hash", "bits", F.array_join("area_ids", ",").alias("area_ids"))
+
+
+@check(
+    "catalogue_pipeline",
+    sql(SCAN_SQL + """
+, followed AS (SELECT DISTINCT build_id, product FROM feed_versions WHERE product <> 'furniture'),
+every AS (
+  SELECT build_id, map_id, layer_type, composition_hash AS hash, cdn_missing FROM composed
+  UNION ALL SELECT build_id, map_id, 3, data_hash, NULL FROM impass_docs
+  UNION ALL SELECT build_id, map_id, 4, data_hash, NULL FROM area_docs
+),
+pivoted AS (
+  SELECT build_id, map_id, max(hash) FILTER (layer_type = 0) AS l0, max(hash) FILTER (layer_type = 1) AS l1,
+         max(hash) FILTER (layer_type = 2) AS l2, max(hash) FILTER (layer_type = 3) AS l3,
+         max(hash) FILTER (layer_type = 4) AS l4, max(cdn_missing) FILTER (layer_type = 0) AS m0
+  FROM every WHERE build_id IN (SELECT build_id FROM followed) GROUP BY 1, 2
+)
+SELECT map_id, p.build_id, l0, l1, l2, l3, l4, m0, f.products
+FROM pivoted p JOIN (SELECT build_id, string_agg(product, ',' ORDER BY product) AS products FROM followed GROUP BY 1) f
+  ON f.build_id = p.build_id"""),
+)
+def catalogue_pipeline(spark, sf):
+    """From landed version pages over the scan queue to every version of every map, on one store."""
+    store = worked_down(spark, run_discovery(spark, sf), scan_facts(spark, sf))
+    out = serve.map_versions(store.read("build_map_layers"), store.read("products"))
+    return out.select(
+        "map_id", "build_id", "l0", "l1", "l2", "l3", "l4",
+        F.array_join("m0", " ").alias("m0"), F.array_join("products", ",").alias("products"),
+    )
+
+
 @check(
     "data_version_upgrades",
     sql("""

@@ -77,10 +77,19 @@ def _occupied(level: int) -> Column:
     return F.array_distinct(F.transform("_cells", origin))
 
 
-def _cells_of_level(level: int) -> Column:
+def _origin(level: int, slot: str) -> str:
+    """SQL for the slot of the cell of a level that holds a slot."""
+    return (
+        f"shiftleft(shiftright({slot}, {6 + level}), {6 + level})"
+        f" + shiftleft(shiftright({slot} & 63, {level}), {level})"
+    )
+
+
+def _cells_of_level(level: int, changed: bool = False) -> Column:
     """Cells of one level as structs; each hashes its slices of the grid rows.
 
-    Written as SQL text: one parse instead of a call per slice.
+    Only those that hold a slot of ``_changed`` if asked for. Written as SQL text: one parse instead
+    of a call per slice.
     """
     side = 1 << level
     width = side * HASH_BYTES
@@ -88,12 +97,11 @@ def _cells_of_level(level: int) -> Column:
         f"substring(_rows[shiftright(o, 6) + {r}], (o & 63) * {HASH_BYTES} + 1, {width})"
         for r in range(side)
     )
-    origin = (
-        f"shiftleft(shiftright(c.i, {6 + level}), {6 + level})"
-        f" + shiftleft(shiftright(c.i & 63, {level}), {level})"
-    )
+    origins = f"array_distinct(transform(_cells, c -> {_origin(level, 'c.i')}))"
+    if changed:
+        origins = f"array_intersect({origins}, transform(_changed, i -> {_origin(level, 'i')}))"
     return F.expr(
-        f"transform(array_distinct(transform(_cells, c -> {origin})), o -> named_struct("
+        f"transform({origins}, o -> named_struct("
         f"'level', {level}, 'x', o & 63, 'y', shiftright(o, 6), 'hash', md5(concat({slices}))))"
     )
 
@@ -105,6 +113,49 @@ def lod_cells(tiles: DataFrame, keys: list[str], max_level: int = MAX_LEVEL) ->
     return laid_out.select(*keys, F.inline(cells))
 
 
+def lod_update(
+    before: DataFrame, cells: DataFrame, after: DataFrame, keys: list[str], max_level: int = MAX_LEVEL
+) -> DataFrame:
+    """The pyramid cells of the tiles ``after``, given those of the tiles ``before`` in ``cells``.
+
+    Only cells over a tile that came, went or changed are hashed again; all others are carried over,
+    and a composition without a change is not even laid out. Both sides' tiles meet as one row per
+    composition, so changes are found without a join of tiles.
+    """
+
+    def held(tiles: DataFrame, name: str) -> DataFrame:
+        # as text, of which Spark compares sets by hash
+        entry = F.transform("_cells", lambda c: F.concat(F.lpad(c["i"].cast("string"), 4, "0"), c["s"]))
+        return _grouped(tiles, keys, _hashed_content()).withColumn(name, entry)
+
+    none = F.array().cast("array<string>")
+    both = held(before, "_old").drop("_cells").join(held(after, "_new"), keys, "full_outer")
+    old, new = F.coalesce("_old", none), F.coalesce("_new", none)
+    differ = F.concat(F.array_except(old, new), F.array_except(new, old))
+    slots = F.array_distinct(F.transform(differ, lambda e: F.substring(e, 1, 4).cast("int")))
+    changed = both.select(*keys, "_cells", slots.alias("_changed")).where(F.size("_changed") > 0)
+
+    levels = range(1, max_level + 1)
+    renewed = _with_rows(changed.where(F.col("_cells").isNotNull())).select(
+        *keys, F.inline(F.concat(*[_cells_of_level(level, changed=True) for level in levels]))
+    )
+    gone = F.flatten(
+        F.array(
+            *[
+                F.expr(
+                    f"transform(array_distinct(transform(_changed, i -> {_origin(level, 'i')})), "
+                    f"o -> named_struct('level', {level}, 'x', o & 63, 'y', shiftright(o, 6)))"
+                )
+                for level in levels
+            ]
+        )
+    )
+    touched = changed.select(*keys, F.inline(gone))
+    at = [*keys, "level", "x", "y"]
+    carried = cells.select(*at, "hash").join(touched, at, "left_anti")
+    return carried.unionByName(renewed.select(*at, "hash"))
+
+
 def lod_components(tiles: DataFrame, keys: list[str], max_level: int = MAX_LEVEL) -> DataFrame:
     """Every pyramid cell with its 4^level child hashes in order, null for holes."""
     slots = F.concat(

@@ -44,7 +44,9 @@ def resolve(cells: DataFrame, file_index: DataFrame) -> DataFrame:
     Of several index entries of one file the least hash counts, so no cell is ever doubled;
     ``index_cardinality`` reports such files.
     """
-    index = file_index.groupBy("build_id", "fdid").agg(F.min("ckey").alias("hash"))
+    # dealt out first: the least text is found by sorting, which is then done once, for the join as well
+    dealt = file_index.repartition("build_id", "fdid")
+    index = dealt.groupBy("build_id", "fdid").agg(F.min("ckey").alias("hash"))
     return cells.join(index, ["build_id", "fdid"], "left")
 
 

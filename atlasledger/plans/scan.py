@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,21 +147,49 @@ def area_tables(facts: ScanFacts) -> tuple[DataFrame, DataFrame]:
     return of_build, checkpointed(distinct)
 
 
-def data_layers(facts: ScanFacts) -> DataFrame:
+def listed_terrain(facts: ScanFacts) -> DataFrame:
+    """``build_id, map_id, x, y, hash`` of every terrain file that the builds list."""
+    index = facts.adt_index.select("build_id", F.col("fdid").alias("root_adt"), "adt_hash")
+    return (
+        facts.cells.where(F.col("root_adt") != 0)
+        .join(index, ["build_id", "root_adt"])
+        .select(*BUILD_MAP, "x", "y", F.col("adt_hash").alias("hash"))
+    )
+
+
+def extracted(facts: ScanFacts, listed: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The extraction rows of the listed terrain files, and those of them that are new.
+
+    Files that an earlier scan has packed, the rows of ``known``, are taken from there; of the others
+    each is packed once, whoever lists it.
+    """
+    wanted = listed.select(F.col("hash").alias("adt_hash")).distinct()
+    if known is not None:
+        old = known.join(wanted, "adt_hash", "left_semi")
+        wanted = wanted.join(known.select("adt_hash"), "adt_hash", "left_anti")
+    chunks = facts.chunks.join(wanted, "adt_hash", "left_semi")
+    fresh = checkpointed(chunk_ops.extractions(chunks, ["adt_hash"]))
+    return (fresh if known is None else fresh.unionByName(old.select(*fresh.columns))), fresh
+
+
+def lacking_data(facts: ScanFacts, layers: DataFrame) -> ScanFacts:
+    """The facts of those maps only that do not have both data layers yet."""
+    missing = resolve.maps_lacking_data(facts.cells.select(*BUILD_MAP).distinct(), layers)
+    return replace(facts, cells=facts.cells.join(missing.select(*BUILD_MAP), BUILD_MAP, "left_semi"))
+
+
+def data_layers(facts: ScanFacts, listed: DataFrame | None = None, packed: DataFrame | None = None) -> DataFrame:
     """Impassable and area data hashes of every build and map.
 
     Most builds list the same terrain files as the one before. The file lists
     are hashed first and each distinct list makes its documents once, its area
-    document once per distinct area table; likewise each distinct terrain file
-    is packed once, whoever lists it.
+    document once per distinct area table. ``listed`` and ``packed`` are saved
+    results of ``listed_terrain`` and ``extracted``, if there are any.
     """
     of_build, areas = area_tables(facts)
-    index = facts.adt_index.select("build_id", F.col("fdid").alias("root_adt"), "adt_hash")
-    listed = checkpointed(
-        facts.cells.where(F.col("root_adt") != 0)
-        .join(index, ["build_id", "root_adt"])
-        .select(*BUILD_MAP, "x", "y", F.col("adt_hash").alias("hash"))
-    )
+    if listed is None or packed is None:
+        listed = checkpointed(listed_terrain(facts))
+        packed, _ = extracted(facts, listed)
     sets = checkpointed(
         compose.compositions(listed, BUILD_MAP)
         .join(of_build, "build_id")
@@ -175,9 +203,6 @@ def data_layers(facts: ScanFacts) -> DataFrame:
     )
     key = ["set_hash", "area_hash"]
     pairs = sets.select(*key).distinct()
-    # the extraction table: one row per terrain file that these builds list, read three times below
-    mine = facts.chunks.join(members.select("adt_hash").distinct(), "adt_hash", "left_semi")
-    packed = checkpointed(chunk_ops.extractions(mine, ["adt_hash"]))
     impass = chunk_ops.impass_documents(
         members.join(packed.select("adt_hash", "bits"), "adt_hash"), ["set_hash"]
     )

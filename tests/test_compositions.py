@@ -182,3 +182,30 @@ def test_bad_documents_fail(spark):
     unsized = golden(spark).withColumn("tile_size", F.lit(None).cast("int"))
     with pytest.raises(Exception, match="needs a tile size"):
         documents.composition_documents(unsized, ["comp_id"]).collect()
+
+
+def test_updated_pyramids_equal_full_ones(spark):
+    """Tiles that come, go, change, turn missing or stay; compositions that are new, gone or the same."""
+    rng = random.Random(4)
+    schema = "k int, x int, y int, hash string, cdn_missing boolean"
+    md5 = lambda n: hashlib.md5(str(n).encode()).hexdigest()
+    before, after = [], []
+    for k in range(7):
+        for at in rng.sample(range(4096), 40):
+            row = (k, at % 64, at // 64, md5(rng.randint(0, 99)), rng.random() < 0.1)
+            fate = "stay" if k == 0 else rng.choice(["stay"] * 8 + ["go", "change", "missing"])
+            if k != 5:
+                before.append(row)
+            if k == 6 or fate == "go":
+                continue
+            after.append({"stay": row, "change": (*row[:3], md5("new"), False), "missing": (*row[:4], not row[4])}[fate])
+    after += [(1, 63, 63, md5("come"), False), (2, 0, 0, None, False)]
+    old, new = spark.createDataFrame(before, schema), spark.createDataFrame(after, schema)
+    cells = lod.lod_cells(old, ["k"])
+    rows = lambda df: sorted(map(tuple, df.select("k", "level", "x", "y", "hash").collect()))
+    assert rows(lod.lod_update(old, cells, new, ["k"])) == rows(lod.lod_cells(new, ["k"]))
+    # what is carried over is not hashed again: a mark put on the old cells stays where nothing changed
+    marked = cells.withColumn("hash", F.concat(F.lit("old-"), "hash"))
+    kept = {r[0] for r in rows(lod.lod_update(old, marked, new, ["k"])) if r[4].startswith("old-")}
+    assert 0 in kept and not {5, 6} & kept
+    assert all(r[4].startswith("old-") for r in rows(lod.lod_update(old, marked, new, ["k"])) if r[0] == 0)

@@ -1,6 +1,7 @@
 """Snapshots, streams and content stores on small files."""
 
 import hashlib
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,6 +196,37 @@ def test_a_bad_build_stops_no_other_and_late_tiles_repair(spark, tmp_path):
     assert states == {1: "pending", 2: "exception", 3: "pending", 4: "full_decrypt"}
 
 
+def test_known_terrain_is_not_packed_again(spark, tmp_path):
+    store, facts, h = scan_store(spark, str(tmp_path), [1, 2])
+    make = spark.createDataFrame
+    terrain = lambda builds: {
+        "cells": make([(b, 1, 30, 30 + k, 10 * b + k + 1, 0, 5 + k) for b in builds for k in range(2)],
+                      "build_id bigint, map_id int, x int, y int, minimap_texture int, map_texture int, root_adt int"),
+        "adt_index": make([(b, 5 + k, h(f"adt{k}")) for b in builds for k in range(2)], "build_id bigint, fdid int, adt_hash string"),
+    }
+    facts = replace(
+        facts,
+        chunks=make([(h("adt0"), 3, 7, True), (h("adt1"), 4, 8, False)], "adt_hash string, idx int, area_id bigint, impass boolean"),
+        areas=make([(7, 0, "seven"), (8, 7, "eight")], "area_id bigint, parent_id bigint, name string"),
+        **terrain([1, 2]),
+    )
+    assert scans.scan_tick(store, facts, 2, 1, "now")
+    held = files(tmp_path, "extractions")
+    assert store.read("extractions").count() == 2
+    # without any chunk at hand: the second build lists the same terrain
+    assert scans.scan_tick(store, replace(facts, chunks=facts.chunks.limit(0)), 2, 1, "now")
+    assert files(tmp_path, "extractions") == held
+    data = {(r["build_id"], r["layer_type"]): r["data_hash"] for r in store.read("build_map_layers").where("data_hash is not null").collect()}
+    assert set(data) == {(b, t) for b in (1, 2) for t in (3, 4)} and data[1, 4] == data[2, 4] and data[1, 3] == data[2, 3]
+    # a build with both data layers makes none again, and keeps them
+    queue = store.read("product_scans").withColumn("state", F.lit("pending"))
+    store.commit({"product_scans": queue}, "again", 0, store.begin())
+    broken = replace(facts, chunks=facts.chunks.withColumn("area_id", F.raise_error(F.lit("read")).cast("bigint")))
+    assert scans.scan_tick(store, broken, 3, 2, "now")
+    after = {(r["build_id"], r["layer_type"]): r["data_hash"] for r in store.read("build_map_layers").where("data_hash is not null").collect()}
+    assert after == data
+
+
 def test_products_are_followed_by_the_summary(spark):
     rows = spark.createDataFrame([("a", 3, "x"), ("b", 4, "x"), ("c", 5, "x")], "product string, seqn int, v string")
     summary = spark.createDataFrame([("a", 3, ""), ("b", 9, ""), ("c", 5, "cdn"), ("d", 1, "")], "name string, product_seqn int, flags string")
