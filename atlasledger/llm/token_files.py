@@ -8,6 +8,7 @@ Files hold ranges of document ids in ascending order; the manifest table lists t
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ from atlasledger.llm.tokens import encoder
 from atlasledger.session import Scratch, small_batches
 
 READ_BYTES = 8 << 20
+#: Text per file at most, on average; there are no fewer files than Spark has shuffle partitions.
+FILE_BYTES = 256 << 20
 MAGIC = b"EFIDS\x001\x00"
 #: magic, width, documents without an id, documents, ids, bytes of both codes, least document id
 _FOOT = struct.Struct("<8sBQQQQQq")
@@ -73,16 +76,19 @@ def write_token_files(
     """Encodes every text, appends ``end_id`` and writes files below ``scratch``, by ascending id.
 
     ``vocabulary`` is above every id; up to 65,536 an id takes two bytes. Null texts are empty; rows
-    without an id come first. Equal ids are ordered by their texts. Spark chooses how many files there
-    are, by size and its shuffle settings, unless ``files`` says it. Gives the manifest with ``start``,
-    the number of ids in all files before, and the files' folder.
+    without an id come first. Equal ids are ordered by their texts. The number of files follows the
+    size of the texts, unless ``files`` says it, so that a task's lists and codes stay bounded. Gives the
+    manifest with ``start``, the number of ids in all files before, and the files' folder.
     """
     folder = scratch.path("ids")
     width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
+    if files is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / FILE_BYTES))
     # the tie splits an id that very many rows share
-    near = rows.repartitionByRange(*([files] if files else []), "doc_id", "tie")
+    near = rows.repartitionByRange(files, "doc_id", "tie")
     near = near.sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     manifest = scratch.save(near.mapInArrow(lambda it: _write(it, folder, tokenizer, end_id, width), _MANIFEST))
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

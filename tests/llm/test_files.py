@@ -209,3 +209,14 @@ def test_a_damaged_record_is_an_error(spark):
         out.write(warc._gzip(raw))
     with pytest.raises(Exception, match="digest"):
         warc.read_records(index, folder).collect()
+
+
+def test_files_follow_the_size_of_the_texts(spark, make, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 1000)
+    docs = make([(i, "some words of a text " * 10) for i in range(60)])
+    with Scratch(spark) as scratch:
+        manifest, folder = token_files.write_token_files(docs, scratch, TOKENIZER, 2, 50_257)
+        assert manifest.count() > 8  # 12,600 bytes; 4 shuffle partitions
+        got = token_files.read_token_files(manifest, folder).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == list(range(60))
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(60)]
