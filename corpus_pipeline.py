@@ -49,7 +49,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, the one with the smallest id.
 
-    A repeated row is kept once. Documents without words are no group.
+    A repeated row is kept once. Documents without words, null texts among them, are no group and all
+    stay. Of a group in which no document has an id, none is the smallest, so all of them stay.
     """
     kept = near_duplicates(docs, percent=SIMILAR).where("kept")
     kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
@@ -77,12 +78,20 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out documents with a passage of the benchmark."""
+    """Takes out documents with a passage of the benchmark.
+
+    Null and empty texts hold none and stay; repeated rows go or stay alike; an empty benchmark, or
+    null items in it, takes out nothing.
+    """
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 1024 ids; a row per piece."""
+    """Packs what is left into sequences of 1024 ids; a row per piece.
+
+    Every row is packed, repeated ones too; a null or empty text is its end id alone, and a row without
+    an id has pieces without one.
+    """
     return pack_documents(docs, TOKENIZER, 0, Limits(tokens=1024))
 
 
