@@ -46,6 +46,32 @@ def test_sums_over_all_segmentations(model):
             assert math.isclose(got[k, w], math.log(enumerated(own, p)), rel_tol=1e-9)
 
 
+def test_scores_equal_plain_sums(spark, sf, model):
+    """Language and score of whole texts, from the definition in plain Python."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 400").orderBy("doc_id").limit(12)
+    p = [as_dict(model, k) for k in range(len(model.languages))]
+
+    def log_sum(word, own):
+        """Over all segmentations, by the sums of all prefixes."""
+        sums = [1.0]
+        for end in range(1, len(word) + 1):
+            sums.append(sum(sums[end - n] * own.get(word[end - n : end], 0.0) for n in range(1, min(end, L.PIECE_BYTES) + 1)))
+        return math.log(sums[-1])
+
+    told = {r.row.doc_id: r for r in L.identify(docs, model).collect()}
+    for r in docs.collect():
+        found = L._words(pa.array([r.text]))
+        data = found.data.tobytes()
+        words = [b" " + data[a:b] for a, b in zip(found.start, found.end)]
+        logit = [model.prior[k] + sum(log_sum(w, p[k]) for w in words) for k in range(len(p))]
+        best = max(range(len(p)), key=lambda k: logit[k])
+        got = told[r.doc_id]
+        if got.lang_pred != L.UNKNOWN:
+            assert got.lang_pred == model.languages[best]
+            assert math.isclose(got.score, 1 / sum(math.exp(x - logit[best]) for x in logit), rel_tol=1e-6)
+    assert any(r.lang_pred != L.UNKNOWN for r in told.values())
+
+
 def test_expected_uses_match_the_gradient(model):
     """Expected uses are the derivative of the log sum by the logs of the probabilities."""
     words = L._words(pa.array(["thering the"]))
