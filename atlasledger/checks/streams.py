@@ -331,14 +331,12 @@ def event_log_stream(spark, sf):
         .option("pathGlobFilter", "conversations.parquet")
         .parquet(sf)
     )
-    out = scratch(spark, "packed")
+    root = scratch(spark, "packed")
     query = (
-        event_log.pack_stream(log, "conv_id", "turn", "text")
-        .writeStream.format("parquet")
-        .option("path", out)
+        event_log.pack_stream(log, "conv_id", "turn", "text", root)
         .option("checkpointLocation", scratch(spark, "stream"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema("conv_id bigint, turn bigint, length int, batch_no bigint").parquet(out)
+    return event_log.packed_log(spark, root, "conv_id", "turn", dict(log.dtypes))

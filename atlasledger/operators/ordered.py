@@ -11,6 +11,8 @@ carries the result across the cuts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,11 +36,13 @@ def has_hot_key(df: DataFrame, keys: list[str], bound: int | None = None) -> boo
     return not counts.where(F.col("_n") > limit).isEmpty()
 
 
-def _pieces(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def _pieces(
+    df: DataFrame, keys: list[str], order: list[str], save: Callable[[DataFrame], DataFrame] = checkpointed
+) -> DataFrame:
     columns = [F.col(c) for c in (*keys, *order)]
     pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(pieces, *columns)
-    return checkpointed(placed.withColumn("_piece", F.spark_partition_id()))
+    return save(placed.withColumn("_piece", F.spark_partition_id()))
 
 
 def _spanning(ends: DataFrame, keys: list[str]) -> DataFrame:

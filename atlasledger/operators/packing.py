@@ -11,12 +11,15 @@ then all pieces are walked again side by side from their true start.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlasledger.operators.ordered import _pieces, _spanning, has_hot_key, join_carried
+from atlasledger.session import checkpointed
 
 # Fixed value: characters one posted message may have.
 MESSAGE_CAP = 2000
@@ -24,18 +27,20 @@ MESSAGE_CAP = 2000
 
 def assign_batches(
     lengths: np.ndarray, fill: int = 0, batch: int = 0, cap: int = MESSAGE_CAP
-) -> tuple[np.ndarray, int, int]:
-    """Batch number of each message, and the open batch's fill and number after."""
-    out = np.empty(len(lengths), dtype=np.int64)
+) -> tuple[np.ndarray, np.ndarray]:
+    """Batch number of each message, and the fill of the open batch after it."""
+    numbers = np.empty(len(lengths), dtype=np.int64)
+    fills = np.empty(len(lengths), dtype=np.int32)
     for i, length in enumerate(lengths.tolist()):
         if fill > 0 and fill + length + 1 > cap:
             batch += 1
             fill = length
         else:
             fill = fill + 1 + length if fill > 0 else length
-        out[i] = batch
-    # anything at or above the cap closes on the next message alike
-    return out, min(fill, cap), batch
+        # anything at or above the cap closes on the next message alike
+        fill = min(fill, cap)
+        numbers[i], fills[i] = batch, fill
+    return numbers, fills
 
 
 def summarise(lengths: np.ndarray, cap: int = MESSAGE_CAP) -> tuple[np.ndarray, np.ndarray]:
@@ -69,16 +74,35 @@ def pack_messages(
 
     A null message has no characters; a null key is a key.
     """
+    return pack_onto(log, keys, order, text, None, cap).drop("fill")
+
+
+def pack_onto(
+    log: DataFrame,
+    keys: list[str],
+    order: list[str],
+    text: str,
+    opened: DataFrame | None,
+    cap: int = MESSAGE_CAP,
+    save: Callable[[DataFrame], DataFrame] = checkpointed,
+) -> DataFrame:
+    """``pack_messages`` that goes on where earlier messages ended, with ``fill`` after each message.
+
+    ``opened`` has ``keys, batch_no, fill`` of the batch that each key has open, as ``open_batches``
+    makes it; keys without a row start at batch 0. The pieces of hot keys are handed to ``save``.
+    """
     length = F.coalesce(F.length(text), F.lit(0))
     slim = log.select(*keys, *order, length.alias("length"))
     if has_hot_key(slim, keys):
-        work = _pieces(slim, keys, order)
-        starts = _piece_starts(work, keys, order, cap)
+        work = _pieces(slim, keys, order, save)
+        starts = _piece_starts(work, keys, order, opened, cap)
+    else:
+        work = slim.withColumn("_piece", F.lit(0))
+        starts = None if opened is None else _starts(opened, keys).withColumn("_piece", F.lit(0))
+    if starts is not None:
         work = join_carried(work, starts, keys)
     else:
-        work = slim.withColumn("_piece", F.lit(0)).withColumn("_fill", F.lit(0)).withColumn(
-            "_batch", F.lit(0).cast("bigint")
-        )
+        work = work.withColumn("_fill", F.lit(0)).withColumn("_batch", F.lit(0).cast("bigint"))
     work = work.withColumn("_fill", F.coalesce("_fill", F.lit(0))).withColumn(
         "_batch", F.coalesce("_batch", F.lit(0).cast("bigint"))
     )
@@ -87,16 +111,31 @@ def pack_messages(
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order)
         start = part.iloc[0]
-        part["batch_no"] = assign_batches(
+        part["batch_no"], part["fill"] = assign_batches(
             part["length"].to_numpy(), int(start["_fill"]), int(start["_batch"]), cap
-        )[0]
-        return part[[*keys, *order, "length", "batch_no"]]
+        )
+        return part[[*keys, *order, "length", "batch_no", "fill"]]
 
-    return work.groupBy(*keys, "_piece").applyInPandas(walk, f"{schema}, batch_no bigint")
+    return work.groupBy(*keys, "_piece").applyInPandas(walk, f"{schema}, batch_no bigint, fill int")
 
 
-def _piece_starts(work: DataFrame, keys: list[str], order: list[str], cap: int) -> DataFrame:
-    """Open fill and batch number at the start of each piece of a cut key."""
+def open_batches(packed: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, batch_no, fill`` of the batch that each key of ``pack_onto``'s rows has open.
+
+    Numbers never fall, nor does the fill within a batch, so it is a plain maximum.
+    """
+    last = packed.groupBy(*keys).agg(F.max(F.struct("batch_no", "fill")).alias("_last"))
+    return last.select(*keys, "_last.batch_no", "_last.fill")
+
+
+def _starts(opened: DataFrame, keys: list[str]) -> DataFrame:
+    return opened.select(*keys, F.col("fill").alias("_fill"), F.col("batch_no").alias("_batch"))
+
+
+def _piece_starts(
+    work: DataFrame, keys: list[str], order: list[str], opened: DataFrame | None, cap: int
+) -> DataFrame:
+    """Open fill and batch number at the start of each piece."""
     types = dict(work.dtypes)
     key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
 
@@ -107,7 +146,7 @@ def _piece_starts(work: DataFrame, keys: list[str], order: list[str], cap: int)
 
     def chain(parts: pd.DataFrame) -> pd.DataFrame:
         parts = parts.sort_values("_piece")
-        fill, batch, starts = 0, 0, []
+        fill, batch, starts = int(parts["_fill"].iloc[0]), int(parts["_batch"].iloc[0]), []
         for fills, closed in zip(parts["fills"], parts["closed"]):
             starts.append((fill, batch))
             fill, batch = int(fills[fill]), batch + int(closed[fill])
@@ -115,16 +154,34 @@ def _piece_starts(work: DataFrame, keys: list[str], order: list[str], cap: int)
         parts["_batch"] = [s[1] for s in starts]
         return parts[[*keys, "_piece", "_fill", "_batch"]]
 
-    cut = _spanning(work.select(*keys, "_piece").distinct(), keys)
+    pieces = work.select(*keys, "_piece").distinct()
+    zero = [F.lit(0).alias("_fill"), F.lit(0).cast("bigint").alias("_batch")]
+    if opened is None:
+        first = pieces.select("*", *zero)
+    else:
+        at = pieces.withColumnRenamed("_piece", "_at").withColumn("_piece", F.lit(0))
+        held = join_carried(at, _starts(opened, keys).withColumn("_piece", F.lit(0)), keys)
+        first = held.select(
+            *keys, F.col("_at").alias("_piece"),
+            F.coalesce("_fill", zero[0]).alias("_fill"), F.coalesce("_batch", zero[1]).alias("_batch"),
+        )
+    cut = _spanning(pieces, keys)
     effects = (
         join_carried(work, cut.withColumn("_cut", F.lit(True)), keys)
         .where("_cut")
         .groupBy(*keys, "_piece")
         .applyInPandas(effect, f"{key_schema}, _piece int, fills array<bigint>, closed array<bigint>")
     )
-    return effects.groupBy(*keys).applyInPandas(
-        chain, f"{key_schema}, _piece int, _fill int, _batch bigint"
+    chained = (
+        join_carried(effects, first, keys)
+        .groupBy(*keys)
+        .applyInPandas(chain, f"{key_schema}, _piece int, _fill int, _batch bigint")
     )
+    told = chained.withColumnsRenamed({"_fill": "_fill1", "_batch": "_batch1"})
+    return join_carried(first, told, keys).select(
+        *keys, "_piece",
+        F.coalesce("_fill1", "_fill").alias("_fill"), F.coalesce("_batch1", "_batch").alias("_batch"),
+    )
 
 
 def batch_summaries(packed: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -235,22 +235,42 @@ def test_products_are_followed_by_the_summary(spark):
     assert [(r["name"], r["product_seqn"], r["page_seqn"]) for r in off.collect()] == [("b", 9, 4)]
 
 
-def test_event_log_stream_continues_open_batches(spark, tmp_path):
-    rows = [(k, i, "x" * (37 * (i + k) % 700)) for k in (1, 2) for i in range(40)]
+@pytest.mark.parametrize("hot", [1_000_000, 5])
+def test_event_log_stream_continues_open_batches(spark, tmp_path, hot):
+    rows = [(k, i, "x" * (37 * (i + (k or 7)) % 700)) for k in (1, None) for i in range(40)]
+    rows += [(9, i, "y" * (31 * i % 90)) for i in range(900)]  # several pieces in every tick where 5 rows are hot
+    rows += [(3, 16, None), (3, 17, ""), (3, 18, "z" * 5000), (3, 19, "z")]
     log = spark.createDataFrame(rows, "k bigint, seq bigint, msg string")
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for start in (0, 15, 29):
-        part = log.where((F.col("seq") >= start) & (F.col("seq") < {0: 15, 15: 29, 29: 99}[start]))
-        part.coalesce(1).write.mode("append").parquet(source)
-        stream = event_log.pack_stream(spark.readStream.schema(log.schema).parquet(source), "k", "seq", "msg")
-        run(
-            stream.writeStream.format("parquet")
-            .option("path", out)
-            .option("checkpointLocation", str(tmp_path / "cp"))
-        )
-    got = sorted((r["k"], r["seq"], r["batch_no"]) for r in spark.read.parquet(out).collect())
+    source, root = str(tmp_path / "in"), str(tmp_path / "log")
+    spark.conf.set("spark.atlasledger.hotKeyRows", str(hot))
+    try:
+        for low, high in ((0, 15), (15, 29), (29, 9999)):
+            log.where((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.mode("append").parquet(source)
+            stream = event_log.pack_stream(spark.readStream.schema(log.schema).parquet(source), "k", "seq", "msg", root, buckets=3)
+            run(stream.option("checkpointLocation", str(tmp_path / "cp")))
+    finally:
+        spark.conf.unset("spark.atlasledger.hotKeyRows")
+    got = event_log.packed_log(spark, root, "k", "seq", dict(log.dtypes)).collect()
     batch = pack_messages(log, ["k"], ["seq"], "msg").collect()
-    assert got == sorted((r["k"], r["seq"], r["batch_no"]) for r in batch)
+    key = lambda r: (str(r["k"]), r["seq"], r["length"], r["batch_no"])
+    assert sorted(map(key, got)) == sorted(map(key, batch))
+
+
+def test_event_log_tick_is_stored_once(spark, tmp_path):
+    log = spark.createDataFrame([(1, i, "x" * 600) for i in range(10)], "k bigint, seq bigint, msg string")
+    source, root = str(tmp_path / "in"), str(tmp_path / "log")
+    log.coalesce(1).write.parquet(source)
+    ticks = []
+    writer = event_log.pack_stream(spark.readStream.schema(log.schema).parquet(source), "k", "seq", "msg", root)
+
+    def twice(batch, batch_id):
+        for _ in range(2):
+            event_log.pack_tick(batch, batch_id, "k", "seq", "msg", root)
+        ticks.append(batch_id)
+
+    run(writer.foreachBatch(twice).option("checkpointLocation", str(tmp_path / "cp")))
+    got = event_log.packed_log(spark, root, "k", "seq", dict(log.dtypes)).collect()
+    assert ticks == [0] and sorted((r["seq"], r["batch_no"]) for r in got) == [(i, i // 3) for i in range(10)]
 
 
 def test_content_store(spark, tmp_path):
