@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from atlasledger.checks import check
 from atlasledger.checks.aggregates import CLOSURE_CTE, GRID_SQL, embedded
 from atlasledger.checks.derive import (
     areas,
+    builds,
     cells,
     chunks,
     layers,
@@ -324,6 +327,12 @@ def scan_facts(spark, sf) -> scan.ScanFacts:
         ),
         chunks=ch.select(adt(F.col("part")).alias("adt_hash"), "idx", "area_id", "impass"),
         areas=embedded(spark, sf).withColumn("parent_id", F.col("ParentAreaID")),
+        maps=c.groupBy("build_id", "map_id").agg(F.count_if("present").alias("n"), F.count(F.lit(1)).alias("all")).select(
+            "build_id", "map_id",
+            F.format_string('{"tiles":%d}', "all").alias("json"),
+            F.format_string("maps/%d", "map_id").alias("directory"),
+            F.format_string("Map %d of %d", "map_id", "n").alias("name"),
+        ),
     )
 
 
@@ -369,8 +378,8 @@ adts AS (
 ),
 impass_docs AS (
   SELECT a.build_id, a.map_id,
-         md5('{"tiles":{' || string_agg('"' || a.x || ',' || a.y || '":"' || base64(unhex(bits)) || '"', ','
-                                        ORDER BY a.x || ',' || a.y) || '}}') AS data_hash
+         '{"tiles":{' || string_agg('"' || a.x || ',' || a.y || '":"' || base64(unhex(bits)) || '"', ','
+                                    ORDER BY a.x || ',' || a.y) || '}}' AS document, md5(document) AS data_hash
   FROM adts a JOIN bitsets b ON b.map_id = a.map_id AND b.x = a.x AND b.y = a.y
   WHERE bits <> repeat('00', 32) GROUP BY 1, 2
 ),
@@ -394,7 +403,8 @@ tile_text AS (
   FROM adts a JOIN grids g ON g.map_id = a.map_id AND g.x = a.x AND g.y = a.y GROUP BY 1, 2
 ),
 area_docs AS (
-  SELECT t.build_id, t.map_id, md5('{"tiles":' || t.tiles || ',"areas":' || a.areas || '}') AS data_hash
+  SELECT t.build_id, t.map_id, '{"tiles":' || t.tiles || ',"areas":' || a.areas || '}' AS document,
+         md5(document) AS data_hash
   FROM tile_text t JOIN area_text a ON a.build_id = t.build_id AND a.map_id = t.map_id
 )
 """
@@ -430,3 +440,155 @@ SELECT map_id, bit_or(1 << layer_type) AS layer_mask FROM seen GROUP BY 1"""),
 )
 def scan_layer_masks(spark, sf):
     return scan.scan_builds(scan_facts(spark, sf))["masks"]
+
+
+@check(
+    "scan_maps",
+    sql(SCAN_SQL + """
+, map_rows AS (
+  SELECT build_id, map_id, '{"tiles":' || count(*) || '}' AS json, 'maps/' || map_id AS directory,
+         'Map ' || map_id || ' of ' || count(*) FILTER (present) AS name
+  FROM cells GROUP BY 1, 2
+),
+changes AS (
+  SELECT map_id, count(*) AS names FROM (
+    SELECT *, lag(name) OVER (PARTITION BY map_id ORDER BY build_id) AS before FROM map_rows)
+  WHERE before IS NULL OR before <> name GROUP BY 1
+),
+seen AS (
+  SELECT map_id, layer_type FROM composed
+  UNION ALL SELECT map_id, 3 FROM impass_docs UNION ALL SELECT map_id, 4 FROM area_docs
+),
+masks AS (SELECT map_id, bit_or(1 << layer_type) AS layer_mask FROM seen GROUP BY 1)
+SELECT m.map_id, arg_max(json, build_id) AS json, arg_max(directory, build_id) AS directory,
+       arg_max(name, build_id) AS name, min(build_id) AS first_seen, max(build_id) AS last_seen,
+       coalesce(any_value(k.layer_mask), 0) AS layer_mask, any_value(c.names) AS names
+FROM map_rows m JOIN changes c ON c.map_id = m.map_id LEFT JOIN masks k ON k.map_id = m.map_id GROUP BY 1"""),
+)
+def scan_maps(spark, sf):
+    """Map rows of a scan: newest names, seen range, mask of layers, and how often the name changed."""
+    rows = scan.scan_builds(scan_facts(spark, sf))
+    names = rows["name_changes"].groupBy("map_id").agg(F.count(F.lit(1)).alias("names"))
+    return rows["maps"].join(names, "map_id")
+
+
+CONTENT_SQL = SCAN_SQL + """
+, firsts AS (
+  SELECT DISTINCT ON (composition_hash) composition_hash, build_id, map_id, layer_type
+  FROM composed ORDER BY composition_hash, build_id, map_id, layer_type
+),
+held AS (
+  SELECT f.composition_hash, s.x, s.y, s.hash, s.cdn_missing, s.tile_size
+  FROM firsts f JOIN scanned s
+    ON s.build_id = f.build_id AND s.map_id = f.map_id AND s.layer_type = f.layer_type
+)
+"""
+
+
+@check(
+    "scan_compositions",
+    sql(CONTENT_SQL + """
+, sized AS (
+  SELECT f.composition_hash, z.tile_size FROM firsts f JOIN chosen z
+    ON z.build_id = f.build_id AND z.map_id = f.map_id AND z.layer_type = f.layer_type
+),
+by_hash AS (
+  SELECT composition_hash, hash, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS n,
+         '[' || string_agg('"' || x || ',' || y || '"', ',' ORDER BY x, y) || ']' AS coords,
+         hash[15:16] || hash[13:14] || hash[11:12] || hash[9:10] || hash[7:8] || hash[5:6] || hash[3:4]
+         || hash[1:2] || hash[31:32] || hash[29:30] || hash[27:28] || hash[25:26] || hash[23:24]
+         || hash[21:22] || hash[19:20] || hash[17:18] AS hash_order
+  FROM held GROUP BY composition_hash, hash
+),
+texts AS (
+  SELECT b.composition_hash AS hash, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1,
+         (sum(n) FILTER (b.hash IS NOT NULL))::BIGINT AS tiles,
+         '{"tiles":{' || string_agg('"' || b.hash || '":' || coords, ',' ORDER BY hash_order)
+                           FILTER (b.hash IS NOT NULL) || '}'
+         || coalesce(',"missing":' || max(coords) FILTER (b.hash IS NULL), '')
+         || ',"tileSize":' || any_value(s.tile_size) || '}' AS document
+  FROM by_hash b JOIN sized s ON s.composition_hash = b.composition_hash GROUP BY 1
+)
+SELECT hash, document, tiles, x0, y0, x1, y1 FROM texts"""),
+)
+def scan_compositions(spark, sf):
+    """Document, count and extents of every distinct composition that a scan meets."""
+    return scan.scan_builds(scan_facts(spark, sf))["compositions"]
+
+
+@check(
+    "scan_pyramid",
+    sql(CONTENT_SQL + """
+, children AS (
+  SELECT composition_hash, level, (x >> level) << level AS lx, (y >> level) << level AS ly, x, y,
+         CASE WHEN cdn_missing THEN repeat('67', 16) ELSE hash END AS h, tile_size
+  FROM held, range(1, 7) t(level) WHERE hash IS NOT NULL
+),
+slots AS (
+  SELECT composition_hash, level, lx, ly, slot, lx + slot % (1 << level) AS x, ly + slot // (1 << level) AS y
+  FROM (SELECT DISTINCT composition_hash, level, lx, ly FROM children), range(4096) s(slot)
+  WHERE slot < (1 << (2 * level))
+)
+SELECT s.composition_hash, s.level, s.lx AS x, s.ly AS y,
+       md5(unhex(string_agg(coalesce(c.h, repeat('00', 16)), '' ORDER BY s.slot))) AS hash,
+       greatest(coalesce(max(c.tile_size), 0), 64) AS tile_size
+FROM slots s LEFT JOIN children c
+  ON c.composition_hash = s.composition_hash AND c.level = s.level AND c.x = s.x AND c.y = s.y
+GROUP BY 1, 2, 3, 4"""),
+)
+def scan_pyramid(spark, sf):
+    """Pyramid cells and their tile sizes of every distinct composition, all three tile layers."""
+    return scan.scan_builds(scan_facts(spark, sf))["pyramid"]
+
+
+@check(
+    "scan_blobs",
+    sql(SCAN_SQL + """
+SELECT data_hash, any_value(length(document)) AS chars FROM (
+  SELECT data_hash, document FROM impass_docs UNION ALL SELECT data_hash, document FROM area_docs
+) GROUP BY 1"""),
+)
+def scan_blobs(spark, sf):
+    """The documents of both data layers, one row per content."""
+    blobs = scan.scan_builds(scan_facts(spark, sf))["blobs"]
+    return blobs.select("data_hash", F.length("document").alias("chars"))
+
+
+@check(
+    "scan_area_tables",
+    sql(SCAN_SQL + """
+, own_areas AS (
+  SELECT build_id, area_id, CASE WHEN b % 8 < 4 THEN parent_id ELSE area_id // 3 END AS parent_id, name,
+         internal_name, continent_id
+  FROM builds, areas
+),
+own_closure AS (
+  SELECT DISTINCT a.build_id, a.map_id, c.area_id FROM adts a JOIN chunks c ON c.part = a.part
+  WHERE c.area_id <> 0
+  UNION
+  SELECT s.build_id, s.map_id, p.parent_id FROM own_closure s
+  JOIN own_areas p ON p.build_id = s.build_id AND p.area_id = s.area_id WHERE p.parent_id <> 0
+),
+own_text AS (
+  SELECT c.build_id, c.map_id, '{' || string_agg('"' || a.area_id || '":{"ID":' || a.area_id
+           || ',"ParentAreaID":' || a.parent_id || ',"AreaName_lang":"' || a.name
+           || '","ZoneName":"' || a.internal_name || '","ContinentID":' || a.continent_id || '}',
+           ',' ORDER BY a.area_id::VARCHAR) || '}' AS areas
+  FROM own_closure c JOIN own_areas a ON a.build_id = c.build_id AND a.area_id = c.area_id GROUP BY 1, 2
+)
+SELECT t.build_id, t.map_id, md5('{"tiles":' || t.tiles || ',"areas":' || a.areas || '}') AS data_hash
+FROM tile_text t JOIN own_text a ON a.build_id = t.build_id AND a.map_id = t.map_id"""),
+)
+def scan_area_tables(spark, sf):
+    """Area documents where each build has an area table of its own, of two kinds that take turns."""
+    facts = scan_facts(spark, sf)
+    turn = F.col("b") % 8 < 4
+    parent = F.when(turn, F.col("ParentAreaID")).otherwise(F.floor(F.col("area_id") / 3))
+    turns = [
+        F.struct(F.lit(r["b"]).cast("bigint").alias("b"), F.lit(r["build_id"]).cast("bigint").alias("build_id"))
+        for r in builds(spark, sf).collect()  # one per quarter
+    ]
+    rows = facts.areas.drop("parent_id").select("*", F.inline(F.array(*turns)))
+    own = rows.withColumn("ParentAreaID", parent).withColumn("parent_id", F.col("ParentAreaID")).drop("b")
+    data = scan.data_layers(replace(facts, areas=own))
+    return data.where("layer_type = 4").select("build_id", "map_id", "data_hash")

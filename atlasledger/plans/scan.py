@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from atlasledger.functions.labels import scan_outcome
 from atlasledger.operators import areas as area_ops
 from atlasledger.operators import chunks as chunk_ops
-from atlasledger.operators import compose, merge, resolve, scans
+from atlasledger.operators import compose, lod, merge, resolve, scans
 from atlasledger.session import checkpointed
+from atlasledger.sources import documents
 
 LAYER = ["build_id", "map_id", "layer_type"]
 BUILD_MAP = ["build_id", "map_id"]
@@ -42,6 +43,8 @@ class ScanFacts:
     locks: DataFrame | None = None
     map_locks: DataFrame | None = None
     failures: DataFrame | None = None
+    #: ``build_id, map_id, json, directory, name`` of every build's map table, where it is read.
+    maps: DataFrame | None = None
 
     def of_builds(self, builds: DataFrame) -> "ScanFacts":
         """The facts of some builds only."""
@@ -58,7 +61,7 @@ class ScanFacts:
             self.sizes,
             self.chunks,
             part(self.areas) if "build_id" in self.areas.columns else self.areas,
-            *(df if df is None else part(df) for df in (self.locks, self.map_locks, self.failures)),
+            *(df if df is None else part(df) for df in (self.locks, self.map_locks, self.failures, self.maps)),
         )
 
 
@@ -179,7 +182,26 @@ def lacking_data(facts: ScanFacts, layers: DataFrame) -> ScanFacts:
 
 
 def data_layers(facts: ScanFacts, listed: DataFrame | None = None, packed: DataFrame | None = None) -> DataFrame:
-    """Impassable and area data hashes of every build and map.
+    """Impassable and area data hashes of every build and map; see ``data_documents``."""
+    return _data_rows(*data_documents(facts, listed, packed))
+
+
+def _data_rows(sets: DataFrame, documents_: DataFrame) -> DataFrame:
+    """Layer rows of data documents; an impassable document is the same under every area table."""
+    flags = documents_.where("layer_type = 3").select("set_hash", "layer_type", "data_hash")
+    owners = documents_.where("layer_type = 4").select("set_hash", "area_hash", "layer_type", "data_hash")
+    return (
+        sets.join(flags, "set_hash").select(*LAYER, "data_hash")
+        .unionByName(sets.join(owners, ["set_hash", "area_hash"]).select(*LAYER, "data_hash"))
+    )
+
+
+def data_documents(
+    facts: ScanFacts, listed: DataFrame | None = None, packed: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``build_id, map_id, set_hash, area_hash``, and the documents of each distinct set of both.
+
+    The documents are ``layer_type, set_hash, area_hash, data_hash, document``.
 
     Most builds list the same terrain files as the one before. The file lists
     are hashed first and each distinct list makes its documents once, its area
@@ -218,21 +240,58 @@ def data_layers(facts: ScanFacts, listed: DataFrame | None = None, packed: DataF
     text = packed.where(F.col("area_text").isNotNull()).select("adt_hash", "area_text")
     grids = members.join(text, "adt_hash").join(pairs, "set_hash")
     area = chunk_ops.area_documents(grids, closure, areas.drop("parent_id"), key)
-    flags = sets.join(impass, "set_hash").withColumn("layer_type", F.lit(3))
-    owners = sets.join(area, key).withColumn("layer_type", F.lit(4))
-    return flags.select(*LAYER, "data_hash").unionByName(owners.select(*LAYER, "data_hash"))
+    made = impass.withColumn("layer_type", F.lit(3)).unionByName(
+        area.withColumn("layer_type", F.lit(4)), allowMissingColumns=True
+    )
+    return sets, made
+
+
+def contents(tiles: DataFrame, composed: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``composition_hash, x, y, hash, cdn_missing`` of each distinct composition once.
+
+    Most builds repeat the compositions of the one before. Those in ``known`` are left out.
+    """
+    fresh = composed if known is None else composed.join(known, "composition_hash", "left_anti")
+    firsts = fresh.groupBy("composition_hash").agg(F.min(F.struct(*LAYER)).alias("_f"))
+    return tiles.join(firsts.select("composition_hash", "_f.*"), LAYER).select(
+        "composition_hash", "x", "y", "hash", "cdn_missing"
+    )
+
+
+def composition_rows(held: DataFrame, composed: DataFrame) -> DataFrame:
+    """``hash, document, tiles, x0, y0, x1, y1`` of each composition in ``held``."""
+    columns = ["tile_size", "tiles", "x0", "y0", "x1", "y1"]
+    facts = composed.groupBy("composition_hash").agg(F.min(F.struct(*columns)).alias("_f")).select("composition_hash", "_f.*")
+    sized = held.join(facts.select("composition_hash", "tile_size"), "composition_hash")
+    docs = documents.composition_documents(sized, ["composition_hash"])
+    return docs.join(facts, "composition_hash").select(
+        F.col("composition_hash").alias("hash"), "document", *columns[1:]
+    )
+
+
+def pyramid_rows(held: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``composition_hash, level, x, y, hash, tile_size`` of each composition in ``held``."""
+    key = ["composition_hash"]
+    return lod.lod_cells(held, key).join(
+        compose.lod_tile_sizes(held, sizes, key), [*key, "level", "x", "y"]
+    )
 
 
-def scan_builds(facts: ScanFacts) -> dict[str, DataFrame]:
-    """Tiles, build maps, layers, masks, work list and tile metadata of the builds in ``facts``.
+def scan_builds(facts: ScanFacts, known: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All catalogue rows that a scan of the builds in ``facts`` produces.
 
-    Not the whole of a scan's rows: maps, pyramids and their tile sizes, composition documents,
-    blobs and extraction rows are left to the operators that make them.
+    ``tiles, build_maps, layers, masks, work_list, tile_metadata``; ``compositions``, ``pyramid`` and
+    ``tile_sizes`` of compositions whose ``composition_hash`` is not in ``known``, each made once
+    however many builds show it; ``extractions`` of terrain files; ``blobs`` (``data_hash,
+    document``); and where map tables are read ``maps`` with their masks and ``name_changes``.
     """
-    # four results below read the resolved tiles, so the joins run once
+    # results below read these several times, so the joins run once
     tiles = checkpointed(layer_tiles(facts))
-    composed = composition_layers(tiles, facts.sizes)
-    data = data_layers(facts)
+    composed = checkpointed(composition_layers(tiles, facts.sizes))
+    listed = checkpointed(listed_terrain(facts))
+    packed, _ = extracted(facts, listed)
+    sets, made = data_documents(facts, listed, packed)
+    made = checkpointed(made)
     rows = composed.select(
         *LAYER,
         "composition_hash",
@@ -241,13 +300,25 @@ def scan_builds(facts: ScanFacts) -> dict[str, DataFrame]:
         "tiles",
         "missing",
         "tile_size",
-    ).unionByName(data, allowMissingColumns=True)
+    ).unionByName(_data_rows(sets, made), allowMissingColumns=True)
     hashes = resolve.distinct_hashes(tiles)
-    return {
+    held = contents(tiles, composed, known)
+    pyramid = pyramid_rows(held, facts.sizes)
+    out = {
         "tiles": tiles,
         "build_maps": resolve.tile_counts(facts.cells),
         "layers": rows,
         "masks": merge.layer_masks(rows),
         "work_list": resolve.unknown(hashes, facts.sizes),
         "tile_metadata": resolve.first_metadata(tiles),
+        "compositions": composition_rows(held, composed),
+        "pyramid": pyramid,
+        "tile_sizes": pyramid.groupBy("hash").agg(F.max("tile_size").alias("tile_size")),
+        "extractions": packed,
+        "blobs": made.groupBy("data_hash").agg(F.min("document").alias("document")),
     }
+    if facts.maps is not None:
+        maps, changes = merge.merge_maps(facts.maps)
+        out["maps"] = merge.merge_masks(maps.withColumn("layer_mask", F.lit(0)), rows)
+        out["name_changes"] = changes
+    return out
