@@ -8,7 +8,7 @@ from atlasledger.checks import check
 from atlasledger.checks.derive import builds, cells, layers, products, scans, sql, table, tiles
 from atlasledger.checks.filters import SUMMARY_SQL, summary
 from atlasledger.checks.ingest import feed_pages, scratch
-from atlasledger.checks.served import SCAN_SQL, scan_facts
+from atlasledger.checks.served import CONTENT_SQL, SCAN_SQL, scan_facts
 from atlasledger.operators import discovery, packing
 from atlasledger.plans import serve
 from atlasledger.streaming import discovery as discovery_stream
@@ -217,6 +217,45 @@ def scan_extractions(spark, sf):
     return rows.select("adt_hash", "bits", F.array_join("area_ids", ",").alias("area_ids"))
 
 
+@check(
+    "scan_stream_contents",
+    sql(CONTENT_SQL + """
+, queued AS (SELECT DISTINCT build_id FROM products p JOIN scans s ON s.product_id = p.product_id
+             WHERE state = 'pending' OR (state IN ('full_decrypt', 'partial_decrypt') AND data_version_attempt < 2)),
+named AS (
+  SELECT DISTINCT composition_hash FROM composed WHERE build_id IN (SELECT build_id FROM queued)
+),
+spread AS (
+  SELECT h.composition_hash, count(*) FILTER (hash IS NOT NULL) AS tiles, min(x) AS x0, min(y) AS y0, max(x) AS x1,
+         max(y) AS y1
+  FROM held h JOIN named n ON n.composition_hash = h.composition_hash GROUP BY 1
+),
+pyramids AS (
+  SELECT composition_hash, count(*) AS cells, sum(size)::BIGINT AS sizes FROM (
+    SELECT composition_hash, level, x >> level, y >> level, greatest(coalesce(max(tile_size), 0), 64) AS size
+    FROM held, range(1, 7) t(level) WHERE hash IS NOT NULL GROUP BY 1, 2, 3, 4)
+  GROUP BY 1
+)
+SELECT 'composition' AS kind, s.composition_hash AS hash, tiles, x0, y0, x1, y1, cells, sizes
+FROM spread s JOIN pyramids p ON p.composition_hash = s.composition_hash
+UNION ALL
+SELECT DISTINCT 'blob', data_hash, length(document), NULL, NULL, NULL, NULL, NULL, NULL FROM (
+  SELECT * FROM impass_docs UNION ALL SELECT * FROM area_docs)
+WHERE build_id IN (SELECT build_id FROM queued)"""),
+)
+def scan_stream_contents(spark, sf):
+    """What the scan ticks have stored by content: compositions with their pyramids, and documents."""
+    store = scanned(spark, sf, scan_facts(spark, sf))
+    cells = store.read("pyramid").groupBy(F.col("composition_hash").alias("hash")).agg(
+        F.count(F.lit(1)).alias("cells"), F.sum("tile_size").alias("sizes")
+    )
+    rows = store.read("compositions").join(cells, "hash").withColumn("kind", F.lit("composition"))
+    blobs = store.read("data_blobs").select(
+        F.lit("blob").alias("kind"), F.col("data_hash").alias("hash"), F.length("document").alias("tiles")
+    )
+    return rows.drop("document").unionByName(blobs, allowMissingColumns=True)
+
+
 @check(
     "catalogue_pipeline",
     sql(SCAN_SQL + """

@@ -183,10 +183,10 @@ def lacking_data(facts: ScanFacts, layers: DataFrame) -> ScanFacts:
 
 def data_layers(facts: ScanFacts, listed: DataFrame | None = None, packed: DataFrame | None = None) -> DataFrame:
     """Impassable and area data hashes of every build and map; see ``data_documents``."""
-    return _data_rows(*data_documents(facts, listed, packed))
+    return data_rows(*data_documents(facts, listed, packed))
 
 
-def _data_rows(sets: DataFrame, documents_: DataFrame) -> DataFrame:
+def data_rows(sets: DataFrame, documents_: DataFrame) -> DataFrame:
     """Layer rows of data documents; an impassable document is the same under every area table."""
     flags = documents_.where("layer_type = 3").select("set_hash", "layer_type", "data_hash")
     owners = documents_.where("layer_type = 4").select("set_hash", "area_hash", "layer_type", "data_hash")
@@ -300,7 +300,7 @@ def scan_builds(facts: ScanFacts, known: DataFrame | None = None) -> dict[str, D
         "tiles",
         "missing",
         "tile_size",
-    ).unionByName(_data_rows(sets, made), allowMissingColumns=True)
+    ).unionByName(data_rows(sets, made), allowMissingColumns=True)
     hashes = resolve.distinct_hashes(tiles)
     held = contents(tiles, composed, known)
     pyramid = pyramid_rows(held, facts.sizes)
