@@ -327,15 +327,21 @@ def scan_facts(spark, sf) -> scan.ScanFacts:
         ),
         chunks=ch.select(adt(F.col("part")).alias("adt_hash"), "idx", "area_id", "impass"),
         areas=embedded(spark, sf).withColumn("parent_id", F.col("ParentAreaID")),
-        maps=c.groupBy("build_id", "map_id").agg(F.count_if("present").alias("n"), F.count(F.lit(1)).alias("all")).select(
-            "build_id", "map_id",
-            F.format_string('{"tiles":%d}', "all").alias("json"),
-            F.format_string("maps/%d", "map_id").alias("directory"),
-            F.format_string("Map %d of %d", "map_id", "n").alias("name"),
-        ),
+        maps=map_rows(c),
     )
 
 
+def map_rows(listed):
+    """What each build says of its maps."""
+    counts = listed.groupBy("build_id", "map_id").agg(F.count_if("present").alias("n"), F.count(F.lit(1)).alias("all"))
+    return counts.select(
+        "build_id", "map_id",
+        F.format_string('{"tiles":%d}', "all").alias("json"),
+        F.format_string("maps/%d", "map_id").alias("directory"),
+        F.format_string("Map %d of %d", "map_id", "n").alias("name"),
+    )
+
+
 SCAN_SQL = GRID_SQL + """
 , listed AS (
   SELECT build_id, map_id, x, y, 0 AS layer_type, minimap_texture AS fdid FROM cells
@@ -442,9 +448,7 @@ def scan_layer_masks(spark, sf):
     return scan.scan_builds(scan_facts(spark, sf))["masks"]
 
 
-@check(
-    "scan_maps",
-    sql(SCAN_SQL + """
+MAP_ROWS_SQL = """
 , map_rows AS (
   SELECT build_id, map_id, '{"tiles":' || count(*) || '}' AS json, 'maps/' || map_id AS directory,
          'Map ' || map_id || ' of ' || count(*) FILTER (present) AS name
@@ -454,8 +458,14 @@ changes AS (
   SELECT map_id, count(*) AS names FROM (
     SELECT *, lag(name) OVER (PARTITION BY map_id ORDER BY build_id) AS before FROM map_rows)
   WHERE before IS NULL OR before <> name GROUP BY 1
-),
-seen AS (
+)
+"""
+
+
+@check(
+    "scan_maps",
+    sql(SCAN_SQL + MAP_ROWS_SQL + """
+, seen AS (
   SELECT map_id, layer_type FROM composed
   UNION ALL SELECT map_id, 3 FROM impass_docs UNION ALL SELECT map_id, 4 FROM area_docs
 ),

@@ -8,11 +8,12 @@ from atlasledger.checks import check
 from atlasledger.checks.derive import builds, cells, layers, products, scans, sql, table, tiles
 from atlasledger.checks.filters import SUMMARY_SQL, summary
 from atlasledger.checks.ingest import feed_pages, scratch
-from atlasledger.checks.served import CONTENT_SQL, SCAN_SQL, scan_facts
+from atlasledger.checks.served import CONTENT_SQL, MAP_ROWS_SQL, SCAN_SQL, map_rows, scan_facts
 from atlasledger.operators import discovery, packing
 from atlasledger.plans import serve
 from atlasledger.streaming import discovery as discovery_stream
-from atlasledger.streaming import event_log
+from atlasledger.session import checkpointed
+from atlasledger.streaming import event_log, map_history
 from atlasledger.streaming import scans as scan_stream
 from atlasledger.streaming.catalogue import Catalogue
 
@@ -285,6 +286,25 @@ def catalogue_pipeline(spark, sf):
     )
 
 
+@check(
+    "map_history_merge",
+    sql(MAP_ROWS_SQL + """
+SELECT m.map_id, arg_max(json, build_id) AS json, arg_max(directory, build_id) AS directory,
+       arg_max(name, build_id) AS name, min(build_id) AS first_seen, max(build_id) AS last_seen,
+       any_value(c.names) AS names
+FROM map_rows m JOIN changes c ON c.map_id = m.map_id GROUP BY 1"""),
+)
+def map_history_merge(spark, sf):
+    """Builds come in out of order in three ticks, each makes its segments (a major version) anew."""
+    store = Catalogue(spark, scratch(spark, "catalogue"))
+    facts = checkpointed(map_rows(cells(spark, sf)))
+    for tick in range(3):
+        arrived = facts.where(F.pmod(F.xxhash64("build_id"), F.lit(3)) == tick)
+        store.commit(map_history.segment_rows(store, arrived, bits=52), "maps", tick, store.begin())
+    maps, changes = map_history.maps_and_names(store)
+    return maps.join(changes.groupBy("map_id").agg(F.count(F.lit(1)).alias("names")), "map_id")
+
+
 @check(
     "data_version_upgrades",
     sql("""

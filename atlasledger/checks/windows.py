@@ -19,7 +19,7 @@ from atlasledger.checks.derive import (
     tile_sizes,
     tiles,
 )
-from atlasledger.operators import history, lod, viewport
+from atlasledger.operators import history, lod, segments, viewport
 from atlasledger.operators import scans as scan_ops
 
 CHANGES_SQL = """
@@ -37,6 +37,12 @@ def name_changes(spark, sf):
     return history.name_changes(name_facts(spark, sf))
 
 
+@check("name_history_merge", sql(CHANGES_SQL + "SELECT map_id, build_id, name FROM changes"))
+def name_history_merge(spark, sf):
+    """Name changes of what segments of 1024 builds keep of their facts."""
+    return history.name_changes(segments.name_points(name_facts(spark, sf), bits=10))
+
+
 @check(
     "alias_ranges",
     sql(CHANGES_SQL + """

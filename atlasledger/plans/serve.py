@@ -46,12 +46,13 @@ def layer_pivot(layers: DataFrame) -> DataFrame:
 
 def map_versions(layers: DataFrame, products: DataFrame) -> DataFrame:
     """Every version of every map: layer hashes, missing lists and products."""
+    return with_products(layer_pivot(layers), products_per_build(products))
+
+
+def with_products(versions: DataFrame, per_build: DataFrame) -> DataFrame:
+    """Versions with the products of their builds, none where a build has none."""
     none = F.array().cast("array<string>")
-    return (
-        layer_pivot(layers)
-        .join(products_per_build(products), "build_id", "left")
-        .withColumn("products", F.coalesce("products", none))
-    )
+    return versions.join(per_build, "build_id", "left").withColumn("products", F.coalesce("products", none))
 
 
 def version_documents(versions: DataFrame) -> DataFrame:
