@@ -224,6 +224,12 @@ SELECT doc_id, asked, s.size, CASE WHEN asked = 'not-a-hash' THEN 'bad_request'
 FROM requests r LEFT JOIN store s ON s.hash = lower(r.asked)"""),
 )
 def point_lookup(spark, sf):
+    requests, held = document_requests(spark, sf)
+    return store.look_up(requests, held, "asked", "size")
+
+
+def document_requests(spark, sf):
+    """A request for the content of each document, some malformed or absent, and all contents."""
     docs = table(spark, sf, "documents")
     md5 = F.md5(F.col("text").cast("binary"))
     asked = (
@@ -234,7 +240,7 @@ def point_lookup(spark, sf):
     )
     requests = docs.select("doc_id", asked.alias("asked"))
     held = docs.groupBy(md5.alias("hash")).agg(F.max("n_chars").alias("size"))
-    return store.look_up(requests, held, "asked", "size")
+    return requests, held
 
 
 @check(

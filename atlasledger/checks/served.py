@@ -118,6 +118,14 @@ FROM maps m LEFT JOIN counts c ON c.map_id = m.map_id AND c.build_id = m.last_se
 WHERE m.layer_mask & 3 <> 0"""),
 )
 def map_list(spark, sf):
+    out = serve.map_list(listed_maps(spark, sf), resolve.tile_counts(cells(spark, sf)))
+    return out.select(
+        "map_id", "name", "parent", "first_seen", "last_seen", "layer_mask", "wdt_tile_count"
+    )
+
+
+def listed_maps(spark, sf):
+    """Maps with a parent in their row, and the layers and builds they were seen with."""
     half = F.floor(F.col("map_id") / 2).cast("int")
     row = F.to_json(
         F.struct(
@@ -125,7 +133,7 @@ def map_list(spark, sf):
             F.when(half == 0, -1).otherwise(half).alias("ParentMapID"),
         )
     )
-    maps = (
+    return (
         layers(spark, sf)
         .groupBy("map_id")
         .agg(
@@ -136,10 +144,6 @@ def map_list(spark, sf):
         .withColumn("name", F.concat(F.lit("map_"), "map_id"))
         .withColumn("json", row)
     )
-    out = serve.map_list(maps, resolve.tile_counts(cells(spark, sf)))
-    return out.select(
-        "map_id", "name", "parent", "first_seen", "last_seen", "layer_mask", "wdt_tile_count"
-    )
 
 
 @check(

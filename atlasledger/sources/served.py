@@ -1,25 +1,26 @@
 """Tables laid out for the questions that are asked of them.
 
-Two layouts of plain Spark tables. *Look-up tables* are sorted by their key across and within files,
-with a Bloom filter on it, so that a look-up of some keys opens the few row groups that may hold them
-and an absent key none. *Bucketed tables* are hashed on the keys by which they are grouped and
-joined, so that neither moves a row.
+They are hashed into buckets on the keys by which they are looked up, grouped and joined, and sorted
+by them within a bucket: grouping and joining move no row of theirs, and a look-up of some keys opens
+the buckets of these alone. Hash columns have Bloom filters too, so that an absent key is known
+without a page being read. All of it is Spark's own.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atlasledger.functions.hashes import try_hash
 from atlasledger.plans import serve
 from atlasledger.session import Scratch
 
-#: Rows of a look-up file; a Bloom filter of so many keys has about 5 MB.
-ROWS_PER_FILE = 4_000_000
-#: The tables that served questions group and join, and the keys of their buckets.
+ROWS_PER_BUCKET = 2_000_000
+#: The tables that served questions read, and the keys of their buckets.
 KEYS = {
     "layers": ["map_id", "build_id"],
     "build_maps": ["map_id", "build_id"],
@@ -27,55 +28,27 @@ KEYS = {
 }
 
 
-def write_lookup(df: DataFrame, path: str, key: str, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Write ``df`` for look-ups by ``key``.
+def buckets_for(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """A power of two that follows the number of rows."""
+    return 2 ** max(0, math.ceil(math.log2(max(1, rows) / rows_per_bucket)))
 
-    It is read twice and once more for the cuts, so hand over a landed table. The number of files
-    follows the number of rows. Null keys are kept, in the first file.
-    """
-    rows = df.count()
-    files = max(1, math.ceil(rows / rows_per_file))
-    (
-        df.repartitionByRange(files, key)
-        .sortWithinPartitions(key)
-        .write.mode("overwrite")
-        .option("compression", "zstd")
-        .option(f"parquet.bloom.filter.enabled#{key}", "true")
-        .option(f"parquet.bloom.filter.expected.ndv#{key}", str(max(1, min(rows, rows_per_file))))
-        .parquet(path)
-    )
 
+def write_bucketed(
+    df: DataFrame, name: str, path: str, keys: list[str], buckets: int | None = None, bloom: str | None = None
+) -> DataFrame:
+    """Write ``df`` as the table ``name`` at ``path``, one sorted file per bucket.
 
-def find(table: DataFrame, key: str, wanted: Sequence) -> DataFrame:
-    """The rows of some keys, as many as one page asks for.
-
-    Each key is a comparison of its own, which range and Bloom filter of a row group answer; ``IN``
-    of many would be widened to the range between the least and the greatest.
+    Without ``buckets`` the rows are counted, so hand over a landed table. ``bloom`` names a column
+    of nearly distinct values to look for.
     """
-    some = sorted({w for w in wanted if w is not None})
-    hit = F.lit(False)
-    for w in some:
-        hit = hit | (F.col(key) == F.lit(w))
-    return table.where(hit)
-
-
-def buckets_for(rows: int, rows_per_bucket: int = 2_000_000) -> int:
-    """A power of two, so that tables of different sizes have buckets that fit each other."""
-    return 2 ** max(0, math.ceil(math.log2(max(1, rows) / rows_per_bucket)))
-
-
-def write_bucketed(df: DataFrame, name: str, path: str, keys: list[str], buckets: int) -> DataFrame:
-    """Write ``df`` as the table ``name`` at ``path``, one sorted file per bucket."""
-    (
-        df.repartition(buckets, *keys)
-        .write.mode("overwrite")
-        .format("parquet")
-        .option("path", path)
-        .option("compression", "zstd")
-        .bucketBy(buckets, *keys)
-        .sortBy(*keys)
-        .saveAsTable(name)
-    )
+    rows = None if buckets else df.count()
+    buckets = buckets or buckets_for(rows)
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").option("path", path)
+    if bloom:
+        each = math.ceil(1.1 * rows / buckets) if rows else ROWS_PER_BUCKET
+        writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
+        writer = writer.option(f"parquet.bloom.filter.expected.ndv#{bloom}", str(each))
+    writer.option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
@@ -90,23 +63,44 @@ def open_bucketed(spark: SparkSession, name: str, path: str, schema: str, keys:
     return spark.table(name)
 
 
+def find(table: DataFrame, key: str, wanted: Sequence) -> DataFrame:
+    """The rows of some keys, as many as one page asks for.
+
+    Each key is a comparison of its own, which a row group's Bloom filter answers; a longer ``IN`` is
+    widened to the range between its least and greatest value.
+    """
+    some = sorted({w for w in wanted if w is not None})
+    return table.where(reduce(lambda a, b: a | b, [F.col(key) == F.lit(w) for w in some], F.lit(False)))
+
+
+def asked_for(requests: DataFrame, table: DataFrame, requested: str) -> DataFrame:
+    """Of a table in buckets by ``hash`` the rows that some request names.
+
+    The distinct hashes asked for go to the buckets; the table's rows stay where they are. A hash that
+    a third of the requests name is one row here.
+    """
+    wanted = requests.select(try_hash(F.col(requested)).alias("hash")).where("hash is not null").distinct()
+    return table.join(wanted, "hash", "left_semi")
+
+
 class Served:
     """Layers, maps and products of a catalogue as its readers want them.
 
-    ``land`` is run after a tick. The products of each build are one short row per build, so Spark
-    broadcasts them if their files are small, and otherwise moves the versions once.
+    ``land`` is run after a tick. Products are one short row per build: Spark broadcasts them if their
+    file is small, and otherwise moves the versions once.
     """
 
-    def __init__(self, spark: SparkSession, root: str, prefix: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, prefix: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> None:
         """``prefix`` begins the names of the tables in the session's catalogue."""
-        self.spark, self.root, self.prefix = spark, root, prefix
+        self.spark, self.root, self.prefix, self.rows_per_bucket = spark, root, prefix, rows_per_bucket
 
     def land(self, layers: DataFrame, build_maps: DataFrame, maps: DataFrame, products: DataFrame) -> "Served":
         given = {"layers": layers, "build_maps": build_maps, "maps": maps}
         with Scratch(self.spark) as scratch:
             for name, df in given.items():
                 df = scratch.save(df)
-                write_bucketed(df, f"{self.prefix}_{name}", f"{self.root}/{name}", KEYS[name], buckets_for(df.count()))
+                buckets = buckets_for(df.count(), self.rows_per_bucket)
+                write_bucketed(df, f"{self.prefix}_{name}", f"{self.root}/{name}", KEYS[name], buckets)
         serve.products_per_build(products).write.mode("overwrite").parquet(f"{self.root}/products")
         return self
 
@@ -116,14 +110,9 @@ class Served:
         return self.spark.table(f"{self.prefix}_{name}")
 
     def map_versions(self) -> DataFrame:
-        """``serve.map_versions`` without an exchange of the layers."""
+        """``serve.map_versions``; no layer moves before its build's products are looked up."""
         return serve.with_products(serve.layer_pivot(self.read("layers")), self.read("products"))
 
     def map_list(self) -> DataFrame:
-        """``serve.map_list`` without an exchange of either side."""
+        """``serve.map_list``; maps go to the buckets of their builds."""
         return serve.map_list(self.read("maps"), self.read("build_maps"))
-
-    def versions_of(self, maps: Sequence[int]) -> DataFrame:
-        """Versions of some maps: a map's rows are spread over buckets by build, each sorted by map."""
-        layers = find(self.read("layers"), "map_id", maps)
-        return serve.with_products(serve.layer_pivot(layers), self.read("products"))
