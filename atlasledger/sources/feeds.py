@@ -105,12 +105,16 @@ def parse_path_list(lines: DataFrame) -> DataFrame:
     return parsed.groupBy("path").agg(F.max_by("fdid", "line_no").alias("fdid"))
 
 
-def parse_key_list(lines: DataFrame) -> DataFrame:
-    """Fixed-width key lines: 16 hex name, a blank, 32 hex value, ignored tail."""
+def parse_key_list(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Fixed-width key lines: 16 hex name, a blank, 32 hex value, ignored tail.
+
+    A row per line, after the columns in ``keep``; several lines may name one key.
+    """
     line = F.col("line")
     good = line.rlike("^[0-9a-fA-F]{16} [0-9a-fA-F]{32}")
     checked = F.when(good, line).otherwise(_fail("not a key line", "line"))
     return lines.select(
+        *keep,
         F.upper(F.substring(checked, 1, 16)).alias("key_name"),
         F.lower(F.substring(checked, 18, 32)).alias("key_hex"),
     )

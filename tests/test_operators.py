@@ -1,5 +1,6 @@
 """Invariants and edge cases of the other operators, against plain Python."""
 
+import hashlib
 import random
 
 import pytest
@@ -254,6 +255,19 @@ def test_path_and_key_lists(spark):
         feeds.parse_key_list(spark.createDataFrame([("short",)], "line string")).collect()
 
 
+def test_key_list_has_a_row_per_page(spark, tmp_path):
+    """Pages of one address give lines of one key name; none is paired with another's."""
+    from atlasledger import checks
+    from atlasledger.checks import ingest  # noqa: F401  (registers the query)
+
+    pages = [(1, "u", "a"), (2, "u", "b"), (3, "v", "a"), (4, "u", "a")]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = checks.QUERIES["key_list"](spark, str(tmp_path)).collect()
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    want = [(i, md5(u)[:16].upper(), md5(h)) for i, u, h in pages]
+    assert sorted((r["page_id"], r["key_name"], r["key_hex"]) for r in got) == want
+
+
 def test_merges(spark):
     old = spark.createDataFrame([(1, "p", ["eu"])], "build_id int, product string, config_regions array<string>")
     new = spark.createDataFrame([(1, "p", ["eu"]), (2, "p", ["us", "eu"])], old.schema)
