@@ -11,11 +11,13 @@ then all pieces are walked again side by side from their true start.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from atlasledger.operators.ordered import _pieces, _spanning, has_hot_key, join_carried
@@ -108,15 +110,29 @@ def pack_onto(
     )
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields)
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        start = part.iloc[0]
-        part["batch_no"], part["fill"] = assign_batches(
-            part["length"].to_numpy(), int(start["_fill"]), int(start["_batch"]), cap
-        )
-        return part[[*keys, *order, "length", "batch_no", "fill"]]
-
-    return work.groupBy(*keys, "_piece").applyInPandas(walk, f"{schema}, batch_no bigint, fill int")
+    # sequences lie one after the other in a task, so short ones cost no call of their own
+    first = F.row_number().over(W.partitionBy(*keys, "_piece").orderBy(*order)) == 1
+    columns = [*keys, *order, "length"]
+
+    def walk(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch, fill = 0, 0
+        for part in parts:
+            lengths, begins, batches, filled = (
+                part.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_first", "_batch", "_fill")
+            )
+            numbers, fills = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int32)
+            at = np.flatnonzero(begins).tolist()
+            for lo, hi in zip([0, *at], [*at, len(lengths)]):
+                if lo == hi:
+                    continue
+                if begins[lo]:
+                    batch, fill = int(batches[lo]), int(filled[lo])
+                numbers[lo:hi], fills[lo:hi] = assign_batches(lengths[lo:hi], fill, batch, cap)
+                batch, fill = int(numbers[hi - 1]), int(fills[hi - 1])
+            out = [part.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(numbers), pa.array(fills)], [*columns, "batch_no", "fill"])
+
+    return work.withColumn("_first", first).mapInArrow(walk, f"{schema}, batch_no bigint, fill int")
 
 
 def open_batches(packed: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ partitioned table, of which a tick replaces the buckets of the keys it met.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -65,6 +66,9 @@ def pack_tick(
 
 
 def packed_log(spark: SparkSession, root: str, key: str, order: str, types: dict[str, str]) -> DataFrame:
-    """``key, order, length, batch_no`` of all messages packed below ``root``."""
+    """``key, order, length, batch_no`` of all messages packed below ``root``; none before the first tick."""
     schema = f"{key} {types[key]}, {order} {types[order]}, length int, batch_no bigint"
-    return spark.read.schema(schema).parquet(f"{root}/packed/*/*")
+    try:
+        return spark.read.schema(schema).parquet(f"{root}/packed/*/*")
+    except AnalysisException:  # nothing has arrived yet
+        return spark.createDataFrame([], schema)

@@ -6,6 +6,8 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from atlasledger import checks
+from atlasledger.checks import streams  # noqa: F401  (registers the queries)
 from atlasledger.operators.packing import pack_messages
 from atlasledger.sources import feeds, store, tables
 from atlasledger.plans.scan import ScanFacts
@@ -256,6 +258,29 @@ def test_event_log_stream_continues_open_batches(spark, tmp_path, hot):
     assert sorted(map(key, got)) == sorted(map(key, batch))
 
 
+def test_event_log_stream_reads_a_table_of_one_or_many_files(spark, tmp_path):
+    """A table that is a folder of files was not found; no message at all is an empty log."""
+    rows = [(k, t, "user", "m" * (300 * t + k % 7)) for k in (1, 2**60 + 1) for t in range(9)] + [(None, 0, "user", "x")]
+    log = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    want = sorted(map(str, pack_messages(log, ["conv_id"], ["turn"], "text").collect()))
+    many = tmp_path / "many"
+    log.repartition(3).write.parquet(str(many / "conversations.parquet"))
+    log.coalesce(1).write.parquet(str(tmp_path / "one" / "folder"))
+    (file,) = (tmp_path / "one" / "folder").glob("*.parquet")
+    file.rename(tmp_path / "one" / "conversations.parquet")
+    for place in (many, tmp_path / "one"):
+        got = checks.QUERIES["event_log_stream"](spark, str(place))
+        assert sorted(map(str, got.select("conv_id", "turn", "length", "batch_no").collect())) == want
+    assert event_log.packed_log(spark, str(tmp_path / "none"), "conv_id", "turn", dict(log.dtypes)).isEmpty()
+
+
+def test_short_sequences_share_a_call(spark):
+    """A call into Python a conversation took most of the time; its plan groups nothing there now."""
+    log = spark.range(50).selectExpr("id % 7 k", "id seq", "repeat('x', CAST(id * 41 % 900 AS INT)) msg")
+    packed = pack_messages(log, ["k"], ["seq"], "msg")
+    assert "FlatMapGroups" not in packed._jdf.queryExecution().toString()
+
+
 def test_event_log_tick_is_stored_once(spark, tmp_path):
     log = spark.createDataFrame([(1, i, "x" * 600) for i in range(10)], "k bigint, seq bigint, msg string")
     source, root = str(tmp_path / "in"), str(tmp_path / "log")
