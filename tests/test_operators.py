@@ -329,3 +329,43 @@ def test_builds_with_equal_terrain_and_different_area_tables(spark):
         own = [r for r in shared + names if r[0] == b]
         alone = scanned(spark.createDataFrame(own, row).drop("build_id"))
         assert alone[b, 4] == got[b, 4]
+
+
+def test_data_documents_move_their_tiles_once(spark):
+    """Both documents of a map come from one shuffle of its tiles, and are those of the operators apart."""
+    rows = [(m, 30 + t, 31, i, a, i % 2 == t) for m in (1, 2) for t in range(3) for i, a in ((0, 4 * m), (7, 0), (255, 5))]
+    rows.append((3, 1, 2, 9, 0, False))  # no flag and no area
+    facts = spark.createDataFrame(rows, "m int, x int, y int, idx int, area_id bigint, impass boolean")
+    table = spark.createDataFrame([(4, 2, 'a"b'), (8, 4, "c"), (5, 2, None), (2, 0, "root")], "area_id bigint, parent_id bigint, name string")
+    parents, fields = table.select("area_id", "parent_id"), table.select("area_id", "name")
+    packed = chunks.extractions(facts, ["m", "x", "y"])
+    grids = packed.withColumn("owned", F.array_distinct("area_ids"))
+    made = chunks.data_documents(grids, fields, ["m"], lambda a: areas.ancestor_closure(a, parents, ["m"], placed=True))
+    got = {r["m"]: (r["flags"], r["area"]) for r in made.collect()}
+    closure = areas.ancestor_closure(chunks.referenced_areas(facts, ["m"]), parents, ["m"])
+    flags = {r["m"]: r["document"] for r in chunks.impass_documents(packed, ["m"]).collect()}
+    area = {r["m"]: r["document"] for r in chunks.area_documents(packed, closure, fields, ["m"]).collect()}
+    assert got == {m: (flags.get(m), area.get(m)) for m in (1, 2, 3)}
+    executed = made._jdf.queryExecution().executedPlan()
+    executed.executeCollectPublic()
+    assert "ReusedExchange" in executed.toString()
+
+
+def test_outcomes_are_recorded_in_one_pass(spark):
+    """One pass over the scan rows says what results and failures said in joins of their own."""
+    columns = (
+        "product_id bigint, state string, last_scanned string, scan_ms bigint, exception string, encrypted_key string, "
+        "encrypted_maps string, data_version int, data_version_attempt int, data_version_error string"
+    )
+    states = ["pending", "full_decrypt", "encrypted_build"]
+    rows = [(i, states[i % 3], "old", 1, "was", "k0", "m0", 1, 1, "e0") for i in range(15)]
+    held = spark.createDataFrame(rows, columns)
+    kinds = ["full_decrypt", "encrypted_build", "partial_decrypt", None, None]
+    news = [(i, kinds[i // 3], "now", None, "k", "m", "bad" if i // 3 == 3 else None) for i in range(15)]
+    told = spark.createDataFrame(news, "product_id bigint, new_state string, finished string, took_ms bigint, key string, key_maps string, error string")
+    got = merge.record_outcomes(held.join(told, "product_id"), 7).select(*held.columns)
+    after = merge.record_results(held, told.where("error is null").drop("error"), 7).join(held.select("product_id", "exception"), "product_id")
+    failed = merge.record_failures(after, told.where("error is not null").select("product_id", "error", "finished"), 7)
+    rest = after.select("product_id", "scan_ms", "encrypted_key", "encrypted_maps", "data_version")
+    want = failed.join(rest, "product_id").select(*held.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
