@@ -197,7 +197,7 @@ SELECT build_id, map_id, level, (x >> level) << level AS x, (y >> level) << leve
 FROM sized, range(1, 7) t(level) GROUP BY 1, 2, 3, 4, 5"""),
 )
 def lod_tile_size(spark, sf):
-    return compose.lod_tile_sizes(tiles(spark, sf), tile_sizes(spark, sf), KEYS)
+    return lod.lod_tile_sizes(tiles(spark, sf), tile_sizes(spark, sf), KEYS)
 
 
 @check(
