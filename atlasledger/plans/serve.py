@@ -10,7 +10,6 @@ from atlasledger.operators import areas as area_ops
 from atlasledger.operators import merge
 from atlasledger.operators.diff import composition_diff
 from atlasledger.operators.history import nearest_build
-from atlasledger.session import checkpointed
 from atlasledger.sources.documents import versions_document
 
 LAYER_CODES = range(5)
@@ -136,14 +135,6 @@ def change_between(requests: DataFrame, tiles: DataFrame, versions: DataFrame) -
 
 def zone_panels(chunks: DataFrame, areas: DataFrame, maps: DataFrame) -> DataFrame:
     """Ordered, labelled zones of every map with their place in the tree."""
-    referenced = chunks.where(F.col("area_id") != 0).select("map_id", "area_id").distinct()
-    closure = area_ops.ancestor_closure(
-        referenced, areas.select("area_id", "parent_id"), ["map_id"]
-    )
-    # used three times below
-    embedded = checkpointed(closure.join(areas, "area_id"))
-    panel = area_ops.zone_order(area_ops.zone_panel(embedded, chunks, maps))
-    tree = area_ops.zone_tree(embedded, ["map_id"]).select(
-        "map_id", "area_id", "depth", "is_last", "has_children"
-    )
-    return panel.join(tree, ["map_id", "area_id"], "left")
+    owned = chunks.select("map_id", "area_id").distinct()
+    closure = area_ops.ancestor_closure(owned, areas.select("area_id", "parent_id"), ["map_id"], marked=True)
+    return area_ops.zone_order(area_ops.zone_panel(closure, areas, maps))
