@@ -156,6 +156,29 @@ def test_ticks_that_die_race_or_come_again(spark, tmp_path, monkeypatch):
     assert not list((tmp_path / "staged").glob("*"))
 
 
+def test_staged_files_are_moved_and_not_written_again(spark, tmp_path, monkeypatch):
+    store = Catalogue(spark, str(tmp_path), TINY)
+    rows = lambda v: spark.createDataFrame([(b, v) for b in range(4)] + [(None, v)], "build_id bigint, v int")
+    seen = spark.createDataFrame([("aa1",), ("bb1",)], "hash string")
+    store.commit({"rows": rows(1)}, "w", 0, store.begin())
+    with monkeypatch.context() as patch:
+        patch.setattr(Catalogue, "_publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.commit({"rows": rows(2), "seen": seen}, "w", 1, store.begin())
+    staged = {p.name for p in (tmp_path / "staged").rglob("*.parquet")}
+    # dead again, when some of it was moved
+    moved = iter(range(3))
+    real = catalogue.replace_folder
+    with monkeypatch.context() as patch:
+        patch.setattr(catalogue, "replace_folder", lambda *a: (next(moved), real(*a)))
+        with pytest.raises(StopIteration):
+            store.begin()
+    assert store.begin() is not None
+    assert {p.name for n in ("rows", "seen") for p in (tmp_path / n).rglob("*.parquet")} == staged
+    assert sorted((r["build_id"] is None, r["v"]) for r in store.read("rows").collect()) == [(False, 2)] * 4 + [(True, 2)]
+    assert sorted(r["hash"] for r in store.read("seen").collect()) == ["aa1", "bb1"]
+
+
 def scan_store(spark, root, builds):
     """A catalogue with a queued product for each build, and the facts of those builds."""
     store = Catalogue(spark, root)
