@@ -221,6 +221,18 @@ def test_a_bad_build_stops_no_other_and_late_tiles_repair(spark, tmp_path):
     assert states == {1: "pending", 2: "exception", 3: "pending", 4: "full_decrypt"}
 
 
+def test_steps_of_a_tick_read_saved_cells(spark, tmp_path, monkeypatch):
+    store, facts, _ = scan_store(spark, str(tmp_path), [1, 3])
+    facts.map_locks = spark.createDataFrame([(3, 1, "KEY")], "build_id bigint, map_id int, key_name string")
+    read, real = [], scans.layer_tiles
+    monkeypatch.setattr(scans, "layer_tiles", lambda mine: (read.append(mine.cells), real(mine))[1])
+    assert scans.scan_tick(store, facts, 2, 2, "now")
+    plan = read[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "parquet" in plan
+    assert {r["build_id"]: r["state"] for r in store.read("product_scans").collect()} == {1: "full_decrypt", 3: "partial_decrypt"}
+    assert {r["build_id"] for r in store.read("build_map_layers").collect()} == {1}
+
+
 def test_known_terrain_is_not_packed_again(spark, tmp_path):
     store, facts, h = scan_store(spark, str(tmp_path), [1, 2])
     make = spark.createDataFrame
