@@ -6,7 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from atlasledger.checks import check
-from atlasledger.checks.derive import LAYER_KEYS, build_count, layer_tiles, sql, tile_sizes, tiles
+from atlasledger.checks.derive import (
+    LAYER_KEYS,
+    build_count,
+    layer_tiles,
+    shipment_pieces,
+    sql,
+    tile_sizes,
+    tiles,
+)
 from atlasledger.operators import compose, lod
 from atlasledger.operators.history import group_ranges, version_groups
 from atlasledger.session import checkpointed
@@ -197,7 +205,8 @@ SELECT build_id, map_id, level, (x >> level) << level AS x, (y >> level) << leve
 FROM sized, range(1, 7) t(level) GROUP BY 1, 2, 3, 4, 5"""),
 )
 def lod_tile_size(spark, sf):
-    return lod.lod_tile_sizes(tiles(spark, sf), tile_sizes(spark, sf), KEYS)
+    t, pieces = tiles(spark, sf, placed=True), shipment_pieces(spark, sf)
+    return lod.lod_tile_sizes(t, tile_sizes(spark, sf), KEYS, placed=True, pieces=pieces)
 
 
 @check(

@@ -209,3 +209,20 @@ def test_updated_pyramids_equal_full_ones(spark):
     kept = {r[0] for r in rows(lod.lod_update(old, marked, new, ["k"])) if r[4].startswith("old-")}
     assert 0 in kept and not {5, 6} & kept
     assert all(r[4].startswith("old-") for r in rows(lod.lod_update(old, marked, new, ["k"])) if r[0] == 0)
+
+
+def test_sizes_of_a_composition_meet_each_content_once(spark):
+    """All of a composition's tiles of one content are one row where sizes are looked up."""
+    rows = [("a", i % 64, i // 64, "one" if i % 5 else "two", i % 10 == 0) for i in range(4096)]
+    tiles = spark.createDataFrame(rows, TILE + ", cdn_missing boolean")
+    sizes = spark.createDataFrame([("one", 128), ("two", 256)], "hash string, tile_size int")
+    got = lod.lod_tile_sizes(tiles, sizes, ["comp_id"], pieces=3)
+    known = {(x, y): {"one": 128, "two": 256}[h] for _, x, y, h, lost in rows if not lost}
+    for r in got.collect():
+        side = 1 << r["level"]
+        within = [known.get((r["x"] + dx, r["y"] + dy), 0) for dx in range(side) for dy in range(side)]
+        assert r["tile_size"] == max(64, *within)
+    plan = got._jdf.queryExecution().toString()
+    join = plan[plan.index("== Optimized Logical Plan =="):plan.index("== Physical Plan ==")]
+    assert join.index("Join LeftOuter") < join.index("collect_list(i#")
+    assert got.count() == sum(4**level for level in range(6))
