@@ -29,7 +29,7 @@ KEYS = ["build_id", "map_id"]
 SELECT build_id, map_id, layer_type, composition_hash FROM compositions"""),
 )
 def composition_hash(spark, sf):
-    out = compose.compositions(layer_tiles(spark, sf), LAYER_KEYS)
+    out = compose.compositions(layer_tiles(spark, sf, placed=True), LAYER_KEYS, placed=True)
     return out.select("build_id", "map_id", "layer_type", "composition_hash")
 
 
@@ -42,7 +42,8 @@ SELECT build_id, map_id, layer_type, tiles, missing, tiles + missing AS total, x
 FROM compositions"""),
 )
 def composition_extents(spark, sf):
-    out = compose.viewer_bounds(compose.compositions(layer_tiles(spark, sf), LAYER_KEYS))
+    comps = compose.compositions(layer_tiles(spark, sf, placed=True), LAYER_KEYS, placed=True)
+    out = compose.viewer_bounds(comps)
     return out.select(
         "build_id", "map_id", "layer_type", "tiles", "missing",
         (F.col("tiles") + F.col("missing")).alias("total"),
@@ -81,7 +82,7 @@ lod AS (
     sql(LOD_SQL + "SELECT build_id, map_id, level, x, y, hash FROM lod"),
 )
 def lod_pyramid(spark, sf):
-    return lod.lod_cells(tiles(spark, sf), KEYS)
+    return lod.lod_cells(tiles(spark, sf, placed=True), KEYS, placed=True)
 
 
 @check(
@@ -114,7 +115,7 @@ def lod_pyramid_update(spark, sf):
 SELECT level, count(*) AS cells, count(DISTINCT hash) AS hashes FROM lod GROUP BY 1"""),
 )
 def lod_level_summary(spark, sf):
-    return lod.lod_summary(lod.lod_cells(tiles(spark, sf), KEYS))
+    return lod.lod_summary(lod.lod_cells(tiles(spark, sf, placed=True), KEYS, placed=True))
 
 
 @check(
@@ -140,17 +141,10 @@ SELECT hash FROM lod GROUP BY 1 HAVING count(DISTINCT components) > 1
 UNION SELECT hash FROM lod WHERE level = 6"""),
 )
 def lod_consistency(spark, sf):
-    t = tiles(spark, sf)
-    # a stand-in replaces CDN-missing children, so compare what was hashed
-    parts = lod.lod_components(t, KEYS).select(
-        *KEYS, "level", "x", "y",
-        F.md5(F.array_join("components", ",", "-").cast("binary")).alias("digest"),
-    )
-    both = lod.lod_cells(t, KEYS).join(parts, [*KEYS, "level", "x", "y"])
+    both = lod.digested_cells(tiles(spark, sf, placed=True), KEYS, placed=True)
     # a clash at the top of every pyramid: the same hash for other components
-    other = both.where(F.col("level") == 6).withColumn("digest", F.md5("digest"))
-    both = both.unionByName(other)
-    return lod.inconsistent_cells(both, "hash", "digest")
+    other = F.when(F.col("level") == 6, F.array("digest", F.md5("digest"))).otherwise(F.array("digest"))
+    return lod.inconsistent_cells(both.select("hash", F.explode(other).alias("digest")), "hash", "digest")
 
 
 @check(
@@ -164,8 +158,8 @@ SELECT build_id, map_id, level, hash, string_agg(x || ',' || y, ' ' ORDER BY x,
 FROM cache GROUP BY 1, 2, 3, 4"""),
 )
 def lod_tile_cache(spark, sf):
-    t = tiles(spark, sf)
-    out = lod.coords_by_hash(t, lod.lod_cells(t, KEYS), KEYS)
+    t = tiles(spark, sf, placed=True)
+    out = lod.coords_by_hash(t, lod.lod_cells(t, KEYS, placed=True), KEYS)
     texts = F.transform("coords", lambda c: F.concat_ws(",", c["x"], c["y"]))
     return out.withColumn("coords", F.array_join(texts, " "))
 

@@ -226,3 +226,21 @@ def test_sizes_of_a_composition_meet_each_content_once(spark):
     join = plan[plan.index("== Optimized Logical Plan =="):plan.index("== Physical Plan ==")]
     assert join.index("Join LeftOuter") < join.index("collect_list(i#")
     assert got.count() == sum(4**level for level in range(6))
+
+
+def test_digests_tell_components_apart_in_one_layout(spark):
+    """A stand-in hides which tile is missing from the hash but not from the digest; nothing is joined or moved."""
+    rows = [("a", 0, 0, "11" * 16, True), ("a", 5, 5, "33" * 16, False),
+            ("b", 0, 0, "22" * 16, True), ("b", 5, 5, "33" * 16, False),
+            ("c", 0, 0, "11" * 16, True), ("c", 5, 5, "33" * 16, False)]
+    tiles = spark.createDataFrame(rows, TILE + ", cdn_missing boolean").repartition(4, "comp_id")
+    cells = lod.digested_cells(tiles, ["comp_id"], placed=True)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    at = {(r["comp_id"], r["level"], r["x"], r["y"]): (r["hash"], r["digest"]) for r in cells.collect()}
+    full = {(r["comp_id"], r["level"], r["x"], r["y"]): r["hash"] for r in lod.lod_cells(tiles, ["comp_id"]).collect()}
+    assert {k: v[0] for k, v in at.items()} == full
+    assert at["a", 6, 0, 0] == at["c", 6, 0, 0] and at["a", 2, 4, 4] == at["b", 2, 4, 4]
+    assert at["a", 6, 0, 0][0] == at["b", 6, 0, 0][0] and at["a", 6, 0, 0][1] != at["b", 6, 0, 0][1]
+    clash = {r["hash"] for r in lod.inconsistent_cells(cells, "hash", "digest").collect()}
+    assert clash == {full["a", level, 0, 0] for level in range(1, 7)}
