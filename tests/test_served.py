@@ -6,6 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from atlasledger.sources import served, store
 
 
@@ -120,3 +121,9 @@ def test_empty_tables(spark, tmp_path):
     held = served.write_bucketed(none, table_name(), str(tmp_path / "e"), ["hash"], bloom="hash")
     requests = spark.createDataFrame([(md5(1),)], "asked string")
     assert store.look_up(requests, served.asked_for(requests, held, "asked"), "asked", "size").first()["status"] == "not_found"
+
+
+def test_requested_maps_read_landed_versions(spark, sf):
+    """Versions are asked three things; none of them derives the versions again."""
+    out = contract.queries()["load_map"](spark, sf)
+    assert not [f for f in out.inputFiles() if f"{sf}/" in f]
