@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from atlasledger.checks import check
@@ -17,7 +16,6 @@ from atlasledger.checks.derive import (
 )
 from atlasledger.operators import compose, lod
 from atlasledger.operators.history import group_ranges, version_groups
-from atlasledger.session import checkpointed
 from atlasledger.sources import documents
 
 KEYS = ["build_id", "map_id"]
@@ -91,22 +89,7 @@ def lod_pyramid(spark, sf):
 )
 def lod_pyramid_update(spark, sf):
     """Each build's pyramid out of the one before it of the same map; the first builds' in full."""
-    t = checkpointed(tiles(spark, sf).select(*KEYS, "x", "y", "hash", "cdn_missing"))
-    order = Window.partitionBy("map_id").orderBy("build_id")
-    steps = t.select(*KEYS).distinct().select(
-        *KEYS, F.lead("build_id").over(order).alias("next"), F.row_number().over(order).alias("n")
-    )
-
-    def moved(df):
-        """Rows of a build as those that its successor starts from."""
-        then = steps.where("next is not null").select(*KEYS, "next")
-        return df.join(then, KEYS).drop("build_id").withColumnRenamed("next", "build_id")
-
-    first = t.join(steps.where("n = 1").select(*KEYS), KEYS, "left_semi")
-    later = t.join(steps.where("n > 1").select(*KEYS), KEYS, "left_semi")
-    cells = checkpointed(lod.lod_cells(t, KEYS))
-    updated = lod.lod_update(moved(t), moved(cells), later, KEYS)
-    return updated.unionByName(lod.lod_cells(first, KEYS))
+    return lod.lod_history(tiles(spark, sf, placed=True), KEYS, "build_id", placed=True)
 
 
 @check(

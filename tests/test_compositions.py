@@ -244,3 +244,27 @@ def test_digests_tell_components_apart_in_one_layout(spark):
     assert at["a", 6, 0, 0][0] == at["b", 6, 0, 0][0] and at["a", 6, 0, 0][1] != at["b", 6, 0, 0][1]
     clash = {r["hash"] for r in lod.inconsistent_cells(cells, "hash", "digest").collect()}
     assert clash == {full["a", level, 0, 0] for level in range(1, 7)}
+
+
+def test_histories_equal_full_pyramids_and_join_nothing(spark):
+    """Builds that come, change, repeat, lose all tiles and come back; rows look one build back."""
+    rng = random.Random(8)
+    md5 = lambda n: hashlib.md5(str(n).encode()).hexdigest()
+    rows = []
+    for m in range(4):
+        held = {}
+        for b in range(6):
+            for at in rng.sample(range(4096), 0 if b % 3 == 2 else 25):
+                held[at] = None if rng.random() < 0.1 else md5(rng.randint(0, 50))
+            for at in rng.sample(sorted(held), 3):
+                del held[at]
+            lost = (m, b) == (1, 3)  # listed, but nothing resolves
+            rows += [(b, m, at % 64, at // 64, None if lost else h, rng.random() < 0.1) for at, h in held.items()]
+    schema = "build_id int, map_id int, x int, y int, hash string, cdn_missing boolean"
+    tiles = spark.createDataFrame(rows, schema).repartition(3, "map_id")
+    keys = ["build_id", "map_id"]
+    got = lod.lod_history(tiles, keys, "build_id", placed=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    cells = lambda df: sorted(map(tuple, df.select(*keys, "level", "x", "y", "hash").collect()))
+    assert cells(got) == cells(lod.lod_cells(tiles, keys)) == cells(lod.lod_history(tiles, keys, "build_id"))
