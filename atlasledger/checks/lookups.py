@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from atlasledger.checks import SQL, check
-from atlasledger.checks.derive import cells, products, sql, table
+from atlasledger.checks.derive import cells, layers, products, sql, table
 from atlasledger.checks.ingest import document_requests, scratch
 from atlasledger.checks.served import all_layers, listed_maps
 from atlasledger.operators import resolve
@@ -18,8 +18,10 @@ from atlasledger.sources import served, store, tables
 def landed(spark, sf) -> served.Served:
     """The catalogue's served tables in buckets."""
     name = f"served_{uuid.uuid4().hex}"
+    rows = checkpointed(layers(spark, sf))  # told by layers and by maps
+    counts = resolve.tile_counts(cells(spark, sf, placed=True))
     return served.Served(spark, scratch(spark, "served"), name).land(
-        all_layers(spark, sf), resolve.tile_counts(cells(spark, sf)), listed_maps(spark, sf), products(spark, sf)
+        all_layers(spark, sf, rows), counts, listed_maps(spark, sf, rows), products(spark, sf)
     )
 
 

@@ -21,7 +21,9 @@ def products_per_build(products: DataFrame) -> DataFrame:
     Reduced to one row per (build, product) first, so the list is as long as
     the product catalogue at most.
     """
-    seen = products.groupBy("build_id", "product").agg(F.min("first_seen").alias("first_seen"))
+    # equal sightings go first: the least of texts is found by sorting
+    sightings = products.select("build_id", "product", "first_seen").distinct()
+    seen = sightings.groupBy("build_id", "product").agg(F.min("first_seen").alias("first_seen"))
     entries = F.sort_array(F.collect_list(F.struct("first_seen", "product")))
     return seen.groupBy("build_id").agg(
         F.transform(entries, lambda e: e["product"]).alias("products")

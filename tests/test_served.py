@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from atlasledger.checks import derive, lookups
+from atlasledger.checks import served as served_checks
 from atlasledger.sources import served, store
 
 
@@ -127,3 +129,11 @@ def test_requested_maps_read_landed_versions(spark, sf):
     """Versions are asked three things; none of them derives the versions again."""
     out = contract.queries()["load_map"](spark, sf)
     assert not [f for f in out.inputFiles() if f"{sf}/" in f]
+
+
+def test_landing_derives_layers_once(spark, sf, monkeypatch):
+    calls = []
+    for module in (lookups, served_checks):
+        monkeypatch.setattr(module, "layers", lambda *a: calls.append(a) or derive.layers(*a), raising=False)
+    assert lookups.landed(spark, sf).map_list().count() > 0
+    assert len(calls) == 1
