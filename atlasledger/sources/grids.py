@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlasledger.functions.hashes import le32_hex, le32_number
+from atlasledger.functions.hashes import hex_number, le32_number, le32_of, le32_pair_hex
 
 # The eight unsigned 32-bit ids of a cell, in stored order.
 CELL_FIELDS = [
@@ -37,20 +37,33 @@ def unpack_grid(grids: DataFrame, payload: str) -> DataFrame:
             lambda y: F.substring(grid, y * ROW_BYTES + 1, F.lit(ROW_BYTES)),
         ),
     )
-    by_row = grids.select(*kept, F.posexplode(F.get(grid_rows, 0)).alias("y", "_row"))
+    # empty rows go before they are cut, and empty cells before they are read
+    by_row = grids.select(*kept, F.posexplode(F.get(grid_rows, 0)).alias("y", "_row")).where(
+        F.col("_row") != F.lit(bytearray(ROW_BYTES))
+    )
     cells = F.transform(
         F.sequence(F.lit(0), F.lit(63)),
         lambda x: F.substring(F.col("_row"), x * CELL_BYTES + 1, F.lit(CELL_BYTES)),
     )
     by_cell = by_row.select(*kept, "y", F.posexplode(cells).alias("x", "_cell"))
-    by_cell = by_cell.withColumn("_cell", F.hex("_cell")).where(F.col("_cell") != "00" * CELL_BYTES)
-    ids = [le32_number(F.col("_cell"), 8 * i + 1).alias(n) for i, n in enumerate(CELL_FIELDS)]
-    return by_cell.select(*kept, "x", "y", *ids)
+    by_cell = by_cell.where(F.col("_cell") != F.lit(bytearray(CELL_BYTES))).withColumn("_hex", F.hex("_cell"))
+    # two ids are read at once; only a cell that a payload ends in has fewer bytes
+    whole = F.octet_length("_cell") == CELL_BYTES
+    pairs = [F.when(whole, hex_number(F.col("_hex"), 16 * i + 1)).alias(f"_p{i}") for i in range(len(CELL_FIELDS) // 2)]
+    ids = [
+        F.when(whole, le32_of(F.col(f"_p{i // 2}"), i % 2)).otherwise(le32_number(F.col("_hex"), 8 * i + 1)).alias(n)
+        for i, n in enumerate(CELL_FIELDS)
+    ]
+    return by_cell.select(*kept, "x", "y", "_cell", "_hex", *pairs).select(*kept, "x", "y", *ids)
 
 
 def pack_grid(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """The binary grid of each key; ``cells`` has one row per coordinate."""
-    content = F.concat(*[le32_hex(F.col(name)) for name in CELL_FIELDS])
+    """The binary grid of each key; ``cells`` has one row per coordinate.
+
+    Cells that lie by some of the keys already are not moved.
+    """
+    fields = [F.col(name) for name in CELL_FIELDS]
+    content = F.concat(*[le32_pair_hex(a, b) for a, b in zip(fields[::2], fields[1::2])])
     entry = F.struct((F.col("y") * 64 + F.col("x")).alias("i"), content.alias("cell"))
     grouped = (
         cells.where(F.col("x").between(0, 63) & F.col("y").between(0, 63))

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from atlasledger.functions.versions import encode_version
 from atlasledger.operators import areas, chunks, diff, history, merge, packing, terrain, viewport
 from atlasledger.operators.ordered import HOT_SETTING
@@ -191,6 +192,20 @@ def test_grid_round_trip(spark):
     assert back == sorted(cells)
 
 
+def test_grids_that_end_early_or_lie_by_map(spark, sf):
+    """A payload that ends within a cell reads as far as it goes; placed cells are packed where they are."""
+    payload = bytes(range(1, 46))
+    got = grids.unpack_grid(spark.createDataFrame([(1, payload)], "g int, payload binary"), "payload")
+    rows = {(r["x"], r["y"]): [r[n] for n in grids.CELL_FIELDS] for r in got.collect()}
+    words = [int.from_bytes(payload[i : i + 4], "little") for i in range(0, 45, 4)]
+    assert rows[0, 0] == words[:8] and rows[1, 0] == [*words[8:12], None, None, None, None]
+    assert len(rows) == 4096 and rows[2, 0] == rows[9, 9] == [None] * 8
+    empty = spark.createDataFrame([(1, bytes(4096 * 32))], "g int, payload binary")
+    assert grids.unpack_grid(empty, "payload").count() == 0
+    plan = contract.queries()["grid_unpack"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(map_id" in plan and "hashpartitioning(build_id" not in plan
+
+
 def test_viewport_tiles_match_brute_force(spark):
     random.seed(12)
     views = [(i, 1, random.uniform(-5, 70), random.uniform(-5, 70), random.uniform(0.5, 40), 2048, 1024)
