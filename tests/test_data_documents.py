@@ -57,6 +57,7 @@ def test_documents_in_batches_are_those_that_are_joined(odd):
 
 def test_extractions_are_bitsets_and_grids(spark, odd):
     rows = [("a", 0, 5, True), ("a", 255, 0, False), ("b", 7, None, True), ("b", 9, -3, None), ("c", 256, 1, True), ("d", -1, 2, False), ("d", 3, 2, False)]
+    rows += [("d", 3, 1, True), ("d", 3, None, False), ("d", 4, 7, False), ("e", 255, 1, None)]
     held = spark.createDataFrame(rows, CHUNKS)
     grids = chunks.area_grids(held, ["adt_hash"]).withColumn("area_text", F.to_json("area_ids"))
     want = chunks.impass_bitsets(held, ["adt_hash"]).join(grids, "adt_hash", "left")
