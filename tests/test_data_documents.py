@@ -6,6 +6,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from atlasledger import session
 from atlasledger.checks.served import scan_facts
 from atlasledger.operators import chunks, data_documents, lod
 from atlasledger.plans import scan
@@ -94,3 +95,14 @@ def test_cells_of_many_compositions_are_cut_from_one_layout(spark):
     assert {(r["name"], r["level"], r["x"], r["y"]): r["tile_size"] for r in got.collect()} == sizes
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
     assert lod.sized_cells(tiles.limit(0), keys).count() == 0
+
+
+def test_long_steps_let_go_of_their_shuffles(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(session, "free_shuffles", asked.append)
+    with Scratch(spark) as scratch:
+        scratch.save(spark.range(3))
+        assert not asked
+        monkeypatch.setattr(session, "LONG_STEP_S", -1)
+        assert scratch.save(spark.range(3)).count() == 3
+    assert asked == [spark]
